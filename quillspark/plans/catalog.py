@@ -1,6 +1,6 @@
 """All named queries."""
 
-from quillspark.plans import text_queries  # noqa: F401
+from quillspark.plans import join_queries, text_queries  # noqa: F401
 from quillspark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
