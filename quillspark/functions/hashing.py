@@ -35,7 +35,7 @@ def sample_size(seed, n: Column, *keys: Column) -> Column:
 def shuffled(seed, words: Column, *keys: Column) -> Column:
     """A list of distinct strings in random order."""
     tagged = F.transform(words, lambda w: F.concat(draw(seed, *keys, w), w))
-    return F.transform(F.array_sort(tagged), lambda s: F.substr(s, F.lit(33)))
+    return F.transform(F.sort_array(tagged), lambda s: F.substr(s, F.lit(33)))
 
 
 def sample_some(seed, words: Column, *keys: Column) -> Column:

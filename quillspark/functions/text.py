@@ -7,6 +7,8 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.binding import let
+
 # ---- fixed values: character classes that results depend on -------------------------
 # Unicode white space as Python's str.split() sees it.
 SPACE = r"\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -162,16 +164,16 @@ def vocabulary_tokens(text: Column) -> Column:
 
 def ngrams(xs: Column, n: int) -> Column:
     """Contiguous n-grams as arrays; none when the list is shorter."""
-    count = F.size(xs) - (n - 1)
-    empty = F.filter(F.array(xs), lambda x: F.lit(False))
-    return F.when(
-        count > 0,
-        F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.slice(xs, i, n)),
-    ).otherwise(empty)
+    def cut(ys: Column) -> Column:
+        count = F.size(ys) - (n - 1)
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: i <= count)
+        return F.transform(starts, lambda i: F.slice(ys, i, n))
+
+    return let(xs, cut)
 
 
 def ngrams_upto(xs: Column, n: int) -> Column:
-    return F.flatten(F.array(*[ngrams(xs, k) for k in range(1, n + 1)]))
+    return let(xs, lambda ys: F.flatten(F.array(*[ngrams(ys, k) for k in range(1, n + 1)])))
 
 
 def literal_list(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.binding import let
+
 from quillspark.functions.vectors import dot
 
 
@@ -23,8 +25,8 @@ def mean_gradient(grads: Column) -> Column:
 def signed_attribution(grads: Column, embeds: Column) -> Column:
     """Sum of gradient x embedding per token, divided by the L1 norm over tokens."""
     sums = F.zip_with(grads, embeds, lambda g, e: dot(g, e))
-    l1 = F.aggregate(sums, F.lit(0.0), lambda a, x: a + F.abs(x))
-    return F.transform(sums, lambda x: x / l1)
+    size = lambda s: F.aggregate(s, F.lit(0.0), lambda a, x: a + F.abs(x))
+    return let(sums, lambda s: let(size(s), lambda l1: F.transform(s, lambda x: x / l1)))
 
 
 def masked(xs: Column, mask: Column) -> Column:

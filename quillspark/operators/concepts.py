@@ -68,7 +68,7 @@ def concept_prompts(found: DataFrame, k: int) -> DataFrame:
         .groupBy("label", "grp")
         .agg(
             F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("_n", line.alias("line")))), lambda s: s["line"]), ""
+                F.transform(F.sort_array(F.collect_list(F.struct("_n", line.alias("line")))), lambda s: s["line"]), ""
             ).alias("lines")
         )
     )

@@ -70,7 +70,7 @@ def changes_by_template(pairs: DataFrame, n: int = 10, k: int = 3) -> DataFrame:
         .groupBy("tpl")
         .agg(
             F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("_n", "edit"))), lambda s: s["edit"]), ", "
+                F.transform(F.sort_array(F.collect_list(F.struct("_n", "edit"))), lambda s: s["edit"]), ", "
             ).alias("edits")
         )
     )

@@ -70,7 +70,7 @@ def sentences_to_reviews(df: DataFrame, reviews: DataFrame) -> DataFrame:
     """Group sentences (review_id, pos, sentence, tree, label, label_name) by review:
     ordered lists and the label of the first sentence; unknown reviews drop."""
     known = df.join(reviews.select(F.col("uid").alias("review_id")), "review_id", "left_semi")
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c))), lambda s: s[c])
+    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), lambda s: s[c])
     return known.groupBy("review_id").agg(
         ordered("sentence").alias("sentences"),
         ordered("tree").alias("trees"),

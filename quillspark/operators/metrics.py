@@ -41,7 +41,7 @@ def average_runs(long: DataFrame, by: Sequence[str] = ("dataset", "metric"), run
     return long.groupBy(*by).agg(
         F.avg("value").alias("mean"),
         F.stddev_pop("value").alias("std"),
-        F.transform(F.array_sort(F.collect_list(F.struct(run, "value"))), lambda s: s["value"]).alias("values"),
+        F.transform(F.sort_array(F.collect_list(F.struct(run, "value"))), lambda s: s["value"]).alias("values"),
     )
 
 

@@ -163,7 +163,7 @@ def group_examples(members: DataFrame, example: str = "feature", k: int = 8) ->
         .groupBy("key", "cls")
         .agg(
             F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("_n", example))), lambda s: s[example]), ", "
+                F.transform(F.sort_array(F.collect_list(F.struct("_n", example))), lambda s: s[example]), ", "
             ).alias("examples")
         )
     )

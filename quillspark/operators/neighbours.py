@@ -258,7 +258,7 @@ def rank_keywords(
         .select("word", "label", F.round(cosine(F.col("wv"), F.col("lv")), 8).alias("score"))
     )
     ranked = exploded.join(scored, ["word", "label"]).groupBy("id").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("word")))).alias("_k")
+        F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("word")))).alias("_k")
     )
     n = F.size("_k")
     keep = F.greatest(F.least(F.lit(3), n), F.floor(F.lit(0.3) * n).cast("int"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions.binding import let
+
 from quillspark.functions import fixed as fx
 from quillspark.functions.text import is_alphabetic, label_words
 
@@ -26,21 +28,19 @@ def spans(tokens: Column, tags: Column, split_on_b: bool = False) -> Column:
     ``split_on_b``.
     """
 
-    def opens(i: Column) -> Column:
+    def opens(tags: Column, i: Column) -> Column:
         begins = _tag(tags, i - 1) == "O"
         if split_on_b:
             begins = begins | _tag(tags, i).startswith("B-")
         return (_tag(tags, i) != "O") & begins
 
-    def closes(i: Column) -> Column:
+    def closes(tags: Column, i: Column) -> Column:
         ends = _tag(tags, i + 1) == "O"
         if split_on_b:
             ends = ends | _tag(tags, i + 1).startswith("B-")
         return (_tag(tags, i) != "O") & ends
 
-    runs = F.arrays_zip(_positions(tags, opens).alias("f"), _positions(tags, closes).alias("l"))
-
-    def describe(r: Column) -> Column:
+    def describe(tokens: Column, tags: Column, r: Column) -> Column:
         length = r["l"] - r["f"] + 1
         begun = F.filter(F.slice(tags, r["f"], length), lambda t: t.startswith("B-"))
         return F.struct(
@@ -50,7 +50,14 @@ def spans(tokens: Column, tags: Column, split_on_b: bool = False) -> Column:
             r["l"].alias("last"),
         )
 
-    return F.transform(runs, describe)
+    def find(row: Column) -> Column:
+        ws, ts = row["ws"], row["ts"]
+        runs = F.arrays_zip(
+            _positions(ts, lambda i: opens(ts, i)).alias("f"), _positions(ts, lambda i: closes(ts, i)).alias("l")
+        )
+        return F.transform(runs, lambda r: describe(ws, ts, r))
+
+    return let(F.struct(tokens.alias("ws"), tags.alias("ts")), find)
 
 
 def with_spans(
@@ -61,7 +68,9 @@ def with_spans(
     A span that ends the sentence is in all_phrases only, unless ``flush_last``.
     """
     found = df.withColumn("_s", spans(F.col(tokens), F.col(tags), split_on_b))
-    closed = F.col("_s") if flush_last else F.filter("_s", lambda s: s["last"] < F.size(tags))
+    closed = F.col("_s") if flush_last else let(
+        F.size(tags), lambda n: F.filter("_s", lambda s: s["last"] < n)
+    )
     return (
         found.withColumn("all_phrases", F.transform("_s", lambda s: s["phrase"]))
         .withColumn("_s", closed)
@@ -121,10 +130,14 @@ def paint(df: DataFrame, row_id: str, text: str, phrases: str, tags: str) -> tup
     longest = F.coalesce(
         F.array_max(F.transform("ents", lambda e: F.size(F.split(e["p"], r"\s+")))), F.lit(1)
     )
-    low = F.transform("words", F.lower)
     at = base.select(
         "id",
-        F.posexplode(F.transform(low, lambda w, i: F.slice(low, i + 1, longest))).alias("pos", "next"),
+        F.posexplode(
+            let(
+                F.struct(F.transform("words", F.lower).alias("low"), longest.alias("most")),
+                lambda r: F.transform(r["low"], lambda w, i: F.slice(r["low"], i + 1, r["most"])),
+            )
+        ).alias("pos", "next"),
     )
     hits = (
         at.withColumn("key", F.get("next", F.lit(0)))

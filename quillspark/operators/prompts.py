@@ -155,7 +155,7 @@ def concept_lists(sentences: DataFrame, top: int) -> DataFrame:
         sentences.withColumn("_n", F.row_number().over(first))
         .filter(F.col("_n") <= top)
         .groupBy("label")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "sentence"))), lambda s: s["sentence"]).alias("concepts"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "sentence"))), lambda s: s["sentence"]).alias("concepts"))
     )
 
 

@@ -100,7 +100,7 @@ def member_text(members: DataFrame, limit: int | None) -> DataFrame:
         kept = kept.filter(F.col("_n") <= limit)
     return kept.groupBy("grp").agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("_n", "feature"))), lambda s: s["feature"]), ", "
+            F.transform(F.sort_array(F.collect_list(F.struct("_n", "feature"))), lambda s: s["feature"]), ", "
         ).alias("members")
     )
 

@@ -48,7 +48,7 @@ def encode(docs: DataFrame, doc: str, text: str, vocab: DataFrame) -> DataFrame:
     items = F.flatten(
         F.collect_list(F.transform("at", lambda p: F.struct(p.alias("p"), F.col("id"), F.col("token"))))
     )
-    ordered = found.groupBy("doc").agg(F.array_sort(items).alias("_x"))
+    ordered = found.groupBy("doc").agg(F.sort_array(items).alias("_x"))
     known = lambda s: F.when(s["id"] == UNK, fx.SPECIAL_TOKENS[UNK]).otherwise(s["token"])
     full = docs.select(F.col(doc).alias("doc")).join(ordered, "doc", "left").withColumn(
         "_x", F.coalesce("_x", F.array().cast("array<struct<p:int,id:int,token:string>>"))
@@ -69,7 +69,7 @@ def decode(encoded: DataFrame, doc: str, ids: str, vocab: DataFrame) -> DataFram
     )
     named = places.join(vocab.select("id", "token"), "id", "left")
     items = F.flatten(F.collect_list(F.transform("at", lambda p: F.struct(p.alias("p"), F.col("token")))))
-    return named.groupBy("doc").agg(F.transform(F.array_sort(items), lambda s: s["token"]).alias("tokens"))
+    return named.groupBy("doc").agg(F.transform(F.sort_array(items), lambda s: s["token"]).alias("tokens"))
 
 
 def _gram_hits(docs: DataFrame, doc: str, tokens: str, n: int, patterns: DataFrame, side: str) -> DataFrame:

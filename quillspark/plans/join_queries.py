@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import hashing as hs
+from quillspark.functions.binding import let
 from quillspark.functions import text as tx
 from quillspark.functions import vectors as vx
 from quillspark.operators import constraints as cs
@@ -21,16 +22,18 @@ from quillspark.plans.text_queries import S, pos_rule, response
 
 
 def _ring_sql(group: str) -> str:
-    """Texts of a label in hash order as one list; each takes the next three others."""
+    """Places of a label numbered in hash order; each text looks at the next six."""
     return f"""WITH e AS (SELECT g, t, unnest(range(1, least(c, 3) + 1)) AS copy FROM
-        (SELECT {group} AS g, text AS t, count(*) AS c FROM documents GROUP BY ALL)),
-      hashed AS (SELECT *, {q.h('exemplar', 't', 'copy')} AS hh FROM e),
-      placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY hh, t, copy) AS rn FROM hashed),
-      rings AS (SELECT g, list(t ORDER BY rn) AS ts FROM placed GROUP BY g),
-      picked AS (SELECT p.g, p.t, list_filter((ts[rn + 1:] || ts[1:rn - 1])[1:6], lambda x: x <> p.t)[1:3] AS three
-        FROM placed p JOIN rings r ON p.g = r.g WHERE copy = 1)
-      SELECT doc_id, coalesce(array_to_string(list_transform(three, lambda x: '"' || x || '"'), ','), '') AS exemplars
-      FROM documents d JOIN picked p ON p.g = {group} AND p.t = d.text"""
+        (SELECT {group} AS g, md5(text) AS t, count(*) AS c FROM documents GROUP BY ALL)),
+      placed AS (SELECT g, t, copy, row_number() OVER (PARTITION BY g ORDER BY {q.h('exemplar', 't', 'copy')}) - 1 AS rn,
+        count(*) OVER (PARTITION BY g) AS n FROM e),
+      ahead AS (SELECT g, t, j, (rn + j) % n AS rn FROM placed, range(1, 7) AS r(j) WHERE copy = 1 AND j < n),
+      other AS (SELECT a.g, a.t, p.t AS o, row_number() OVER (PARTITION BY a.g, a.t ORDER BY j) AS k
+        FROM ahead a JOIN placed p ON p.g = a.g AND p.rn = a.rn WHERE p.t <> a.t),
+      texts AS (SELECT {group} AS g, md5(text) AS t, any_value(text) AS text FROM documents GROUP BY ALL),
+      three AS (SELECT o.g, o.t, string_agg('"' || text || '"', ',' ORDER BY k) AS exemplars FROM other o
+        JOIN texts x ON x.g = o.g AND x.t = o.o WHERE k <= 3 GROUP BY ALL)
+      SELECT doc_id, coalesce(exemplars, '') AS exemplars FROM documents d LEFT JOIN three p ON p.g = {group} AND p.t = md5(d.text)"""
 
 
 @query("j1_same_label_exemplars", _ring_sql("lang"))
@@ -166,12 +169,26 @@ def _(t):
 # Substitutes for the keyword walks: the keyword without its last letter, and, for some,
 # a neighbouring keyword of the list, so that the "already in the list" rule is met.
 def _alts(rows):
-    kws = rows.select("id", F.posexplode("kws").alias("pos", "target"), "kws")
-    nxt = F.coalesce(F.get("kws", F.col("pos") + 1), F.col("target"))
-    cand = F.when(F.col("pos") % 3 == 0, nxt).otherwise(F.expr("left(target, length(target) - 1)"))
-    ranked = kws.select("id", "target", cand.alias("word"), F.lit(1).alias("rank")).unionByName(
-        kws.filter("pos % 5 <> 4").select("id", "target", F.lit("zz").alias("word"), F.lit(2).alias("rank"))
-    )
+    return _ranked_alts(_with_next(rows))
+
+
+def _with_next(rows):
+    """(id, pos, target, word): each keyword and its rule-made best substitute."""
+    def pair(ws):
+        return F.transform(
+            ws, lambda w, i: F.struct(w.alias("target"), F.coalesce(F.get(ws, i + 1), w).alias("nxt"))
+        )
+
+    pairs = rows.select("id", F.posexplode(let(F.col("kws"), pair)).alias("pos", "p"))
+    flat = pairs.select("id", "pos", "p.target", "p.nxt")
+    word = F.when(F.col("pos") % 3 == 0, F.col("nxt")).otherwise(F.expr("left(target, length(target) - 1)"))
+    return flat.select("id", "pos", "target", word.alias("word"))
+
+
+def _ranked_alts(best):
+    second = F.when(F.col("pos") % 5 != 4, F.lit("zz"))
+    both = F.filter(F.array(F.col("word"), second), lambda w: w.isNotNull())
+    ranked = best.select("id", "target", F.posexplode(both).alias("rank", "word"))
     return cs.first_alternatives(ranked)
 
 
@@ -184,10 +201,12 @@ def _alts_sql(table: str) -> str:
         (SELECT id, kws, unnest(range(1, len(kws) + 1)) AS i FROM {table}))"""
 
 
-def _walk_sql(seed: str, lookup: bool, other: str = "") -> str:
-    """CTEs final(id, ws) and pool(id, xs) from kw(id, kws)."""
+def _walk_sql(seed: str, lookup: bool, other: str = "", shared: bool = False) -> str:
+    """CTEs f(id, ws) and x(id, xs) from kw(id, kws); ``shared``: equal keywords of a row
+    share the alternative of their first place."""
+    first = "first_value(alt) OVER (PARTITION BY id, kw ORDER BY pos)" if shared else "alt"
     look = f"CASE WHEN {q.h32(seed + 'look', 'id', 'pos')} % 2 = 1 THEN alt END" if lookup else "alt"
-    return f"""a AS ({_alts_sql('kw')}),
+    return f"""a AS (SELECT id, pos, kw, {first} AS alt FROM ({_alts_sql('kw')})),
       w AS (SELECT id, pos, kw, {look} AS alt, {q.h32(seed, 'id', 'pos')} % 2 = 1 AS heads FROM a),
       f AS (SELECT id, list(CASE WHEN alt IS NOT NULL AND heads THEN kw || ' or ' || alt ELSE kw END ORDER BY pos) AS ws
         FROM w GROUP BY id),
@@ -206,7 +225,7 @@ def _walk_sql(seed: str, lookup: bool, other: str = "") -> str:
 )
 def _(t):
     rows = t.documents.select(
-        F.col("doc_id").alias("id"), F.array_sort(tx.lower_words(F.col("text"))).alias("kws")
+        F.col("doc_id").alias("id"), F.sort_array(tx.lower_words(F.col("text"))).alias("kws")
     )
     return cs.top_keyword_lists(rows, _alts(rows))
 
@@ -219,7 +238,7 @@ _NV = f"""base AS (SELECT doc_id AS id, list_sort({q.lower_words('text')}) AS ws
 
 def _word_classes(t):
     ws = t.documents.select(
-        F.col("doc_id").alias("id"), F.array_sort(tx.lower_words(F.col("text"))).alias("ws")
+        F.col("doc_id").alias("id"), F.sort_array(tx.lower_words(F.col("text"))).alias("ws")
     )
     third = lambda w: F.char_length(w) % 3
     return ws.select(
@@ -231,7 +250,7 @@ def _nv_alts(rows):
     mixed = rows.select(
         "id",
         F.transform(
-            F.array_sort(F.transform("nv", lambda x, p: F.concat(hs.draw("nvm", F.col("id"), p + 1), x))),
+            F.sort_array(F.transform("nv", lambda x, p: F.concat(hs.draw("nvm", F.col("id"), p + 1), x))),
             lambda s: F.substr(s, F.lit(33)),
         ).alias("kws"),
     )
@@ -259,8 +278,8 @@ def _(t):
 # Entity tags by rule: a capitalised word opens an entity, a word in -tion continues one,
 # words in -er carry a loose I-.
 def tag_rule(words):
-    def one(w, i):
-        before = F.coalesce(F.get(words, i - 1), F.lit("x"))
+    def one(ws, w, i):
+        before = F.coalesce(F.get(ws, i - 1), F.lit("x"))
         return (
             F.when(w.rlike("^[A-Z]"), F.when(F.char_length(w) % 2 == 0, "B-LOC").otherwise("B-PER"))
             .when(w.rlike("tion$") & before.rlike("^[A-Z]"), "I-LOC")
@@ -268,7 +287,7 @@ def tag_rule(words):
             .otherwise("O")
         )
 
-    return F.transform(words, one)
+    return let(words, lambda ws: F.transform(ws, lambda w, i: one(ws, w, i)))
 
 
 TAGGED = f"""tagged AS (SELECT doc_id, pos, word, CASE WHEN regexp_matches(word, '^[A-Z]') THEN
@@ -324,7 +343,7 @@ def _(t):
         AND regexp_full_match(word, '[A-Za-z]+') AND NOT list_contains({q.STOP_SQL}, word)), []) AS kws
         FROM documents d LEFT JOIN tagged USING (doc_id) GROUP BY d.doc_id),
       ph AS (SELECT doc_id AS id, list(phrase ORDER BY run) AS phrases FROM spans GROUP BY doc_id),
-      {_walk_sql("ner", True)}
+      {_walk_sql("ner", True, shared=True)}
       SELECT kw.id, trim(array_to_string(coalesce(ph.phrases, []) || coalesce({q.pick_of('nern', 'f.ws', 'kw.id')}, []), ','), ',') AS inc_kws,
         coalesce(trim(array_to_string({q.pick_of('nerx', 'x.xs', 'kw.id')}, ','), ','), '') AS exc_kws
       FROM kw LEFT JOIN ph ON ph.id = kw.id LEFT JOIN f ON f.id = kw.id LEFT JOIN x ON x.id = kw.id""",
@@ -336,21 +355,8 @@ def _(t):
         ner.plain_words(F.col("tokens"), F.col("ner_tags"), S()).alias("kws"),
     )
     # equal words of a row share one alternative: the one of their first place
-    kws = rows.select("id", F.posexplode("kws").alias("pos", "target"), "kws")
-    return cs.entity_lists(rows, _first_place_alts(kws))
-
-
-def _first_place_alts(kws):
-    first = kws.withColumn(
-        "word",
-        F.when(F.col("pos") % 3 == 0, F.coalesce(F.get("kws", F.col("pos") + 1), F.col("target"))).otherwise(
-            F.expr("left(target, length(target) - 1)")
-        ),
-    ).groupBy("id", "target").agg(F.min_by("word", "pos").alias("word"), F.min("pos").alias("pos"))
-    ranked = first.select("id", "target", "word", F.lit(1).alias("rank")).unionByName(
-        first.filter("pos % 5 <> 4").select("id", "target", F.lit("zz").alias("word"), F.lit(2).alias("rank"))
-    )
-    return cs.first_alternatives(ranked)
+    first = _with_next(rows).groupBy("id", "target").agg(F.min_by("word", "pos").alias("word"), F.min("pos").alias("pos"))
+    return cs.entity_lists(rows, _ranked_alts(first))
 
 
 @query(
@@ -519,7 +525,7 @@ def _qa_rows(t):
 
 @query("t12_other_words", f"WITH {_QA} SELECT item_id, array_to_string(list_sort(ws), ' ') AS other_words FROM ow")
 def _(t):
-    return _qa_rows(t).select("item_id", F.array_join(F.array_sort("ws"), " ").alias("other_words"))
+    return _qa_rows(t).select("item_id", F.array_join(F.sort_array("ws"), " ").alias("other_words"))
 
 
 @query(

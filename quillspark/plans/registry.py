@@ -17,7 +17,10 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        # a table of fewer splits than cores (one small file) is dealt out once
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def query(key: str, sql: str | None = None):

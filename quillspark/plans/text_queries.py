@@ -65,7 +65,7 @@ def _(t):
 )
 def _(t):
     kept = tx.content_tokens(tx.tokens(F.col("text")), S())
-    return t.documents.select("doc_id", F.array_join(F.array_sort(kept), " ").alias("kept"))
+    return t.documents.select("doc_id", F.array_join(F.sort_array(kept), " ").alias("kept"))
 
 
 @query(
@@ -196,7 +196,7 @@ def _class_sql(tag: str) -> str:
 def _(t):
     tagged = t.documents.select("doc_id", tx.words(F.col("text")).alias("ws")).withColumn("tags", F.transform("ws", pos_rule))
     out = ps.word_lists(tagged, "ws", "tags", S())
-    line = lambda c: F.array_join(F.array_sort(F.col(c)), " ").alias(c)
+    line = lambda c: F.array_join(F.sort_array(F.col(c)), " ").alias(c)
     return out.select("doc_id", "pos_seq", line("nouns"), line("verbs"), line("others"))
 
 
