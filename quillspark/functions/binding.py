@@ -14,3 +14,12 @@ from pyspark.sql import functions as F
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def once(value: Column | str) -> Column:
+    """The value of a computed array column, for exploding.
+
+    Exploding a bare column makes the optimizer infer a size filter and push it below the
+    projections, where the column's whole expression is inlined and runs again.
+    """
+    return let(F.col(value) if isinstance(value, str) else value, lambda v: v)

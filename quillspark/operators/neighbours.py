@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.binding import once
 from quillspark.functions.hashing import draw, draw32
 from quillspark.functions.vectors import normalised
 from quillspark.session import materialise
@@ -250,7 +251,7 @@ def rank_keywords(
     from quillspark.functions.vectors import cosine
 
     exploded = rows.select(
-        F.col(row_id).alias("id"), F.col(label).alias("label"), F.explode(keywords).alias("word")
+        F.col(row_id).alias("id"), F.col(label).alias("label"), F.explode(once(keywords)).alias("word")
     )
     pairs = exploded.select("word", "label").distinct()
     scored = (

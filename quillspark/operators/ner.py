@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.binding import let
+from quillspark.functions.binding import let, once
 
 from quillspark.functions import fixed as fx
 from quillspark.functions.text import is_alphabetic, label_words
@@ -122,10 +122,12 @@ def paint(df: DataFrame, row_id: str, text: str, phrases: str, tags: str) -> tup
         F.arrays_zip(F.col(phrases).alias("p"), F.col(tags).alias("t")).alias("ents"),
     )
     wanted = (
-        base.select("id", F.posexplode("ents").alias("ord", "e"))
+        base.select("id", F.posexplode(once("ents")).alias("ord", "e"))
         .select("id", "ord", F.col("e.p").alias("phrase"), F.col("e.t").alias("tag"))
         .withColumn("pw", F.filter(F.split(F.lower("phrase"), r"\s+"), lambda w: w != ""))
     )
+    # equal phrases cover the same places, so only the last of them paints
+    last = wanted.groupBy("id", "pw").agg(F.max("ord").alias("ord"), F.max_by("tag", "ord").alias("tag"))
     # each position carries as many following words as the row's longest phrase has
     longest = F.coalesce(
         F.array_max(F.transform("ents", lambda e: F.size(F.split(e["p"], r"\s+")))), F.lit(1)
@@ -141,9 +143,9 @@ def paint(df: DataFrame, row_id: str, text: str, phrases: str, tags: str) -> tup
     )
     hits = (
         at.withColumn("key", F.get("next", F.lit(0)))
-        .join(wanted.withColumn("key", F.get("pw", F.lit(0))), ["id", "key"])
+        .join(last.withColumn("key", F.get("pw", F.lit(0))), ["id", "key"])
         .filter(F.slice("next", F.lit(1), F.size("pw")) == F.col("pw"))
-        .select("id", "ord", F.col("pos").alias("start"), F.size("pw").alias("len"), "tag")
+        .select("id", "ord", "pw", F.col("pos").alias("start"), F.size("pw").alias("len"), "tag")
     )
     covered = (
         hits.select("id", "ord", "start", "tag", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("off"))
@@ -157,15 +159,20 @@ def paint(df: DataFrame, row_id: str, text: str, phrases: str, tags: str) -> tup
         .groupBy("id", "pos")
         .agg(F.max_by("put", F.struct("ord", "start")).alias("put"))
     )
-    per_row = covered.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "put"))).alias("m"))
-    painted = base.join(per_row, "id", "left").select(
+    per_row = (
+        base.select("id", F.posexplode(once("words")).alias("pos", "w"))
+        .join(covered, ["id", "pos"], "left")
+        .groupBy("id")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "w", F.coalesce("put", F.lit("O")).alias("t")))).alias("m"))
+    )
+    none = F.array().cast("array<string>")
+    # a text without words keeps its row
+    painted = df.select(F.col(row_id).alias("id")).join(per_row, "id", "left").select(
         "id",
-        "words",
-        F.transform(
-            "words", lambda w, i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit("O"))
-        ).alias("tags"),
+        F.coalesce(F.transform("m", lambda s: s["w"]), none).alias("words"),
+        F.coalesce(F.transform("m", lambda s: s["t"]), none).alias("tags"),
     )
-    missing = wanted.join(hits.select("id", "ord").distinct(), ["id", "ord"], "left_anti").select(
+    missing = wanted.join(hits.select("id", "pw").distinct(), ["id", "pw"], "left_anti").select(
         "id", "ord", "phrase"
     )
     return painted, missing

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import fixed as fx
+from quillspark.functions.binding import once
 from quillspark.functions.text import ngrams_upto, vocabulary_tokens
 
 CLS, SEP, UNK = 1, 2, 3
@@ -63,7 +64,7 @@ def encode(docs: DataFrame, doc: str, text: str, vocab: DataFrame) -> DataFrame:
 def decode(encoded: DataFrame, doc: str, ids: str, vocab: DataFrame) -> DataFrame:
     """(doc, tokens) from ids."""
     places = (
-        encoded.select(F.col(doc).alias("doc"), F.posexplode(ids).alias("pos", "id"))
+        encoded.select(F.col(doc).alias("doc"), F.posexplode(once(ids)).alias("pos", "id"))
         .groupBy("doc", "id")
         .agg(F.collect_list("pos").alias("at"))
     )
