@@ -21,7 +21,7 @@ def keyword_groups(table: DataFrame, k: int) -> DataFrame:
         .filter(F.col("grp") <= 2 * k)
     )
     kws = F.filter(
-        F.transform(F.split("examples", ","), F.trim), lambda w: ~w.contains("[UNK]") & (w != "")
+        F.transform(F.split("examples", ","), lambda w: F.trim(w)), lambda w: ~w.contains("[UNK]") & (w != "")
     )
     return top.select("label", "grp", F.posexplode(kws).alias("kw_no", "kw"))
 

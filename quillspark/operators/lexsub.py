@@ -17,7 +17,9 @@ from quillspark.session import materialise
 
 
 def capitalised(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substr(word, F.lit(2))))
+    first = F.substring(word, 1, 1)
+    # title case of ß is Ss
+    return F.concat(F.when(first == "ß", "Ss").otherwise(F.upper(first)), F.lower(F.substr(word, F.lit(2))))
 
 
 def filter_candidates(
@@ -107,16 +109,19 @@ RELATIONS = [
 def closure(edges: DataFrame, depth: int = -1) -> DataFrame:
     """(kind, word, related): everything reachable over edges of the same kind.
 
-    Frontier by frontier; each is written out, so lineage stays short and cycles end when
-    no new pair appears. ``depth`` bounds the steps, -1 runs to the end.
+    Without a bound the known pairs are joined with themselves, which doubles the path
+    length per step; with ``depth`` they grow by one edge per step. New pairs are written
+    out, so lineage stays short, and cycles end when no new pair appears.
     """
     edges = edges.select("kind", "word", "related").distinct()
     known = frontier = edges
     step = 1
-    hop = edges.select("kind", F.col("word").alias("_mid"), F.col("related").alias("_next"))
     while depth < 0 or step < depth:
+        hop = (known if depth < 0 else edges).select(
+            "kind", F.col("word").alias("_mid"), F.col("related").alias("_next")
+        )
         reached = (
-            frontier.withColumnRenamed("related", "_mid")
+            (known if depth < 0 else frontier).withColumnRenamed("related", "_mid")
             .join(hop, ["kind", "_mid"])
             .select("kind", "word", F.col("_next").alias("related"))
             .distinct()
