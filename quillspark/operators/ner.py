@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.binding import let, once
@@ -11,6 +11,9 @@ from quillspark.functions import fixed as fx
 from quillspark.functions.text import is_alphabetic, label_words
 
 
+PEEK = 8
+
+
 def _positions(tags: Column, test) -> Column:
     """1-based positions for which test(i) holds; none for an empty list."""
     n = F.size(tags)
@@ -127,26 +130,29 @@ def paint(df: DataFrame, row_id: str, text: str, phrases: str, tags: str) -> tup
         .withColumn("pw", F.filter(F.split(F.lower("phrase"), r"\s+"), lambda w: w != ""))
     )
     # equal phrases cover the same places, so only the last of them paints
-    last = wanted.groupBy("id", "pw").agg(F.max("ord").alias("ord"), F.max_by("tag", "ord").alias("tag"))
-    # each position carries as many following words as the row's longest phrase has
-    longest = F.coalesce(
-        F.array_max(F.transform("ents", lambda e: F.size(F.split(e["p"], r"\s+")))), F.lit(1)
+    wanted = wanted.withColumn("last", F.max("ord").over(Window.partitionBy("id", "pw")))
+    painters = wanted.filter("ord = last").select(
+        "id", "ord", "tag", "pw", F.size("pw").alias("len"), F.get("pw", F.lit(0)).alias("key")
     )
+    # each position carries the next few words, enough to check all but long phrases
     at = base.select(
         "id",
         F.posexplode(
-            let(
-                F.struct(F.transform("words", F.lower).alias("low"), longest.alias("most")),
-                lambda r: F.transform(r["low"], lambda w, i: F.slice(r["low"], i + 1, r["most"])),
-            )
-        ).alias("pos", "next"),
+            let(F.transform("words", F.lower), lambda low: F.transform(low, lambda w, i: F.slice(low, i + 1, PEEK)))
+        ).alias("start", "next"),
+    ).withColumn("key", F.get("next", F.lit(0)))
+    begun = at.join(painters, ["id", "key"]).filter(
+        F.slice("next", F.lit(1), F.size("pw")) == F.slice("pw", 1, PEEK)
     )
-    hits = (
-        at.withColumn("key", F.get("next", F.lit(0)))
-        .join(last.withColumn("key", F.get("pw", F.lit(0))), ["id", "key"])
-        .filter(F.slice("next", F.lit(1), F.size("pw")) == F.col("pw"))
-        .select("id", "ord", "pw", F.col("pos").alias("start"), F.size("pw").alias("len"), "tag")
+    short = begun.filter(F.col("len") <= PEEK).select("id", "ord", "start", "len", "tag")
+    # few places begin like a long phrase; they are checked against the whole text
+    long = (
+        begun.filter(F.col("len") > PEEK).select("id", "ord", "start", "len", "tag", "pw")
+        .join(base.select("id", F.transform("words", F.lower).alias("low")), "id")
+        .filter(F.slice("low", F.col("start") + 1, F.col("len")) == F.col("pw"))
+        .drop("low", "pw")
     )
+    hits = short.unionByName(long)
     covered = (
         hits.select("id", "ord", "start", "tag", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("off"))
         .withColumn("pos", F.col("start") + F.col("off"))
@@ -172,9 +178,9 @@ def paint(df: DataFrame, row_id: str, text: str, phrases: str, tags: str) -> tup
         F.coalesce(F.transform("m", lambda s: s["w"]), none).alias("words"),
         F.coalesce(F.transform("m", lambda s: s["t"]), none).alias("tags"),
     )
-    missing = wanted.join(hits.select("id", "pw").distinct(), ["id", "pw"], "left_anti").select(
-        "id", "ord", "phrase"
-    )
+    missing = wanted.join(
+        hits.select("id", F.col("ord").alias("last")).distinct(), ["id", "last"], "left_anti"
+    ).select("id", "ord", "phrase")
     return painted, missing
 
 
