@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import fixed as fx
+from quillspark.session import small
 
 
 def keyword_groups(table: DataFrame, k: int) -> DataFrame:
@@ -43,7 +44,7 @@ def keyword_sentences(groups: DataFrame, rows: DataFrame, single_words: bool = F
         hits = words.join(wanted.select("label", "needle").distinct(), ["label", "needle"])
     else:
         lists = wanted.groupBy("label").agg(F.collect_set("needle").alias("needles"))
-        hits = rows.join(lists, F.lower("label_name") == F.col("label")).select(
+        hits = rows.join(small(lists), F.lower("label_name") == F.col("label")).select(
             "row_id", "label",
             F.explode(F.filter("needles", lambda n: F.col("sentence").contains(n))).alias("needle"),
         )

@@ -66,17 +66,22 @@ def concatenated_ids(a: Column, b: Column) -> tuple[Column, Column]:
     return F.concat(a, b), F.transform(F.concat(a, b), lambda x, i: i)
 
 
-def sentences_to_reviews(df: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Group sentences (review_id, pos, sentence, tree, label, label_name) by review:
-    ordered lists and the label of the first sentence; unknown reviews drop."""
+def sentences_to_reviews(df: DataFrame, reviews: DataFrame, as_lists: bool = False) -> DataFrame:
+    """Sentences (review_id, pos, sentence, tree, label, label_name) of known reviews, each
+    with the label of its review's first sentence.
+
+    The long form keeps one row per sentence, so a review may be of any size. ``as_lists``
+    gives one row per review with ordered lists, for reviews that fit a row.
+    """
     known = df.join(reviews.select(F.col("uid").alias("review_id")), "review_id", "left_semi")
-    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), lambda s: s[c])
-    return known.groupBy("review_id").agg(
-        ordered("sentence").alias("sentences"),
-        ordered("tree").alias("trees"),
-        F.min_by("label", "pos").alias("label"),
-        F.min_by("label_name", "pos").alias("label_name"),
+    first = known.groupBy("review_id").agg(
+        F.min_by("label", "pos").alias("label"), F.min_by("label_name", "pos").alias("label_name")
     )
+    if not as_lists:
+        return known.drop("label", "label_name").join(first, "review_id")
+    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), lambda s: s[c])
+    lists = known.groupBy("review_id").agg(ordered("sentence").alias("sentences"), ordered("tree").alias("trees"))
+    return lists.join(first, "review_id")
 
 
 def last_by_uid(df: DataFrame, uid: str, order: str) -> DataFrame:

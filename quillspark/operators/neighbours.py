@@ -114,7 +114,14 @@ def nearest_rows(
     sample = base.orderBy(draw("pivot", F.col("id")), "id").limit(wanted).select("v").toPandas()
     pivots = np.stack(sample["v"].to_numpy()) if len(sample) else np.zeros((1, 1))
 
-    sizes = base.groupBy("scope").agg(F.count(F.lit(1)).alias("n_scope"))
+    # one scope has at most max_pivots cells, so its cell tables may be broadcast; with a
+    # scope per label their number follows the labels, and joins stay adaptive
+    sized = F.broadcast if scope != "same" else (lambda d: d)
+    if scope == "same":
+        sizes = base.groupBy("scope").agg(F.count(F.lit(1)).alias("n_scope"))
+        counted = base.join(sizes, "scope")
+    else:
+        counted = base.withColumn("n_scope", F.lit(n))
 
     def locate(batches):
         for b in batches:
@@ -129,7 +136,7 @@ def nearest_rows(
             b["to_cell"] = np.where(small, 0.0, angles[np.arange(len(b)), cell])
             yield b
 
-    placed = base.join(sizes, "scope").mapInPandas(
+    placed = counted.select("id", "label", "v", "scope", "n_scope").mapInPandas(
         locate, "id bigint, label string, v array<double>, scope string, cell int, to_cell double"
     )
     placed = materialise(placed, "cells")
@@ -140,7 +147,7 @@ def nearest_rows(
         F.min("to_cell").alias("lo"),
         F.max("to_cell").alias("hi"),
     ).withColumn("blocks", F.ceil(F.col("n") / F.lit(block_rows)).cast("int"))
-    blocked = placed.join(cells.select("scope", "cell", "blocks"), ["scope", "cell"]).withColumn(
+    blocked = placed.join(sized(cells.select("scope", "cell", "blocks")), ["scope", "cell"]).withColumn(
         "block", (draw32("block", F.col("id")) % F.col("blocks")).cast("int")
     ).drop("blocks")
 
@@ -159,7 +166,7 @@ def nearest_rows(
     bound = first.groupBy("id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("sim")).alias("kth")
     )
-    asking = blocked.join(maps, "scope").join(bound, "id", "left")
+    asking = blocked.join(sized(maps), "scope").join(bound, "id", "left")
 
     def probe(batches):
         for b in batches:

@@ -388,20 +388,17 @@ def _(t):
 
 @query(
     "j21_reviews",
-    """SELECT source AS review_id, string_agg(doc_id::VARCHAR, ' ' ORDER BY doc_id) AS sentences, arg_min(lang, doc_id) AS label
-      FROM documents WHERE source IN (SELECT source FROM documents WHERE toxic_src) GROUP BY source""".replace(
-        "(SELECT source FROM documents WHERE toxic_src)",
-        "(SELECT d.source FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1)",
-    ),
+    """WITH r AS (SELECT conv_id AS review_id, arg_min(role, turn) AS label FROM conversations GROUP BY conv_id)
+      SELECT review_id, turn AS pos, text AS sentence, label FROM conversations JOIN r ON conv_id = review_id
+      WHERE conv_id IN (SELECT doc_id FROM labels WHERE toxic = 0)""",
 )
 def _(t):
-    rows = t.documents.select(
-        F.col("source").alias("review_id"), F.col("doc_id").alias("pos"), F.col("doc_id").cast("string").alias("sentence"),
-        F.lit("").alias("tree"), F.col("lang").alias("label"), F.col("lang").alias("label_name"),
+    rows = t.conversations.select(
+        F.col("conv_id").alias("review_id"), F.col("turn").alias("pos"), F.col("text").alias("sentence"),
+        F.lit("").alias("tree"), F.col("role").alias("label"), F.col("role").alias("label_name"),
     )
-    reviews = t.labels.filter("toxic = 1").join(t.documents, "doc_id").select(F.col("source").alias("uid")).distinct()
-    out = xm.sentences_to_reviews(rows, reviews)
-    return out.select("review_id", F.array_join("sentences", " ").alias("sentences"), "label")
+    reviews = t.labels.filter("toxic = 0").select(F.col("doc_id").alias("uid"))
+    return xm.sentences_to_reviews(rows, reviews).select("review_id", "pos", "sentence", "label")
 
 
 _KW = f"""{_MERGED}, ex AS (SELECT key, cls, string_agg(feature, ', ' ORDER BY rn) AS examples FROM

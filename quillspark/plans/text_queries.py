@@ -12,6 +12,7 @@ from quillspark.operators import labels as lb
 from quillspark.operators import prompts as pr
 from quillspark.plans import sql as q
 from quillspark.plans.registry import query
+from quillspark.session import small
 
 S = lambda: F.array(*[F.lit(w) for w in q.STOP])
 
@@ -284,7 +285,7 @@ def _(t):
     )
     lists = pr.concept_lists(sentences, 3)
     start = pr.concept_start("cross", "solo", F.lit("a"), F.lit("b"))
-    return docs.join(lists, F.col("lang") == F.col("label")).select(
+    return docs.join(small(lists), F.col("lang") == F.col("label")).select(
         "doc_id", pr.append_concepts(F.col("text"), F.col("concepts"), start).alias("prompt")
     )
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", app: str = "quillspark") -> SparkSession:
@@ -42,6 +43,14 @@ def new_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
+SMALL_ROWS = 10_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """Broadcast a frame after counting that it is small; a larger one joins by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def materialise(df: DataFrame, stem: str) -> DataFrame:
     """Write to the shared folder and read back: survives the loss of executors."""
     spark = df.sparkSession
