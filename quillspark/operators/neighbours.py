@@ -13,12 +13,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.binding import once
 from quillspark.functions.hashing import draw, draw32
-from quillspark.functions.vectors import normalised
+from quillspark.functions.vectors import dot, normalised
 from quillspark.session import materialise
 
 BLOCK_ROWS = 2048
@@ -255,15 +255,16 @@ def rank_keywords(
     ``word_vectors(word, wv)``, ``label_vectors(label, lv)``. Cosines are computed once
     per distinct (word, label); only scores travel back to the rows.
     """
-    from quillspark.functions.vectors import cosine
-
     exploded = rows.select(
         F.col(row_id).alias("id"), F.col(label).alias("label"), F.explode(once(keywords)).alias("word")
     )
     pairs = exploded.select("word", "label").distinct()
+    # unit vectors once per word and label, one product per pair
+    of_word = word_vectors.select("word", normalised(F.col("wv")).alias("wv"))
+    of_label = label_vectors.select("label", normalised(F.col("lv")).alias("lv"))
     scored = (
-        pairs.join(word_vectors, "word").join(label_vectors, "label")
-        .select("word", "label", F.round(cosine(F.col("wv"), F.col("lv")), 8).alias("score"))
+        pairs.join(of_word, "word").join(of_label, "label")
+        .select("word", "label", F.round(dot(F.col("wv"), F.col("lv")), 8).alias("score"))
     )
     ranked = exploded.join(scored, ["word", "label"]).groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("word")))).alias("_k")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,14 @@ class Tables:
         return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def widen(key: str, *columns: str) -> None:
+    """Return the named integer columns of a query as bigint, as SQL row numbers are."""
+    inner = QUERIES[key]
+    QUERIES[key] = lambda spark, folder: inner(spark, folder).withColumns(
+        {c: F.col(c).cast("bigint") for c in columns}
+    )
+
+
 def query(key: str, sql: str | None = None):
     """Register fn(tables) -> DataFrame under ``key``, with its SQL where there is one."""
 
