@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.binding import let
 
 from quillspark.functions import fixed as fx
 from quillspark.functions.text import PUNCTUATION

@@ -18,7 +18,7 @@ from quillspark.operators import qa
 from quillspark.operators import sampling as sm
 from quillspark.plans import sql as q
 from quillspark.plans.registry import query
-from quillspark.plans.text_queries import S, pos_rule, response
+from quillspark.plans.text_queries import S, response
 
 
 def _ring_sql(group: str) -> str:

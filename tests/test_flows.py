@@ -74,6 +74,25 @@ def test_entity_flow(spark):
     assert got[(0, 1)]["tags"] == ["B-PER", "O", "O", "B-PER", "O"]
 
 
+def test_question_and_pair_variants(spark):
+    qa_rows = spark.createDataFrame(
+        [(1, "First thing. It was in Rome then. Last", "x", "Where?", "Rome"), (2, "Nothing here", "x", "Who?", "Bob")],
+        "row_id bigint, text string, label string, question string, answer string",
+    )
+    got = {r["row_id"]: r for r in extractor.extract(qa_rows, "qa").collect()}
+    assert got[1]["inc_kws"].endswith('" It was in Rome then"') and "anwer the question: Where?" in got[1]["final_topic_const"]
+    assert got[2]["inc_kws"] == "" and "keywords" not in got[2]["final_topic_const"]
+    lists = "nouns{k} array<string>, verbs{k} array<string>, others{k} array<string>, pos_seq{k} string"
+    schema = "row_id bigint, text1 string, text2 string, label string, " + lists.format(k=1) + ", " + lists.format(k=2)
+    pairs = spark.createDataFrame(
+        [(1, "A dog runs.", "A cat sits.", "not_equivalent", ["dog"], ["runs"], [], "DET NOUN VERB", ["cat"], ["sits"], [], "DET NOUN VERB")], schema
+    )
+    r = extractor.extract_pairs(pairs, {}).first()
+    assert "should not be semantically similar to the sentence: A cat sits." in r["final_const1"]
+    assert "similar to the sentence: A dog runs." in r["final_topic_const2"]
+    assert r["inc_kws1"] in ("dog", "runs")
+
+
 def test_files(spark, tmp_path):
     conll = tmp_path / "x.conll"
     conll.write_text("# id 1 domain=x\nIn\tO\nRome\tB-LOC\n\nHi\tO\n")
