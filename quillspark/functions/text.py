@@ -68,9 +68,13 @@ def content_tokens(tok: Column, stopwords: Column) -> Column:
     return F.filter(kept, lambda w: (F.char_length(w) >= 2) & (F.trim(w) != ""))
 
 
+def letter_runs(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
 def lower_words(text: Column) -> Column:
     """Distinct lower-case letter runs."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+    return F.array_distinct(letter_runs(text))
 
 
 def is_alphabetic(word: Column) -> Column:

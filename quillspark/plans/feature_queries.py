@@ -27,7 +27,7 @@ def labelled(t):
 
 
 def word_feats(docs, keep=("y",)):
-    return mi.features_of(docs, "doc", tx.lower_words(F.col("text")), keep)
+    return mi.features_of(docs, "doc", tx.letter_runs(F.col("text")), keep)
 
 
 LABELLED = f"""docs AS (SELECT d.doc_id AS doc, quality AS y, text,

@@ -505,7 +505,7 @@ _GROUPS = f"""{fq.LABELLED}, m AS (SELECT feature, left(feature, 2) AS grp FROM
 
 def grouped_docs(t):
     docs = fq.with_model(fq.labelled(t)).withColumnRenamed("acc", "acc_m")
-    feats = mi.features_of(docs, "doc", tx.lower_words(F.col("text")), ("y", "split", "acc_m"))
+    feats = mi.features_of(docs, "doc", tx.letter_runs(F.col("text")), ("y", "split", "acc_m"))
     seen = feats.filter("split = 'train'").groupBy("feature").agg(F.count(F.lit(1)).alias("n")).filter("n between 5 and 50")
     members = seen.select(F.substring("feature", 1, 2).alias("grp"), "feature", F.col("n").cast("double").alias("mi"))
     return rp.group_documents(feats, members, ["y", "split", "acc_m"]), members
@@ -586,7 +586,7 @@ def _(t):
 )
 def _(t):
     docs = fq.with_model(fq.labelled(t))
-    feats = mi.features_of(docs, "doc", tx.lower_words(F.col("text")), ("y", "split", "acc"))
+    feats = mi.features_of(docs, "doc", tx.letter_runs(F.col("text")), ("y", "split", "acc"))
     cut = lambda c: F.char_length(F.substring_index("feature", c, 1))
     fam = F.array(
         F.struct(F.lit("prefix").alias("family"), cut("e").alias("idx")), F.struct(F.lit("suffix").alias("family"), cut("n").alias("idx"))
