@@ -60,3 +60,43 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.expr("cast(coalesce(length(ids), 0) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+OP8_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, len({WORDS_SQL.format("coalesce(text, '')")})::BIGINT AS size,
+    md5(coalesce(doc_id::VARCHAR, '')) AS mark FROM documents),
+g AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1 AS no,
+    no % 3 + 1 AS weight,
+    (sum(source_size) OVER ())::BIGINT AS total FROM g),
+step AS (  -- every round fixes the sources whose share is above their cap
+  SELECT 0 AS k, (SELECT max(total) FROM w)::DOUBLE AS words, (SELECT sum(weight) FROM w)::DOUBLE AS open
+  UNION ALL
+  SELECT k + 1, (SELECT max(total) - coalesce(sum(3 * source_size) FILTER (WHERE 3 * source_size < step.words / step.open * weight), 0) FROM w)::DOUBLE,
+    (SELECT sum(weight) FILTER (WHERE NOT 3 * source_size < step.words / step.open * weight) FROM w)::DOUBLE
+  FROM step WHERE k < 40),
+t AS (
+  SELECT source, source_size, least(3.0 * source_size, (SELECT words / open FROM step WHERE k = 40) * weight)::DOUBLE AS target,
+    (no % 3 - 1) * 0.5::DOUBLE AS tilt FROM w),
+o AS (
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, t.tilt,
+    (sum(d.size) OVER (PARTITION BY d.source ORDER BY mark, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size)::DOUBLE AS ahead,
+    CASE WHEN t.source_size > 0 THEN least(floor(t.target / t.source_size), 3) ELSE 0 END::BIGINT AS passes
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  (CASE WHEN size = 0 THEN 0 WHEN passes < 3 AND ahead + size / 2.0 <= target - passes * source_size THEN passes + 1
+    ELSE passes END * size)::BIGINT AS taken,
+  CASE WHEN taken = 0 THEN NULL WHEN tilt = 0 THEN least(ahead / greatest(target, 1), 1)
+    ELSE (sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * least(ahead / greatest(target, 1), 1)) - (1 - tilt)) / (2 * tilt)
+    END AS position
+FROM o
+"""
+
+
+@query("op8_mixing", OP8_SQL)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from quillspark.llm.mixing import mix
+
+    return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
