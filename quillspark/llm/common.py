@@ -110,3 +110,44 @@ def held_out(doc_id: Column, of: int, rest: int) -> Column:
 
 
 FINDS = re.compile(WORD)
+
+
+#: Labelled rows a classifier is fitted on, at most (about).
+TRAIN_ROWS = 16_000
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, of: int, rest: int, most: int = TRAIN_ROWS,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """Texts and labels to learn from: (mark, text, label), about ``most`` rows at most.
+
+    Only rows whose crc32 of the id modulo ``of`` is not ``rest``. Ids are drawn by hash; null
+    labels and texts are left out, of several labels of an id the largest counts. The drawn
+    ids are bounded by ``most``, so they are broadcast and no text is shuffled to be found.
+    """
+    known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
+    known = known.filter(~held_out(F.col("doc_id"), of, rest)).groupBy("doc_id").agg(F.max("label").alias("label"))
+    n = known.count()
+    mark = F.xxhash64("doc_id", F.lit(1))
+    known = known.withColumn("mark", mark)
+    if n > most:
+        known = known.filter(F.pmod("mark", F.lit(1 << 40)) < int((1 << 40) * (most / n)))
+    drawn = F.broadcast(known.limit(most + most // 4))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropna()
+    return texts.join(drawn, "doc_id").select("mark", "text", "label")
+
+
+def fitted(sample: DataFrame, fit) -> bytes | None:
+    """Runs ``fit(texts, labels) -> bytes`` in one task over a bounded sample, in mark order."""
+    import pyarrow as pa
+
+    def fn(batches):
+        rows = [pa.Table.from_batches([b]) for b in batches]
+        if rows and sum(map(len, rows)):
+            t = pa.concat_tables(rows).sort_by([("mark", "ascending"), ("text", "ascending")])
+            model = fit(t.column("text").to_pylist(), np.array(t.column("label").to_pylist()))
+            yield pa.record_batch([pa.array([model], pa.binary())], names=["model"])
+
+    found = sample.repartition(1).mapInArrow(fn, "model binary").collect()
+    return bytes(found[0]["model"]) if found else None

@@ -100,3 +100,17 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     from quillspark.llm.mixing import mix
 
     return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from quillspark.llm.quality import quality
+
+    return quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from quillspark.llm.toxicity import toxicity
+
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
