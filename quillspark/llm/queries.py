@@ -114,3 +114,30 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     from quillspark.llm.toxicity import toxicity
 
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
+
+
+@query("op3_top_products", OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    from quillspark.llm.topk import top_products
+
+    return top_products(table(spark, folder, "embeddings"))
+
+
+@query("op4_neighbours")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from quillspark.llm.ann import neighbours
+
+    return neighbours(table(spark, folder, "embeddings"))
