@@ -141,3 +141,48 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     from quillspark.llm.ann import neighbours
 
     return neighbours(table(spark, folder, "embeddings"))
+
+
+def lines_sql(documents: str = "documents", columns: str = "doc_id") -> str:
+    """Line dedup in SQL: lines of a document id order, one word edit, half keys as block keys."""
+    words = WORDS_SQL.format("body")
+    return f"""
+l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
+  FROM {documents} WHERE text IS NOT NULL),
+lw AS (SELECT *, {words} AS w FROM l),
+f AS (SELECT w, min((doc_id, line)) AS pos FROM lw WHERE len(w) > 0 GROUP BY w),
+k AS (
+  SELECT w, pos, unnest([row('f', s, list_slice(w, 1, s)), row('f', t, list_slice(w, 1, t)),
+    row('l', s, list_slice(w, n - s + 1, n)), row('l', t, list_slice(w, n - t + 1, n))]) AS half
+  FROM (SELECT w, pos, len(w) AS n, (len(w) - 1) // 2 AS s, len(w) // 2 AS t FROM f) WHERE n >= 8),
+p AS (
+  SELECT DISTINCT a.pos AS pos, a.w AS a, b.w AS b FROM k a JOIN k b ON a.half = b.half AND b.pos < a.pos
+  AND abs(len(a.w) - len(b.w)) <= 1),
+e AS (
+  SELECT DISTINCT pos FROM p
+  WHERE coalesce(list_position(list_transform(list_zip(a, b), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false) - 1, len(a))
+    + coalesce(list_position(list_transform(list_zip(list_reverse(a), list_reverse(b)), lambda z: z[1] IS NOT DISTINCT FROM z[2]), false) - 1, len(a))
+    >= greatest(len(a), len(b)) - 1),
+g AS (
+  SELECT lw.doc_id, lw.line, lw.body, len(w) > 0 AND ((lw.doc_id, lw.line) > f.pos OR e.pos IS NOT NULL) AS gone
+  FROM lw LEFT JOIN f USING (w) LEFT JOIN e ON e.pos = (lw.doc_id, lw.line)),
+ded AS (
+  SELECT doc_id, string_agg(body, chr(10) ORDER BY line) FILTER (WHERE NOT coalesce(gone, false)) AS text,
+    count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed FROM g GROUP BY doc_id)"""
+
+
+OP2_SQL = f"""
+WITH {lines_sql()}
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,
+  CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(ded.text, '')) END AS kept_sha256
+FROM documents d LEFT JOIN ded USING (doc_id)
+"""
+
+
+@query("op2_line_dedup", OP2_SQL)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from quillspark.llm.lines import dedup_lines
+
+    out = dedup_lines(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
