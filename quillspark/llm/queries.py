@@ -208,3 +208,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
     out = remove_repeats(table(spark, folder, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op6_language_model")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from quillspark.llm.lm import language_model
+
+    return language_model(table(spark, folder, "documents"))
