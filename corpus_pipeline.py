@@ -1,26 +1,75 @@
-"""From raw documents to token ids: the stages of a training corpus."""
+"""From raw documents to token ids: the stages of a training corpus.
+
+Every stage takes the documents its predecessor kept, with the columns of ``documents``;
+the last one gives token ids. No stage can be put in SQL as a whole because of the
+classifier, so the pipeline is tested against brute-force versions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.bpe import decode, encode
+from quillspark.llm.common import Scratch, table
+from quillspark.llm.lines import dedup_lines
+from quillspark.llm.mixing import mix, schedule
 from quillspark.llm.near_dup import near_duplicates
+from quillspark.llm.quality import quality
+
+
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: documents that it rejects go. Learns from the labelled rows of ``docs``."""
+    rejected = quality(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select("doc_id")
+    return without(docs, rejected)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line dedup: texts lose lines that an earlier line repeats, up to one edit."""
+    out = dedup_lines(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+    return out.select(docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-dedup: the first document of every near-duplicate group stays."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, near_duplicates(docs).filter("not kept").select("doc_id"))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mixing: a row for every copy taken, in the order of training; rows not taken go."""
+    order = schedule(mix(docs)).toDF("_mix_id", "_mix_position").distinct()
+    out = docs.join(order, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
+    return out.orderBy("_mix_position", "doc_id").select(docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte-level BPE: ids of every text, and the digest of what they decode to."""
+    out = decode(encode(docs))
+    return out.select(
+        "doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.distinct(), "doc_id", "left_anti").select(docs.columns)
 
 
-STAGES = [("minhash near-dedup", one_of_each_group)]
+STAGES = [
+    ("quality classifier", good_documents),
+    ("line dedup", without_repeated_lines),
+    ("minhash near-dedup", one_of_each_group),
+    ("mixing sources", mixed_sources),
+    ("byte-level bpe", token_ids),
+]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of the mixed corpus of ``documents``; every stage is written and read again."""
+    scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
