@@ -60,7 +60,8 @@ def mutual_information(
         F.first("_N").alias("_N"), F.first("_C").alias("_C"), F.first("_T").alias("_T"),
         F.sum(absent - p_y * F.ln(p_y)).alias("_base"),
     )
-    present = counts.join(per_class.select(cls, "n_y", "_T"), cls).withColumn(
+    # one row per class, so the counts stay where they are
+    present = counts.join(F.broadcast(per_class.select(cls, "n_y", "_T")), cls).withColumn(
         "_gain",
         _g(F.col("c") + 1.0, t) + _g(n - F.col("c") + 1, t) - absent,
     )

@@ -93,7 +93,9 @@ def plain_words(tokens: Column, tags: Column, stopwords: Column) -> Column:
 
 
 def gloss_map(dataset: str) -> Column:
-    """Tag -> gloss as a constant map; a handful of entries per dataset."""
+    """Tag -> gloss as a constant map; a handful of entries per dataset, which must be known."""
+    if dataset not in fx.GLOSSES:
+        raise ValueError(f"no glosses for dataset {dataset!r}; known: {', '.join(fx.GLOSSES)}")
     entries = [F.lit("O"), F.lit("other")]
     for kind, gloss in fx.GLOSSES[dataset].items():
         for prefix in ("B-", "I-"):

@@ -145,18 +145,11 @@ def concept_sentences(
     )
 
 
-def concept_lists(sentences: DataFrame, top: int) -> DataFrame:
-    """(label, concepts): the first ``top`` sentences of a label.
-
-    The concept step asks for ``top`` concepts per label, so this holds all of them.
-    """
-    first = Window.partitionBy("label").orderBy("ord")
-    return (
-        sentences.withColumn("_n", F.row_number().over(first))
-        .filter(F.col("_n") <= top)
-        .groupBy("label")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "sentence"))), lambda s: s["sentence"]).alias("concepts"))
-    )
+def concept_lists(sentences: DataFrame) -> DataFrame:
+    """(label, concepts): all sentences of a label in order. The concept step asks for a few
+    per label, so the lists are short."""
+    listed = F.sort_array(F.collect_list(F.struct("ord", "sentence")))
+    return sentences.groupBy("label").agg(F.transform(listed, lambda s: s["sentence"]).alias("concepts"))
 
 
 def topic_sentence(dataset: str, label: Column) -> Column:

@@ -73,7 +73,9 @@ def decode(encoded: DataFrame, doc: str, ids: str, vocab: DataFrame) -> DataFram
     return named.groupBy("doc").agg(F.transform(F.sort_array(items), lambda s: s["token"]).alias("tokens"))
 
 
-def _gram_hits(docs: DataFrame, doc: str, tokens: str, n: int, patterns: DataFrame, side: str) -> DataFrame:
+def _gram_hits(docs: DataFrame, doc: str, tokens: str, patterns: DataFrame, side: str) -> DataFrame:
+    """Occurrences of a side's patterns, as long as the longest of them is."""
+    n = patterns.agg(F.max(F.size(F.split(side, " ")))).first()[0] or 1
     grams = docs.select(
         F.col(doc).alias("doc"),
         F.explode(F.array_distinct(F.transform(ngrams_upto(F.col(tokens), n), lambda g: F.array_join(g, " ")))).alias("gram"),
@@ -84,7 +86,7 @@ def _gram_hits(docs: DataFrame, doc: str, tokens: str, n: int, patterns: DataFra
 
 
 def ngram_pair_features(
-    docs: DataFrame, doc: str, left: str, right: str, patterns: DataFrame, max_n: int = 3, max_m: int = 3
+    docs: DataFrame, doc: str, left: str, right: str, patterns: DataFrame
 ) -> DataFrame:
     """(doc, list_id): documents in which some pair of a list has its left n-gram on the
     left and its right n-gram on the right; ϵ on a side asks for the other side only.
@@ -94,8 +96,8 @@ def ngram_pair_features(
     eps = lambda c: F.substring(F.col(c), 1, 1) == "ϵ"
     open_left, open_right = patterns.filter(eps("u")), patterns.filter(~eps("u") & eps("v"))
     closed = patterns.filter(~eps("u") & ~eps("v"))
-    left_hits = _gram_hits(docs, doc, left, max_n, patterns.filter(~eps("u")), "u")
-    right_hits = _gram_hits(docs, doc, right, max_m, open_left.unionByName(closed), "v")
+    left_hits = _gram_hits(docs, doc, left, patterns.filter(~eps("u")), "u")
+    right_hits = _gram_hits(docs, doc, right, open_left.unionByName(closed), "v")
     need = patterns.select("list_id", "pair_no", F.when(eps("u") | eps("v"), 1).otherwise(2).alias("need"))
     hits = left_hits.unionByName(right_hits).groupBy("doc", "list_id", "pair_no").agg(
         F.count(F.lit(1)).alias("got")
@@ -104,7 +106,7 @@ def ngram_pair_features(
 
 
 def right_ngram_features(
-    docs: DataFrame, doc: str, right: str, patterns: DataFrame, max_m: int = 3
+    docs: DataFrame, doc: str, right: str, patterns: DataFrame
 ) -> DataFrame:
     """(doc, list_id): any right n-gram of a list occurs; the left side is ignored."""
-    return _gram_hits(docs, doc, right, max_m, patterns, "v").select("doc", "list_id").distinct()
+    return _gram_hits(docs, doc, right, patterns, "v").select("doc", "list_id").distinct()

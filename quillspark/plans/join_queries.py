@@ -21,29 +21,28 @@ from quillspark.plans.registry import query
 from quillspark.plans.text_queries import S, response
 
 
-def _ring_sql(group: str) -> str:
-    """Places of a label numbered in hash order; each text looks at the next six."""
-    return f"""WITH e AS (SELECT g, t, unnest(range(1, least(c, 3) + 1)) AS copy FROM
-        (SELECT {group} AS g, md5(text) AS t, count(*) AS c FROM documents GROUP BY ALL)),
-      placed AS (SELECT g, t, copy, row_number() OVER (PARTITION BY g ORDER BY {q.h('exemplar', 't', 'copy')}) - 1 AS rn,
-        count(*) OVER (PARTITION BY g) AS n FROM e),
-      ahead AS (SELECT g, t, j, (rn + j) % n AS rn FROM placed, range(1, 7) AS r(j) WHERE copy = 1 AND j < n),
-      other AS (SELECT a.g, a.t, p.t AS o, row_number() OVER (PARTITION BY a.g, a.t ORDER BY j) AS k
-        FROM ahead a JOIN placed p ON p.g = a.g AND p.rn = a.rn WHERE p.t <> a.t),
-      texts AS (SELECT {group} AS g, md5(text) AS t, any_value(text) AS text FROM documents GROUP BY ALL),
-      three AS (SELECT o.g, o.t, string_agg('"' || text || '"', ',' ORDER BY k) AS exemplars FROM other o
-        JOIN texts x ON x.g = o.g AND x.t = o.o WHERE k <= 3 GROUP BY ALL)
+def _exemplar_sql(group: str) -> str:
+    """Rows of a label numbered by text digest; three draws from the rows of other texts."""
+    h = lambda j: f"('0x' || substr(md5(concat_ws('|', 'exemplar', t, '{j}')), 1, 15))::BIGINT % (m - {j})"
+    skip = lambda x: f"CASE WHEN {x} < lo THEN {x} ELSE {x} + c END"
+    return f"""WITH r AS (SELECT {group} AS g, md5(text) AS t, text, row_number() OVER (PARTITION BY {group} ORDER BY md5(text)) - 1 AS p FROM documents),
+      i AS (SELECT g, t, min(p) AS lo, count(*) AS c, n - count(*) AS m FROM r JOIN (SELECT g, count(*) AS n FROM r GROUP BY g) USING (g) GROUP BY g, t, n),
+      a AS (SELECT *, CASE WHEN m > 0 THEN {h(0)} END AS x FROM i),
+      b AS (SELECT *, CASE WHEN m > 1 THEN {h(1)} END AS y0, y0 + (y0 >= x)::INT AS y FROM a),
+      c AS (SELECT *, CASE WHEN m > 2 THEN {h(2)} END AS z0, z0 + (z0 >= least(x, y))::INT AS z1, z1 + (z1 >= greatest(x, y))::INT AS z FROM b),
+      d AS (SELECT g, t, 0 AS k, {skip('x')} AS p FROM c UNION ALL SELECT g, t, 1, {skip('y')} FROM c UNION ALL SELECT g, t, 2, {skip('z')} FROM c),
+      three AS (SELECT d.g, d.t, string_agg('"' || text || '"', ',' ORDER BY k) AS exemplars FROM d JOIN r ON r.g = d.g AND r.p = d.p GROUP BY ALL)
       SELECT doc_id, coalesce(exemplars, '') AS exemplars FROM documents d LEFT JOIN three p ON p.g = {group} AND p.t = md5(d.text)"""
 
 
-@query("j1_same_label_exemplars", _ring_sql("lang"))
+@query("j1_same_label_exemplars", _exemplar_sql("lang"))
 def _(t):
-    return ex.ring_exemplars(t.documents, "lang", "text").select("doc_id", "exemplars")
+    return ex.random_exemplars(t.documents, "lang", "text").select("doc_id", "exemplars")
 
 
-@query("j2_any_label_exemplars", _ring_sql("''"))
+@query("j2_any_label_exemplars", _exemplar_sql("''"))
 def _(t):
-    return ex.ring_exemplars(t.documents, None, "text").select("doc_id", "exemplars")
+    return ex.random_exemplars(t.documents, None, "text").select("doc_id", "exemplars")
 
 
 def _knn_sql(cond: str, k: int = 2) -> str:

@@ -667,6 +667,50 @@ def _(t):
     return gen.instructions(records, 2)
 
 
+@query("s5_conll_file", _CONLL.replace("SELECT doc_id, array_to_string(ws", "SELECT array_to_string(ws", 1))
+def _(t):
+    """Windows line ends and blank lines that hold a blank."""
+    path = new_path(t.spark, "conll")
+    block = F.regexp_replace(F.concat(ner.conll_block(F.col("words"), F.col("tags")), F.lit("\n ")), "\n", "\r\n")
+    _tagged_rows(t).filter(F.size("words") > 0).select(block.alias("value")).write.option("lineSep", "\r\n").text(path)
+    out = rd.read_conll(t.spark, path)
+    return out.select(F.array_join("tokens", " ").alias("words"), F.array_join("ner_tags", " ").alias("tags"))
+
+
+@query("s6_instructions_file", "SELECT 'A: ' || text AS instruction, lang AS input, text AS output FROM documents")
+def _(t):
+    path = new_path(t.spark, "instructions")
+    rows = t.documents.select("text", F.col("lang").alias("label"), F.concat(F.lit("A: "), "text").alias("abs_const"))
+    wr.write_instructions(rows, "exemplar", path)
+    return rd.read_instructions(t.spark, path).select("instruction", "input", "output")
+
+
+@query(
+    "s8_tree_predictions_file",
+    "SELECT doc_id::VARCHAR AS uid, text AS sentence, quality AS label, 'train' AS split FROM documents JOIN labels USING (doc_id)",
+)
+def _(t):
+    path = new_path(t.spark, "trees")
+    e = F.struct(F.col("doc_id").cast("string").alias("uid"), F.col("text"), F.col("quality").alias("label"))
+    t.documents.join(t.labels, "doc_id").select(e.alias("e"), F.lit("(0 a)").alias("tree")).write.json(path)
+    out = rd.read_tree_predictions(t.spark, {"train": path}, fx.DEFAULT_LABELS)
+    return out.select("uid", "sentence", "label", "split")
+
+
+@query("s10_examples_file", "SELECT page_id::VARCHAR AS uid, html AS text, url AS label FROM pages")
+def _(t):
+    path = new_path(t.spark, "examples")
+    t.pages.select(F.col("page_id").cast("string").alias("uid"), F.col("html").alias("text"), F.col("url").alias("label")).write.json(path)
+    return rd.read_examples(t.spark, path).select("uid", "text", "label")
+
+
+@query("s2_pair_file", "SELECT text AS text1, lang AS text2, source AS label FROM documents")
+def _(t):
+    path = new_path(t.spark, "pairs")
+    wr.write_tsv(t.documents.select(F.col("text").alias("text1"), F.col("lang").alias("text2"), F.col("source").alias("label")), path)
+    return rd.read_pairs(t.spark, path).select("text1", "text2", "label")
+
+
 @query("s8_tree_predictions", "SELECT doc_id::VARCHAR AS uid, text AS sentence, source AS review_id, quality AS label, ['Negative', 'Positive'][quality + 1] AS label_name, '(0 ' || lang || ')' AS tree FROM documents JOIN labels USING (doc_id)")
 def _(t):
     from pyspark.sql.types import StructType

@@ -12,7 +12,6 @@ from quillspark.operators import labels as lb
 from quillspark.operators import prompts as pr
 from quillspark.plans import sql as q
 from quillspark.plans.registry import query
-from quillspark.session import small
 
 S = lambda: F.array(*[F.lit(w) for w in q.STOP])
 
@@ -272,20 +271,18 @@ def _(t):
 
 @query(
     "t20_concept_lines",
-    """WITH c AS (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS n FROM documents),
-      l AS (SELECT lang, list('Avoid ' || doc_id ORDER BY n) AS cs FROM c WHERE n <= 3 GROUP BY lang)
+    """WITH l AS (SELECT lang, list('Avoid ' || source ORDER BY source) AS cs FROM (SELECT DISTINCT lang, source FROM documents) GROUP BY lang)
       SELECT doc_id, text || chr(10) || array_to_string(list_transform(cs, lambda x, i: (i + 3) || '. ' || x), chr(10)) AS prompt
       FROM documents JOIN l USING (lang)""",
 )
 def _(t):
     docs = t.documents
     sentences = docs.select(
-        F.col("lang").alias("label"), F.col("doc_id").alias("ord"),
-        F.concat(F.lit("Avoid "), F.col("doc_id").cast("string")).alias("sentence"),
-    )
-    lists = pr.concept_lists(sentences, 3)
+        F.col("lang").alias("label"), F.col("source").alias("ord"), F.concat(F.lit("Avoid "), "source").alias("sentence")
+    ).distinct()
+    lists = pr.concept_lists(sentences)
     start = pr.concept_start("cross", "solo", F.lit("a"), F.lit("b"))
-    return docs.join(small(lists), F.col("lang") == F.col("label")).select(
+    return docs.join(lists, F.col("lang") == F.col("label")).select(
         "doc_id", pr.append_concepts(F.col("text"), F.col("concepts"), start).alias("prompt")
     )
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", app: str = "quillspark") -> SparkSession:
@@ -30,11 +32,16 @@ def local_session(cores: str = "8", app: str = "quillspark") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a session that names none (a local test) gets a folder of its own.
+    A local session that names none gets a temporary folder; a cluster must name one, since
+    executors do not see each other's disks.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
         named = tempfile.mkdtemp(prefix="quillspark-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
@@ -43,14 +50,6 @@ def new_path(spark: SparkSession, stem: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
-SMALL_ROWS = 10_000
-
-
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast a frame after counting that it is small; a larger one joins by shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def materialise(df: DataFrame, stem: str) -> DataFrame:
     """Write to the shared folder and read back: survives the loss of executors."""
     spark = df.sparkSession

@@ -7,7 +7,7 @@ repeatable for the same files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import SPACE, literal_list
@@ -82,16 +82,49 @@ def conll_sentences(df: DataFrame, block: str) -> DataFrame:
     )
 
 
+def numbered_sentences(lines: DataFrame) -> DataFrame:
+    """(file, sentence, value) of lines (file, part, line, value): blank lines end a sentence.
+
+    The blank lines of a file are counted split by split; the sentences of a split start at
+    the blanks of the splits before, so a large file is many tasks.
+    """
+    blank = (F.trim(F.regexp_replace("value", f"[{SPACE}]", " ")) == "").cast("long")
+    marked = lines.withColumn("blank", blank)
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = marked.groupBy("file", "part").agg(F.sum("blank").alias("n")).select(
+        "file", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
+    )
+    inside = Window.partitionBy("file", "part").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = marked.withColumn("here", F.sum("blank").over(inside)).filter("blank = 0")
+    return (
+        counted.join(starts, ["file", "part"])
+        .groupBy("file", (F.col("start") + F.col("here")).alias("sentence"))
+        .agg(F.sort_array(F.collect_list(F.struct("part", "line", "value"))).alias("rows"))
+        .select("file", "sentence", F.array_join(F.transform("rows", lambda r: r["value"]), "\n").alias("value"))
+    )
+
+
 def read_conll(spark: SparkSession, path) -> DataFrame:
-    """(row_id, about, tokens, ner_tags), one row per blank-line-separated sentence."""
-    blocks = with_row_id(spark.read.option("lineSep", "\n\n").text(path))
-    return conll_sentences(blocks, "value")
+    """(row_id, about, tokens, ner_tags), one row per sentence; sentences end at a blank line,
+    which may hold white space, and lines at LF, CR or CRLF."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"),
+        F.monotonically_increasing_id().alias("line"), "value",
+    )
+    blocks = numbered_sentences(lines).orderBy("file", "sentence").select("value")
+    return conll_sentences(with_row_id(blocks), "value")
+
+
+def _json(spark: SparkSession, schema: str, path, layout: str) -> DataFrame:
+    """JSON records: ``lines`` (one a line, splittable) or ``array`` (a file is one value)."""
+    if layout not in ("lines", "array"):
+        raise ValueError(f"layout must be lines or array, not {layout!r}")
+    return spark.read.schema(schema).option("multiLine", layout == "array").json(path)
 
 
-def read_instructions(spark: SparkSession, path) -> DataFrame:
-    """(row_id, instruction, input, output) from a JSON array or JSON lines."""
-    schema = "instruction string, input string, output string"
-    return with_row_id(spark.read.schema(schema).option("multiLine", True).json(path))
+def read_instructions(spark: SparkSession, path, layout: str = "lines") -> DataFrame:
+    """(row_id, instruction, input, output) from JSON lines or JSON arrays."""
+    return with_row_id(_json(spark, "instruction string, input string, output string", path, layout))
 
 
 def read_predictions(spark: SparkSession, path) -> DataFrame:
@@ -119,10 +152,12 @@ def flatten_tree_predictions(df: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def read_tree_predictions(spark: SparkSession, paths: dict[str, str], names: list[str]) -> DataFrame:
+def read_tree_predictions(
+    spark: SparkSession, paths: dict[str, str], names: list[str], layout: str = "lines"
+) -> DataFrame:
     """Tree predictions of several splits, with an explicit split column."""
     parts = [
-        flatten_tree_predictions(spark.read.schema(TREE_PREDICTION).option("multiLine", True).json(p), names)
+        flatten_tree_predictions(_json(spark, TREE_PREDICTION, p, layout), names)
         .withColumn("split", F.lit(s))
         for s, p in paths.items()
     ]
@@ -153,9 +188,9 @@ EXAMPLE = (
 )
 
 
-def read_examples(spark: SparkSession, path) -> DataFrame:
+def read_examples(spark: SparkSession, path, layout: str = "lines") -> DataFrame:
     """Example JSON: (row_id, uid, text, a, b, label); see operators.examples for defaults."""
-    return with_row_id(spark.read.schema(EXAMPLE).option("multiLine", True).json(path))
+    return with_row_id(_json(spark, EXAMPLE, path, layout))
 
 
 def parse_prefixed(line: Column) -> tuple[Column, Column]:

@@ -110,7 +110,7 @@ def test_files(spark, tmp_path):
     assert both.count() == 1
     records = tmp_path / "r.json"
     records.write_text('[{"instruction": "i", "input": "", "output": "7"}, {"instruction": "j", "input": "in", "output": "o"}]')
-    labels = gen.instructions(rd.read_instructions(spark, str(records))).orderBy("prompt").collect()
+    labels = gen.instructions(rd.read_instructions(spark, str(records), "array")).orderBy("prompt").collect()
     assert [r["label"] for r in labels] == ["7", "in"]
     run = tmp_path / "base" / "s7"
     run.mkdir(parents=True)
@@ -121,7 +121,7 @@ def test_files(spark, tmp_path):
     examples.write_text('[{"text": "<br />x", "label": "0"}, {"text": "  "}, {"uid": "u", "text": "y<br />"}]')
     from quillspark.operators.examples import tidy_examples
 
-    e = tidy_examples(rd.read_examples(spark, str(examples)), "row_id").orderBy("text").collect()
+    e = tidy_examples(rd.read_examples(spark, str(examples), "array"), "row_id").orderBy("text").collect()
     assert [(r["uid"], r["text"]) for r in e] == [("0", "x"), ("u", "y<br />")]
     wr.write_by_label(spark.createDataFrame([("a", "x")], "f string, label string"), "label", str(tmp_path / "out"))
     assert (tmp_path / "out" / "label=x").is_dir()

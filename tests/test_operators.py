@@ -130,15 +130,21 @@ def test_lone_rows_fall_back(spark):
 def test_exemplars_hold_only_other_texts_of_the_label(spark):
     data = [(i, f"t{i % 40}", "x") for i in range(200)] + [(300 + i, "same", "y") for i in range(5)] + [(400, "solo", "z"), (401, "p", "w"), (402, "q", "w"), (403, "q", "w")]
     df = spark.createDataFrame(data, "id int, text string, label string")
-    for ring_rows in (4096, 30):
-        got = {r["id"]: r["exemplars"] for r in exemplars.ring_exemplars(df, "label", "text", ring_rows=ring_rows).collect()}
-        again = {r["id"]: r["exemplars"] for r in exemplars.ring_exemplars(df.repartition(7), "label", "text", ring_rows=ring_rows).collect()}
-        assert got == again and len(got) == len(data)
-        for i, text, _ in data[:200]:
-            three = got[i].split(",")
-            assert len(three) == 3 and f'"{text}"' not in three
-        assert got[300] == "" and got[400] == "" and got[402] == '"p"'
-        assert got[401] == '"q","q"'  # a repeated text counts as often as it occurs
+    got = {r["id"]: r["exemplars"] for r in exemplars.random_exemplars(df, "label", "text").collect()}
+    again = {r["id"]: r["exemplars"] for r in exemplars.random_exemplars(df.repartition(7), "label", "text").collect()}
+    assert got == again and len(got) == len(data)
+    for i, text, _ in data[:200]:
+        three = got[i].split(",")
+        assert len(three) == 3 and f'"{text}"' not in three
+    assert got[300] == "" and got[400] == "" and got[402] == '"p"'
+    assert got[401] == '"q","q"'  # a repeated text counts as often as it occurs
+
+
+def test_exemplars_are_drawn_from_all_rows(spark):
+    data = [(i, "copy" if i < 900 else f"t{i}", "x") for i in range(1000)]
+    df = spark.createDataFrame(data, "id int, text string, label string")
+    picks = [e for r in exemplars.random_exemplars(df, "label", "text").filter("id >= 900").collect() for e in r["exemplars"].split(",")]
+    assert len(picks) == 300 and 0.8 < sum(p == '"copy"' for p in picks) / 300 < 0.98
 
 
 def test_numbering_in_buckets(spark):
