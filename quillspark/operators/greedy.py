@@ -1,87 +1,61 @@
 """Greedy merge of features in MI order.
 
-Each feature joins the group of its key that gains most, else opens a new one, so step t
-of a key needs step t-1. Documents enter only as counts of (key, pattern of chosen
-features, class); every step is one distributed aggregate over that table for all keys at
-once, and only the bounded list of chosen features and their group counts is on the driver.
+Each feature joins the group of its key that gains most, else opens a new one, so step t of a
+key needs step t - 1. Documents enter only as counts of (key, pattern of chosen features,
+class). The state is a frame of groups; a step offers the next feature of every key to all
+its groups, takes the information of what would come out from counts, ranks the offers and
+writes the new state to the shared folder. The driver learns the number of steps, no more.
 """
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.operators.mining import class_totals, mutual_information
 from quillspark.session import materialise
 
 
-def _information(present: np.ndarray, totals: np.ndarray) -> float:
-    k = np.stack([present, totals - present], -1) + 1.0
-    p = k / k.sum()
-    return float((p * (np.log(p) - np.log(p.sum(0, keepdims=True)) - np.log(p.sum(1, keepdims=True)))).sum())
-
-
 def merge_greedily(feats: DataFrame, docs: DataFrame, chosen: DataFrame, k: int = 1000) -> DataFrame:
     """(key, grp, feature, mi): groups of the k best features of ``chosen`` (feature, key, mi).
 
-    ``feats`` is (doc, y, feature), ``docs`` (doc, y).
+    ``feats`` is (doc, y, feature), ``docs`` (doc, y). An offer that lowers the information of
+    its group counts against it; where all do, the feature opens a group. ``mi`` is the
+    information of the whole group.
     """
-    spark = feats.sparkSession
-    best = chosen.orderBy(F.desc("mi"), "feature").limit(k).select("feature", "key").collect()
-    listed = [(r["feature"], r["key"], i) for i, r in enumerate(best)]
-    table = spark.createDataFrame(listed, "feature string, key string, rank int")
+    best = chosen.orderBy(F.desc("mi"), "feature").limit(k).select("feature", "key", "mi")
+    turn = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("mi"), "feature"))
+    queue = materialise(best.select("feature", "key", turn.alias("turn")), "queue")
     patterns = materialise(
-        feats.join(table, "feature")
-        .groupBy("doc", "y", "key")
-        .agg(F.sort_array(F.collect_set("rank")).alias("pattern"))
-        .groupBy("key", "pattern", "y")
-        .agg(F.count(F.lit(1)).alias("n")),
+        feats.join(F.broadcast(queue), "feature")  # at most k rows
+        .groupBy("doc", "y", "key").agg(F.array_sort(F.collect_set("feature")).alias("pattern"))
+        .groupBy("key", "pattern", "y").agg(F.count(F.lit(1)).alias("n")),
         "patterns",
     )
-    sizes = {r["y"]: r["n"] for r in docs.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    classes = sorted(sizes)
-    totals = np.array([sizes[c] for c in classes], dtype=float)
-
-    queues: dict[str, list[int]] = {}
-    for _, key, rank in listed:
-        queues.setdefault(key, []).append(rank)
-    groups: dict[str, list[tuple[list[int], float]]] = {key: [([], 0.0)] for key in queues}
-    for step in range(max((len(q) for q in queues.values()), default=0)):
-        tries = [
-            (key, j, members + [queue[step]])
-            for key, queue in queues.items()
-            if step < len(queue)
-            for j, members in enumerate([g for g, _ in groups[key]] + [[]])
-        ]
-        offered = spark.createDataFrame(tries, "key string, j int, members array<int>")
-        counted = (
-            patterns.join(F.broadcast(offered), "key")  # at most k + keys rows
-            .filter(F.arrays_overlap("pattern", "members"))
-            .groupBy("key", "j", "y")
-            .agg(F.sum("n").alias("n"))
-            .collect()
-        )
-        seen: dict[tuple[str, int], np.ndarray] = {}
-        for r in counted:
-            seen.setdefault((r["key"], r["j"]), np.zeros(len(classes)))[classes.index(r["y"])] = r["n"]
-        for key, queue in queues.items():
-            if step >= len(queue):
-                continue
-            mis = [
-                _information(seen.get((key, j), np.zeros(len(classes))), totals)
-                for j in range(len(groups[key]) + 1)
-            ]
-            scores = [np.sign(m - old) * m for m, (_, old) in zip(mis, groups[key])]
-            if all(s < 0 for s in scores):
-                groups[key].append(([queue[step]], mis[-1]))
-            else:
-                j = int(np.argmax(scores))
-                groups[key][j] = (groups[key][j][0] + [queue[step]], mis[j])
-    names = [r["feature"] for r in best]
-    out = [
-        (key, j, names[rank], mi)
-        for key, gs in groups.items()
-        for j, (members, mi) in enumerate(gs)
-        for rank in members
-    ]
-    return spark.createDataFrame(out, "key string, grp int, feature string, mi double")
+    totals = materialise(class_totals(docs), "totals")
+    none = F.array().cast("array<string>")
+    state = queue.select("key").distinct().select("key", F.lit(0).alias("grp"), none.alias("members"), F.lit(0.0).alias("mi"))
+    steps = queue.agg(F.coalesce(F.max("turn"), F.lit(0))).first()[0]
+    for step in range(1, steps + 1):
+        state = materialise(_advanced(state, queue.filter(F.col("turn") == step), patterns, totals), "groups")
+    return state.select("key", "grp", F.explode("members").alias("feature"), "mi")
+
+
+def _advanced(state: DataFrame, turn: DataFrame, patterns: DataFrame, totals: DataFrame) -> DataFrame:
+    """The groups after every key has placed its feature of this turn."""
+    grown = F.concat("members", F.array("feature"))
+    joins = state.join(turn, "key").select("key", "grp", grown.alias("members"), F.col("mi").alias("old"), F.lit(False).alias("opens"))
+    opens = state.groupBy("key").agg((F.max("grp") + 1).alias("grp")).join(turn, "key").select(
+        "key", "grp", F.array("feature").alias("members"), F.lit(0.0).alias("old"), F.lit(True).alias("opens")
+    )
+    offers = joins.unionByName(opens)
+    met = patterns.join(offers, "key").filter(F.arrays_overlap("pattern", "members"))
+    counts = met.groupBy("key", "grp", "y").agg(F.sum("n").alias("c"))
+    gains = mutual_information(counts, totals, ["key", "grp"]).select("key", "grp", "mi")
+    worth = F.when(F.col("opens"), 0.0).otherwise(F.signum(F.col("mi") - F.col("old")) * F.col("mi"))
+    first = Window.partitionBy("key").orderBy(F.desc("worth"), "opens", "grp")
+    taken = (
+        offers.join(gains, ["key", "grp"]).withColumn("worth", worth)
+        .withColumn("place", F.row_number().over(first)).filter("place = 1").select("key", "grp", "members", "mi")
+    )
+    return state.join(taken, ["key", "grp"], "left_anti").unionByName(taken)
