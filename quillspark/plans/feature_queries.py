@@ -10,12 +10,14 @@ from quillspark.operators import concepts as cc
 from quillspark.operators import examples as xm
 from quillspark.operators import greedy as gr
 from quillspark.operators import mining as mi
+from quillspark.operators import sampling as sm
 from quillspark.operators import trees as tr
 from quillspark.operators import vocabulary as vo
 from quillspark.plans import sql as q
 from quillspark.plans.registry import query
 
 CLASSES = [0, 1]
+TOP_K = 100_000  # features that may be merged
 
 
 def labelled(t):
@@ -92,12 +94,15 @@ def _(t):
 @query(
     "f6_ranked_features",
     f"""WITH {LABELLED}, m AS (SELECT feature, round(mi, 8) AS mi FROM ({mi_sql('feats', 'docs')}))
-      SELECT feature, mi FROM m ORDER BY mi DESC, feature LIMIT 100""",
+      SELECT feature, mi, row_number() OVER (ORDER BY mi DESC, feature) AS place FROM m""",
 )
 def _(t):
     docs = labelled(t)
     table = mi.feature_mi(word_feats(docs), docs).select("feature", F.round("mi", 8).alias("mi"))
-    return mi.top_features(table, 100)
+    # places by ranges of mi, so that no task sorts all features
+    bucket = F.floor(-F.col("mi") * 1000).cast("bigint")
+    numbered = sm.numbered(table.withColumn("o", F.struct(-F.col("mi"), F.col("feature"))), [], "o", bucket, "place")
+    return numbered.select("feature", "mi", "place")
 
 
 @query(
@@ -116,8 +121,8 @@ def _(t):
     )
 
 
-_TOP = f"""m AS (SELECT feature, round(mi, 8) AS mi, majority FROM ({mi_sql('tf', 'td')}) WHERE length(feature) > 2),
-      top AS (SELECT feature, left(feature, 1) AS key, majority AS cls, mi FROM m ORDER BY mi DESC, feature LIMIT 500)"""
+_TOP = f"""m AS (SELECT feature, round(mi, 8) AS mi, majority FROM ({mi_sql('tf', 'td')})),
+      top AS (SELECT feature, left(feature, 1) AS key, majority AS cls, mi FROM m ORDER BY mi DESC, feature LIMIT 100000)"""
 _TRAIN = f"{LABELLED}, tf AS (SELECT * FROM feats WHERE split = 'train'), td AS (SELECT * FROM docs WHERE split = 'train')"
 _MERGED = f"""{_TRAIN}, {_TOP},
       g AS (SELECT DISTINCT doc, y, key, cls FROM tf JOIN top USING (feature)),
@@ -137,7 +142,7 @@ def merged(t):
     train = docs.filter("split = 'train'")
     feats = word_feats(train)
     table = mi.feature_mi(feats, train).withColumn("mi", F.round("mi", 8))
-    chosen = mi.top_features(table, 500, F.char_length("feature") > 2)
+    chosen = mi.top_features(table, TOP_K)
     groups, members = mi.merge_by_majority(feats, train, chosen, F.substring("feature", 1, 1), CLASSES)
     return docs, groups, members
 
@@ -277,13 +282,13 @@ def _(t):
 _VTOK = f"regexp_extract_all(lower(strip_accents(text)), {q.quoted(rf'[^\p{{P}}$+<=>^`|~{tx.SPACE}]+|[\p{{P}}$+<=>^`|~]')})"
 _VOCAB = f"""tok AS (SELECT doc_id, unnest(ts) AS token, generate_subscripts(ts, 1) AS pos FROM (SELECT doc_id, {_VTOK} AS ts FROM documents)),
       voc AS (SELECT token, 3 + row_number() OVER (ORDER BY freq DESC, token) AS id, freq FROM
-        (SELECT token, count(*) AS freq FROM tok GROUP BY token HAVING count(*) >= 3 ORDER BY freq DESC, token LIMIT 1996)),
+        (SELECT token, count(*) AS freq FROM tok GROUP BY token HAVING count(*) >= 3 ORDER BY freq DESC, token LIMIT 19996)),
       vocab AS (SELECT * FROM voc UNION ALL VALUES ('[PAD]', 0, 0), ('[CLS]', 1, 0), ('[SEP]', 2, 0), ('[UNK]', 3, 0))"""
 
 
 @query("f16_vocabulary", f"WITH {_VOCAB} SELECT token, id, freq FROM vocab")
 def _(t):
-    out = vo.vocabulary(t.documents, "text", size=2000)
+    out = vo.vocabulary(t.documents, "text", size=20000)
     return out.select("token", F.col("id").cast("bigint"), "freq")
 
 
@@ -293,7 +298,7 @@ def _(t):
       SELECT doc_id AS doc, '1 ' || coalesce(ids || ' ', '') || '2' AS ids FROM documents LEFT JOIN e USING (doc_id)""",
 )
 def _(t):
-    vocab = vo.vocabulary(t.documents, "text", size=2000)
+    vocab = vo.vocabulary(t.documents, "text", size=20000)
     out = vo.encode(t.documents, "doc_id", "text", vocab)
     return out.select("doc", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("ids"))
 
@@ -304,7 +309,7 @@ def _(t):
       SELECT conv_id * 1000 + turn AS doc, string_agg(token, ' ' ORDER BY pos) AS tokens FROM d JOIN vocab USING (id) GROUP BY ALL""",
 )
 def _(t):
-    vocab = vo.vocabulary(t.documents, "text", size=2000)
+    vocab = vo.vocabulary(t.documents, "text", size=20000)
     rows = t.conversations.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc"),
         F.array(F.char_length("text") % 50, F.col("turn").cast("int"), F.lit(3), F.char_length("role")).alias("ids"),
@@ -314,14 +319,14 @@ def _(t):
 
 @query(
     "f18_smoothed_majority",
-    """SELECT source, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'fr') AS fr,
-      round((greatest(count(*) FILTER (lang = 'en'), count(*) FILTER (lang = 'fr')) + 1.0::DOUBLE)
-        / (count(*) FILTER (lang IN ('en', 'fr')) + 2), 8) AS pct_majority FROM documents GROUP BY source""",
+    """SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es,
+      count(*) FILTER (lang = 'fr') AS fr, round((greatest(de, en, es, fr) + 1.0::DOUBLE) / (count(*) + 4), 8) AS pct_majority FROM documents GROUP BY source""",
 )
 def _(t):
     n = lambda lang: F.count(F.when(F.col("lang") == lang, 1)).alias(lang)
-    counts = t.documents.groupBy("source").agg(n("en"), n("fr"))
-    return counts.withColumn("pct_majority", F.round(mi.smoothed_majority([F.col("en"), F.col("fr")]), 8))
+    langs = ["de", "en", "es", "fr"]
+    counts = t.documents.groupBy("source").agg(*map(n, langs))
+    return counts.withColumn("pct_majority", F.round(mi.smoothed_majority([F.col(x) for x in langs]), 8))
 
 
 # Trees by rule: one per sentence; words in pairs under nodes named by a length.
@@ -363,11 +368,11 @@ def _(t):
 
 @query(
     "f1_subtree_features",
-    f"WITH {_TREES} SELECT DISTINCT doc_id AS doc, root, template, span FROM nodes WHERE depth <= 1",
+    f"WITH {_TREES} SELECT DISTINCT doc_id AS doc, root, template, span FROM nodes WHERE depth <= 2",
 )
 def _(t):
     nodes = tr.tree_rows(sentence_trees(t), "tree", keep=["doc_id", "no"])
-    return tr.subtree_features(nodes, "doc_id", 1)
+    return tr.subtree_features(nodes, "doc_id", 2)
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.functions import hashing as hs
-from quillspark.functions.binding import let
+from quillspark.functions.binding import let, once
 from quillspark.functions import text as tx
 from quillspark.functions import vectors as vx
 from quillspark.operators import constraints as cs
@@ -152,16 +152,15 @@ def _(t):
     """WITH e AS (SELECT vec_id, label, embedding[1:32] AS a, embedding[33:64] AS b, vec_id % 3 AS m FROM embeddings),
       p AS (SELECT vec_id, list_transform(range(1, 33), lambda i:
         (a[i]::DOUBLE * (m <> 1)::INT + b[i]::DOUBLE * (m <> 2)::INT) / ((m <> 1)::INT + (m <> 2)::INT)) AS v FROM e)
-      SELECT vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 8) AS first_value,
-        round(v[32] / sqrt(list_dot_product(v, v)), 8) AS last_value FROM p""",
+      SELECT vec_id, i AS pos, round(v[i + 1] / sqrt(list_dot_product(v, v)), 8) AS value FROM p, range(0, 32) AS r(i)""",
 )
 def _(t):
     e = F.col("embedding")
     m = F.col("vec_id") % 3
     mask = F.array((m != 1).cast("int"), (m != 2).cast("int"))
     pooled = vx.normalised(vx.masked_mean(F.array(F.slice(e, 1, 32), F.slice(e, 33, 32)), mask))
-    return t.embeddings.select("vec_id", pooled.alias("v")).select(
-        "vec_id", F.round(F.get("v", F.lit(0)), 8).alias("first_value"), F.round(F.get("v", F.lit(31)), 8).alias("last_value")
+    return t.embeddings.select("vec_id", F.posexplode(once(pooled)).alias("pos", "value")).select(
+        "vec_id", F.col("pos").cast("bigint"), F.round("value", 8).alias("value")
     )
 
 

@@ -27,7 +27,7 @@ from quillspark.sources import writers as wr
 # ---- substitutes ---------------------------------------------------------------------
 # Candidates of a document's words: the next word in four shapes, over three rounds.
 _CAND = f"""w AS (SELECT doc_id AS id, ws[i] AS target, coalesce(ws[i + 1], 'x') AS nxt, i FROM
-        (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, list_sort({q.lower_words('text')}) AS ws FROM documents)) WHERE i % 7 = 0),
+        (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, list_sort({q.lower_words('text')}) AS ws FROM documents))),
       cand AS (SELECT id, target, iter, CASE shape WHEN 0 THEN nxt WHEN 1 THEN CASE WHEN left(nxt, 1) = 'ß' THEN 'Ss' ELSE upper(left(nxt, 1)) END || lower(substr(nxt, 2)) WHEN 2 THEN '!' ELSE target END AS word,
         0.001 + {q.h32('p', 'id', 'target', 'iter', 'shape')} % 1000 / 2000.0::DOUBLE AS prob,
         {q.h32('o', 'id', 'target', 'iter')} % 1000 / 1001.0::DOUBLE AS orig_prob,
@@ -43,7 +43,7 @@ def candidates(t):
     )
     grid = F.array(*[F.struct(F.lit(i).alias("iter"), F.lit(s).alias("shape")) for i in range(3) for s in range(4)])
     rows = (
-        ws.select("id", F.posexplode(pairs).alias("i", "p")).filter((F.col("i") + 1) % 7 == 0)
+        ws.select("id", F.explode(pairs).alias("p"))
         .select("id", "p.target", "p.nxt", F.explode(grid).alias("g")).select("id", "target", "nxt", "g.iter", "g.shape")
     )
     k = [F.col("id"), F.col("target"), F.col("iter")]
@@ -293,17 +293,18 @@ _GRADS = """g AS (SELECT vec_id, j, list_transform(embedding[j * 8 + 1:j * 8 + 8
 
 @query(
     "t30_token_attribution",
-    f"""WITH {_GRADS} SELECT vec_id, round(max(s) FILTER (j = 2) / 8, 8) AS mean_2, round(max(m) FILTER (j = 2), 8) AS grad_2,
-      round(max(s) FILTER (j = 2) / sum(abs(s)), 6) AS signed_2 FROM a GROUP BY vec_id""",
+    f"""WITH {_GRADS} SELECT vec_id, j, round(s / 8, 8) AS mean, round(m, 8) AS grad,
+      round(s / sum(abs(s)) OVER (PARTITION BY vec_id), 6) AS signed FROM a""",
 )
 def _(t):
     e = F.col("embedding")
     emb = F.array(*[F.slice(e, j * 8 + 1, 8) for j in range(8)])
     grads = F.array(*[F.slice(e, (7 - j) * 8 + 1, 8) for j in range(8)])
-    at2 = lambda x, d: F.round(F.get(x, F.lit(2)), d)
-    return t.embeddings.select(
-        "vec_id", at2(at.mean_attribution(grads, emb), 8).alias("mean_2"), at2(at.mean_gradient(grads), 8).alias("grad_2"),
-        at2(at.signed_attribution(grads, emb), 6).alias("signed_2"),
+    zipped = F.arrays_zip(
+        at.mean_attribution(grads, emb).alias("mean"), at.mean_gradient(grads).alias("grad"), at.signed_attribution(grads, emb).alias("signed")
+    )
+    return t.embeddings.select("vec_id", F.posexplode(once(zipped)).alias("j", "x")).select(
+        "vec_id", F.col("j").cast("bigint"), F.round("x.mean", 8).alias("mean"), F.round("x.grad", 8).alias("grad"), F.round("x.signed", 6).alias("signed")
     )
 
 
@@ -369,21 +370,20 @@ def _(t):
 @query(
     "m4_method_table",
     f"""WITH {_RUNS}, c AS (SELECT method, dataset, {_CELL} AS cell FROM runs GROUP BY method, dataset)
-      SELECT CASE method WHEN 'k8L0.5' THEN 'K=8, λ=0.5' ELSE method END AS setting, max(cell) FILTER (dataset = 'en') AS en,
-        max(cell) FILTER (dataset = 'fr') AS fr, max(cell) FILTER (dataset = 'xx') AS xx FROM c GROUP BY method""",
+      SELECT CASE method WHEN 'k8L0.5' THEN 'K=8, λ=0.5' ELSE method END AS setting, max(cell) FILTER (dataset = 'de') AS de, max(cell) FILTER (dataset = 'en') AS en,
+        max(cell) FILTER (dataset = 'es') AS es, max(cell) FILTER (dataset = 'fr') AS fr, max(cell) FILTER (dataset = 'xx') AS xx FROM c GROUP BY method""",
 )
 def _(t):
-    out = me.method_table(run_metrics(t).withColumn("run", F.col("seed")), ["en", "fr", "xx"])
-    return out.select(me.run_setting(F.col("method")).alias("setting"), "en", "fr", "xx")
+    out = me.method_table(run_metrics(t).withColumn("run", F.col("seed")), ["de", "en", "es", "fr", "xx"])
+    return out.select(me.run_setting(F.col("method")).alias("setting"), "de", "en", "es", "fr", "xx")
 
 
 @query(
     "m4_single_run_table",
-    f"""WITH {_RUNS} SELECT method, max(printf('%.1f', round(100 * value, 1))) FILTER (dataset = 'en') AS en,
-      max(printf('%.1f', round(100 * value, 1))) FILTER (dataset = 'de') AS de FROM runs WHERE seed = 7 GROUP BY method""",
+    f"""WITH {_RUNS} SELECT method, {', '.join(f"max(printf('%.1f', round(100 * value, 1))) FILTER (dataset = '{x}') AS {x}" for x in ("de", "en", "es", "fr"))} FROM runs WHERE seed = 7 GROUP BY method""",
 )
 def _(t):
-    return me.single_run_table(run_metrics(t).filter("seed = 7"), ["en", "de"])
+    return me.single_run_table(run_metrics(t).filter("seed = 7"), ["de", "en", "es", "fr"])
 
 
 _SPLITS = """sp AS (SELECT method, seed, left(source, 4) AS split, CASE WHEN doc_id % 3 = 0 THEN 'counter' ELSE 'supporting' END AS grp, (predicted = y)::INT AS acc FROM pred),
@@ -495,7 +495,7 @@ def _(t):
 
 
 # ---- group reports ----------------------------------------------------------------------
-_GROUPS = f"""{fq.LABELLED}, m AS (SELECT feature, left(feature, 2) AS grp FROM (SELECT feature, count(*) AS n FROM feats WHERE split = 'train' GROUP BY feature) WHERE n BETWEEN 5 AND 50),
+_GROUPS = f"""{fq.LABELLED}, m AS (SELECT feature, left(feature, 2) AS grp FROM (SELECT feature, count(*) AS n FROM feats WHERE split = 'train' GROUP BY feature)),
       gd AS (SELECT DISTINCT doc, y, split, grp FROM feats JOIN m USING (feature)),
       prof AS (SELECT grp, count(*) AS train_n, count(*) FILTER (y = 0) AS count_0, count(*) FILTER (y = 1) AS count_1,
         CASE WHEN count(*) FILTER (y = 0) >= count(*) FILTER (y = 1) THEN 0 ELSE 1 END AS majority, CASE WHEN count(*) FILTER (y = 0) <= count(*) FILTER (y = 1) THEN 0 ELSE 1 END AS rarest
@@ -506,7 +506,7 @@ _GROUPS = f"""{fq.LABELLED}, m AS (SELECT feature, left(feature, 2) AS grp FROM
 def grouped_docs(t):
     docs = fq.with_model(fq.labelled(t)).withColumnRenamed("acc", "acc_m")
     feats = mi.features_of(docs, "doc", tx.letter_runs(F.col("text")), ("y", "split", "acc_m"))
-    seen = feats.filter("split = 'train'").groupBy("feature").agg(F.count(F.lit(1)).alias("n")).filter("n between 5 and 50")
+    seen = feats.filter("split = 'train'").groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
     members = seen.select(F.substring("feature", 1, 2).alias("grp"), "feature", F.col("n").cast("double").alias("mi"))
     return rp.group_documents(feats, members, ["y", "split", "acc_m"]), members
 
