@@ -1,6 +1,6 @@
 """All named queries."""
 
-from quillspark.plans import feature_queries, join_queries, report_queries, text_queries  # noqa: F401
+from quillspark.plans import feature_queries, join_queries, report_queries, text_queries, variant_queries  # noqa: F401
 from quillspark.plans.registry import ORACLES, QUERIES, widen
 
 for _key, _columns in {
