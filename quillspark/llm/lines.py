@@ -53,19 +53,22 @@ def within_one(a: str, b: str) -> Column:
 
 
 def repeated_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, line) of every line that goes; ``docs`` has row (unique, in order) and text."""
+    """(row, line) of every line that goes; ``docs`` has row (in order) and text."""
     lines = docs.select("row", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
     lines = lines.withColumn("words", words_of(F.col("body"))).filter(F.size("words") > 0)
     key = [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2")]
     at = F.struct("row", "line").alias("at")
     half = F.when(F.size("words") >= min_words, halves(F.col("words"))).alias("halves")
-    where = lines.select(*key, at, half)
+    where = scratch.keep(lines.select(*key, at, half), "where")
     firsts = scratch.keep(where.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("halves").alias("halves")), "firsts")
 
     # an exact repeat goes; the hot side is split by the join, the other has a row a line
     again = where.select("h1", "h2", "at").join(firsts.select("h1", "h2", F.col("at").alias("first")), ["h1", "h2"])
     again = again.filter(F.col("at") > F.col("first")).select("at.row", "at.line")
 
+    again = scratch.keep(again, "again")
+    scratch.release(where)
+
     # lines that share a half with another
     long = firsts.filter("halves is not null").select("at", F.explode(F.array_distinct("halves")).alias("half"))
     shared = long.groupBy("half").count().filter("count > 1").select("half")
@@ -102,20 +105,18 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Every row of ``docs`` with its text less the lines that go, and n_lines, n_removed.
 
-    A line goes if an earlier line (by id, text, then line number) has the same words
-    or, from ``min_words`` words on, words at most one edit away; whether that earlier line
-    itself goes does not matter. Lines without words stay. A null text stays null with no
-    lines; an empty one has one, without words. Rows without id come first; of rows that
-    repeat an id and a text the first one by position in the input keeps its lines. Columns
-    are returned as given, with n_lines and n_removed replacing any of these names.
+    A line goes if an earlier line (by id, then a hash of the text, then line number) has the
+    same words or, from ``min_words`` words on, words at most one edit away; whether that
+    earlier line itself goes does not matter. Lines without words stay. A null text stays null
+    with no lines; an empty one has one, without words. Rows without id come first; rows that
+    repeat id and text are one document and lose the same lines. Columns are returned as
+    given, with n_lines and n_removed replacing any of these names.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lines")
-    # one number a row, in the order of ids and stable once written
-    order = F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("no"))
+    scratch = Scratch(docs.sparkSession, "lines")
     given = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    held = scratch.keep(docs.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("doc"), order.alias("row")), "rows")
     body = F.col(f"doc.`{text_col}`").cast("string")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("doc"))
+    held = held.withColumn("row", F.struct(F.col(f"doc.`{id_col}`").alias("id"), F.xxhash64(body).alias("mark")))
     gone = repeated_lines(held.select("row", body.alias("text")).dropna(subset=["text"]), scratch, min_words)
     lists = gone.groupBy("row").agg(F.collect_set("line").alias("gone"))
     out = held.join(lists, "row", "left").withColumn("lines", F.split(body, "\n", -1))
