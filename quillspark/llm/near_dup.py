@@ -9,9 +9,10 @@ confirmed on the full sets.
 
 A bucket of copies never becomes all its pairs: first every member meets one centre of its
 part of the bucket, and links merge into components; then only members of *different*
-components of a bucket meet, in blocks of bounded size, and only pairs that pass the
-Bayesian test leave a block. Every pair that shares a band is thus either compared or
-already connected.
+components of a bucket meet, in blocks of bounded size. Pairs that pass the Bayesian test
+there are confirmed on their full sets, and one link of each two components leaves the
+block. Every pair that shares a band is thus either
+compared or already connected.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ SHINGLE = 5
 HASHES, BANDS, ROWS = 256, 32, 4
 BATCH = 32
 MISS = 1e-6
-FAN, BLOCK = 64, 256
+FAN, BLOCK, SLAB = 64, 256, 64
 STEP = 1024
 
 
@@ -145,37 +146,72 @@ def _prune(fewest: list[int]):
     return fn
 
 
+def _linked(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs (i, j) of a block's sets reach the similarity."""
+    flat = np.concatenate(sets)
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    start = np.append(0, size.cumsum())
+    _, code = np.unique(flat, return_inverse=True)
+    mark = np.zeros(len(flat) + 1, np.int32)
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    out = []
+    cuts = np.flatnonzero(np.diff(i)) + 1
+    for k in np.split(np.arange(len(i)), cuts):
+        a, b = int(i[k[0]]), j[k]
+        mark[code[start[a] : start[a + 1]]] = 1
+        parts = np.concatenate([code[start[x] : start[x + 1]] for x in b])
+        x = np.add.reduceat(mark[parts], np.append(0, size[b].cumsum()[:-1]))
+        mark[code[start[a] : start[a + 1]]] = 0
+        out.append(order[k[100 * x >= 100 * similarity * (size[a] + size[b] - x)]])
+    return np.concatenate(out)
+
+
 def _blocks(fewest: list[int], similarity: float):
-    """Pairs of different components within each (bucket, block pair); rows come sorted by it."""
-
-    def pairs(ids, n, comp, part, sigs, start, stop):
-        i, j = np.triu_indices(stop - start, 1)
-        i, j = i + start, j + start
-        small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-        ok = (comp[i] != comp[j]) & (100 * small >= 100 * similarity * large)
-        ok &= (part[i, 0] != part[j, 0]) | (part[i, 1] == part[i, 2])
-        i, j = i[ok], j[ok]
-        for k in range(0, len(i), 65536):
-            x, y = i[k : k + 65536], j[k : k + 65536]
-            hit = agree(sigs[x], sigs[y], fewest)
-            a, b = ids[x[hit]], ids[y[hit]]
-            yield np.minimum(a, b), np.maximum(a, b)
+    """Links of different components within each (bucket, block pair); rows come sorted by it.
+
+    One link of two components is enough to join them, so a block gives no more.
+    """
+
+    def pairs(ids, n, comp, part, sigs, sets, start, stop):
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for at in range(start, stop, SLAB):
+            row, col = slice(at, min(at + SLAB, stop)), slice(at, stop)
+            small, large = np.minimum.outer(n[row], n[col]), np.maximum.outer(n[row], n[col])
+            ok = np.triu(comp[row, None] != comp[None, col], 1) & (100 * small >= 100 * similarity * large)
+            ok &= (part[row, 0][:, None] != part[None, col, 0]) | (part[start, 1] == part[start, 2])
+            i, j = np.nonzero(ok)
+            for k in range(0, len(i), 65536):
+                x, y = i[k : k + 65536] + at, j[k : k + 65536] + at
+                hit = agree(sigs[x], sigs[y], fewest)
+                left.append(x[hit])
+                right.append(y[hit])
+        i, j = np.concatenate(left), np.concatenate(right)
+        if not len(i):
+            return {}
+        hit = _linked([sets(k) for k in range(start, stop)], i - start, j - start, similarity)
+        i, j = i[hit], j[hit]
+        a, b = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+        return dict(zip(zip(a.tolist(), b.tolist(), strict=True), zip(ids[i].tolist(), ids[j].tolist(), strict=True), strict=True))
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
 
         def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            t = t.combine_chunks()
             part = np.column_stack([t.column(c).to_numpy() for c in ("h", "i", "j")])
             key = t.column("key").to_numpy()
             ids, n, comp = (t.column(c).to_numpy() for c in ("id", "n", "comp"))
             sigs = _signatures(t.column("sig"))
+            packed = t.column("shingles")
+            sets = lambda k: np.asarray(packed[k].values)
             cut = np.flatnonzero((key[1:] != key[:-1]) | (part[1:, 1:] != part[:-1, 1:]).any(axis=1)) + 1
-            found = set()
+            found = {}
             for start, stop in zip([0, *cut], [*cut, len(key)], strict=True):
-                for a, b in pairs(ids, n, comp, part, sigs, start, stop):
-                    found.update(zip(a.tolist(), b.tolist(), strict=True))
-            a, b = zip(*found, strict=True) if found else ((), ())
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                found |= pairs(ids, n, comp, part, sigs, sets, start, stop)
+            a = np.array([min(p) for p in found.values()], np.int64)
+            b = np.array([max(p) for p in found.values()], np.int64)
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -291,9 +327,9 @@ def near_duplicates(
     apart = apart.withColumn("h", F.expr("pmod(xxhash64(id, 1), parts)"))
     blocks = apart.select("key", "id", "n", "comp", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("o"))
     blocks = blocks.select("key", "id", "n", "comp", "h", F.least("h", "o").alias("i"), F.greatest("h", "o").alias("j"))
-    blocks = blocks.join(sigs, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = blocks.select("key", "i", "j", "h", "id", "n", "comp", "sig").mapInArrow(_blocks(fewest, similarity), "a long, b long")
-    more = scratch.keep(confirmed(more.distinct()), "more")
+    blocks = blocks.join(sigs, "id").join(sets, "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = blocks.select("key", "i", "j", "h", "id", "n", "comp", "sig", "shingles").mapInArrow(_blocks(fewest, similarity), "a long, b long")
+    more = scratch.keep(more.distinct(), "more")
     of = lambda side: comps.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}"))
     joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left")
     joined = joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
