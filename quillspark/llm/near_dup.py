@@ -32,7 +32,7 @@ SHINGLE = 5
 HASHES, BANDS, ROWS = 256, 32, 4
 BATCH = 32
 MISS = 1e-6
-FAN, BLOCK, SLAB = 64, 256, 64
+FAN, BLOCK, SLAB = 64, 1024, 64
 STEP = 1024
 
 
