@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: The lowest k bits set.
+_LOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class Bits:
     """A bit vector with rank: packed words and the ones before each."""
 
@@ -12,13 +16,12 @@ class Bits:
         packed = np.packbits(bits, bitorder="little")
         packed = np.append(packed, np.zeros(8 + -len(packed) % 8, np.uint8))
         self.words = packed.view(np.uint64)
-        self.before = np.append(0, np.bitwise_count(self.words).astype(np.int32).cumsum()[:-1]).astype(np.int32)
+        self.before = np.append(0, np.bitwise_count(self.words).astype(np.int64).cumsum()[:-1])
 
     def ones(self, at: np.ndarray) -> np.ndarray:
         """Ones before each place."""
         word = at >> 6
-        low = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & low)
+        return self.before.take(word) + np.bitwise_count(self.words.take(word) & _LOW.take(at & 63))
 
 
 class Wavelet:
@@ -35,7 +38,7 @@ class Wavelet:
         """Start of c's run in the last level plus its occurrences before each place."""
         for level, bits, zeros in self.rows:
             one = bits.ones(at)
-            at = np.where((c >> level) & 1, zeros + one, at - one)
+            at = np.where(c & (1 << level), one + zeros, at - one)
         return at
 
 
@@ -78,9 +81,13 @@ class FmIndex:
 PROBE = 7
 
 
-def repeated_windows(texts: list[np.ndarray], weight: np.ndarray, window: int) -> list[np.ndarray]:
+def repeated_windows(
+    texts: list[np.ndarray], weight: np.ndarray, window: int, searched: np.ndarray | None = None
+) -> list[np.ndarray]:
     """For every text, which of its windows stand at least twice in the weighted collection.
 
+    Texts that are not to be ``searched`` are known to be repeated as a whole.
+
     Texts (arrays of positive integers) are streamed through backward search. From an end e
     a match grows leftwards while it stands at least twice; where it stops, at p, all windows
     inside the match are repeated and none that holds both p and e is. The search goes on
@@ -101,7 +108,10 @@ def repeated_windows(texts: list[np.ndarray], weight: np.ndarray, window: int) -
         np.add.at(marks, start[seg[ok]] + first[ok], 1)
         np.add.at(marks, start[seg[ok]] + last[ok] + 1, -1)
 
-    seg = np.flatnonzero(length >= window)
+    whole = (length >= window) & ~(np.ones(len(length), bool) if searched is None else searched)
+    known = np.flatnonzero(whole)
+    mark(known, np.zeros(len(known), np.int64), length[known] - window)
+    seg = np.flatnonzero((length >= window) & ~whole)
     end = length[seg] - 1
     at, limit, saved, stop = end.copy(), end - window + 1, end.copy(), np.full(len(seg), -1)
     probing = np.zeros(len(seg), bool)

@@ -27,13 +27,23 @@ WINDOW, GRAM = 35, 8
 SHARD_WORDS, HOT = 200_000, 1000
 
 
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """Least of every ``width`` neighbours, from windows of doubled width."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = np.minimum(x[:-step], x[step:])
+        have += step
+    return x
+
+
 def segments(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(minimiser, first window, number of windows, whether the minimiser stands twice in the
     text) of every run of windows with one minimiser."""
     if len(hashes) < window:
         return (np.zeros(0, np.int64),) * 4
     grams = runs(hashes, gram)
-    least = np.lib.stride_tricks.sliding_window_view(grams, window - gram + 1).min(axis=1)
+    least = sliding_least(grams, window - gram + 1)
     cut = np.append(0, np.flatnonzero(least[1:] != least[:-1]) + 1)
     # the longest segment has one window for each place of its minimiser; a longer run is cut
     size = np.diff(np.append(cut, len(least)))
@@ -42,7 +52,9 @@ def segments(hashes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np
         cut = np.concatenate([np.arange(c, c + s, most) for c, s in zip(cut, size, strict=True)])
         size = np.diff(np.append(cut, len(least)))
     ordered = np.sort(grams)
-    return least[cut].view(np.int64), cut, size, np.isin(least[cut], ordered[1:][ordered[1:] == ordered[:-1]])
+    double = ordered[1:][ordered[1:] == ordered[:-1]]
+    twice = np.isin(least[cut], double) if len(double) else np.zeros(len(cut), bool)
+    return least[cut].view(np.int64), cut, size, twice
 
 
 def _grams(window: int, gram: int):
@@ -117,7 +129,9 @@ def _shard(window: int):
         texts = np.split(code + 1, np.cumsum([len(h) for h in hashes])[:-1])
         digests, offsets = t.column("digest").to_pylist(), t.column("offset").to_numpy()
         out = []
-        for k, hit in enumerate(repeated_windows(texts, t.column("weight").to_numpy(), window)):
+        # windows of segments that stand twice are repeated; only the others are searched
+        weight = t.column("weight").to_numpy()
+        for k, hit in enumerate(repeated_windows(texts, weight, window, weight < 2)):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
             out += [(digests[k], int(offsets[k] + a), int(offsets[k] + b - 1)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
         columns = list(zip(*out, strict=True)) or [()] * 3
@@ -174,8 +188,11 @@ def remove_repeats(
     found = scratch.keep(
         found.mapInArrow(_contents(window), "id long, mark long, m long, first int, size int, digest binary, content binary"), "found"
     )
+    scratch.release(grams)
+    places = scratch.keep(found.select("id", "mark", "first", "digest"), "places")
     segs = found.groupBy("digest").agg(F.count(F.lit(1)).alias("weight"), F.min("m").alias("m"), F.first("content").alias("content"))
     segs = scratch.keep(segs, "segments")
+    scratch.release(found)
     hot = segs.groupBy("m").count().filter(f"count > {HOT}").select("m")
     single = segs.join(hot, "m", "left_semi").select("digest", "weight", "content")
     single = single.mapInArrow(_windows(window), "digest binary, weight long, content binary, offset int, deal long")
@@ -185,7 +202,8 @@ def remove_repeats(
     dealt = plain.union(single).withColumn("shard", F.pmod(F.xxhash64("deal"), F.lit(shards)))
     spans = dealt.groupBy("shard").applyInArrow(_shard(window), "digest binary, low int, high int")
     spans = scratch.keep(spans, "spans")
-    placed = found.select("id", "mark", "first", "digest").join(spans, "digest")
+    scratch.release(segs)
+    placed = places.join(spans, "digest")
     lists = placed.groupBy("id", "mark").agg(
         F.collect_set(F.struct((F.col("first") + F.col("low")).alias("low"), (F.col("first") + F.col("high")).alias("high"))).alias("spans")
     )
