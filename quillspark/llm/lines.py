@@ -33,12 +33,14 @@ def word_hashes(words: Column) -> Column:
 
 
 def halves(words: Column) -> Column:
-    """Hashes of the halves that one edit can leave: of (n - 1) / 2 and n / 2 words, at both ends."""
+    """Hashes of the halves that one edit can leave: of (n - 1) / 2 and n / 2 words, at both ends
+    (the same for an odd n)."""
     n = F.size(words)
     short, long = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
     first = lambda k: F.xxhash64(F.lit("f"), k, F.slice(words, F.lit(1), k))
     last = lambda k: F.xxhash64(F.lit("l"), k, F.slice(words, n - k + 1, k))
-    return F.array(first(short), last(short), first(long), last(long))
+    odd = F.array(first(short), last(short))
+    return F.when(n % 2 == 1, odd).otherwise(F.array(first(short), last(short), first(long), last(long)))
 
 
 def within_one(a: str, b: str) -> Column:
