@@ -15,6 +15,7 @@ Decoding walks a UTF-8 state machine whose states are the bytes of an unfinished
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -25,30 +26,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds on what a worker remembers.
-STATES, PIECES, PAIRS = 120_000, 200_000, 300_000
+STATES, PIECES, PAIRS = 150_000, 200_000, 300_000
+_END = (((), 0),)
 
 
-class State:
-    """``live``: for every position that a token may still start from and reach beyond what was
-    read, the tokens up to it that are not written yet, and the bytes since; the last is the end."""
+class State(dict):
+    """Steps by byte: tokens written and the next state.
 
-    __slots__ = ("prev", "live", "steps")
+    ``live``: for every position that a token may still start from and reach beyond what was
+    read, the tokens up to it that are not written yet and the trie node of the bytes since;
+    the last is the end."""
 
-    def __init__(self, prev: int | None, live: tuple):
-        self.prev, self.live, self.steps = prev, live, {}
+    __slots__ = ("prev", "live")
+
+    def __init__(self, prev: int, live: tuple):
+        self.prev, self.live = prev, live
 
 
 class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
         self.tokens = {i: t for t, i in ranks.items()}
-        self.pairs: dict[tuple[int | None, int], bool] = {}
+        self.start = max(self.tokens) + 1  # stands before the first token of a piece
+        self.trie: dict[int, int] = {}
+        self.ends, self.more = [-1], bytearray(1)
+        for token, i in ranks.items():
+            node = 0
+            for byte in token:
+                self.more[node] = 1
+                child = self.trie.get(node << 8 | byte)
+                if child is None:
+                    child = self.trie[node << 8 | byte] = len(self.ends)
+                    self.ends.append(-1)
+                    self.more.append(0)
+                node = child
+            self.ends[node] = i
+        self.pairs: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
         self.states: dict[tuple, State] = {}
-        self.root = self._state(None, (((), b""),))
+        self.root = self._state(self.start, (((), 0),))
 
     def merged(self, piece: bytes) -> list[int]:
         """Merges of a short piece, always the lowest-ranked neighbours first."""
@@ -60,54 +78,65 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
-    def compatible(self, left: int | None, right: int) -> bool:
-        key = (left, right)
+    def compatible(self, left: int, right: int) -> bool:
+        key = left << 32 | right
         known = self.pairs.get(key)
         if known is None:
             if len(self.pairs) >= PAIRS:
                 self.pairs.clear()
-            whole = [right] if left is None else [left, right]
+            whole = [right] if left == self.start else [left, right]
             known = self.pairs[key] = self.merged(b"".join(self.tokens[t] for t in whole)) == whole
         return known
 
-    def _state(self, prev: int | None, live: tuple) -> State:
+    def _state(self, prev: int, live: tuple) -> State:
         found = self.states.get((prev, live))
         if found is None:
             found = self.states[prev, live] = State(prev, live)
         return found
 
     def _step(self, state: State, byte: int) -> tuple[tuple[int, ...], State]:
-        prev, last, live = state.prev, bytes((byte,)), []
-        end = None
-        for chain, read in state.live:
-            read += last
+        prev, child_of, ends, more, known = state.prev, self.trie.get, self.ends, self.more, self.pairs.get
+        live, end = [], None
+        for start in state.live:
+            chain, node = start
+            child = child_of(node << 8 | byte)
+            if child is None:
+                continue
             if end is None:
-                token = self.ranks.get(read)
-                if token is not None and self.compatible(chain[-1] if chain else prev, token):
-                    end = (*chain, token)
-            if read in self.prefixes:
-                live.append((chain, read))
-        sure = len(end)
-        for chain, _ in live:
-            sure = min(sure, len(chain))
-            while chain[:sure] != end[:sure]:
-                sure -= 1
+                token = ends[child]
+                if token >= 0:
+                    left = chain[-1] if chain else prev
+                    ok = known(left << 32 | token)
+                    if ok or ok is None and self.compatible(left, token):
+                        end = (*chain, token)
+            if more[child]:
+                live.append((chain, child))
+        if not live:
+            return end, self._state(end[-1], _END)
+        sure = 0
+        if live[0][0]:  # the earliest start has the shortest path
+            sure = len(live[0][0])
+            for chain, _ in (*live, (end, 0)):
+                while chain[:sure] != end[:sure]:
+                    sure -= 1
+        live.append((end, 0))
         if not sure:
-            return (), self._state(prev, (*live, (end, b"")))
-        live = tuple((chain[sure:], read) for chain, read in live)
-        return end[:sure], self._state(end[sure - 1], (*live, (end[sure:], b"")))
+            return (), self._state(prev, tuple(live))
+        return end[:sure], self._state(end[sure - 1], tuple([(chain[sure:], node) for chain, node in live]))
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
         if len(self.states) > STATES:
+            for state in self.states.values():
+                state.clear()  # states refer to each other
             self.reset()
         state, out = self.root, []
         for byte in piece:
-            step = state.steps.get(byte)
+            step = state.get(byte)
             if step is None:
-                step = state.steps[byte] = self._step(state, byte)
+                step = state[byte] = self._step(state, byte)
             done, state = step
             if done:
                 out += done
@@ -248,6 +277,7 @@ def encode(
     path, split = ranks or path, pattern or split
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the many small objects kept hold no cycles but those of states
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
