@@ -33,7 +33,7 @@ CLASSES = OWN + GROUPS
 DIMS, CONTEXT = 16, 4
 TABLE = 1 << 19
 FLUSH = 300_000
-BATCH, NOISE, RATE = 4096, 8, 0.15
+BATCH, NOISE, RATE = 4096, 32, 0.15
 END = b"\n"  # no word holds a line feed
 
 
@@ -83,34 +83,48 @@ class Table:
         self.class_count, self.class_kinds = class_count, class_kinds
 
 
-class Reader:
-    """Token by token: input vector, class, log count; remembered up to a bound."""
+class Reader(dict):
+    """Numbers of tokens met before, up to a bound, and what the table says of each: input
+    vector, class, count (-1 for a token that is not in the table), hash."""
 
     def __init__(self, table: Table, most: int = 300_000):
+        super().__init__()
         self.t, self.most, self.groups = table, most, Groups()
-        self.hash, self.known = WordHashes(1, most), {}
-
-    def find(self, word: bytes) -> tuple[int, int, int]:
-        """(input, class, count); the count is -1 for a token that is not in the table."""
-        h = np.uint64(self.hash[word]).astype(np.int64)
-        i = int(np.searchsorted(self.t.h, h))
-        g = self.groups[word[-2:]]
-        if i < len(self.t.h) and self.t.h[i] == h:
-            own = int(self.t.own[i])
-            return (own if 0 <= own < INPUTS else INPUTS + g), (own if 0 <= own < OWN else OWN + g), int(self.t.c[i])
-        return INPUTS + g, OWN + g, -1
+        self.new: list[bytes] = []
+        self.columns = np.empty((4, 1 << 12), np.int64)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = len(self)
+        self.new.append(word)
+        return i
+
+    def _look_up(self) -> None:
+        words, t = self.new, self.t
+        h = WordHashes(1, len(words) + 1).of(words).view(np.int64)
+        g = np.fromiter((self.groups[w[-2:]] for w in words), np.int64, len(words))
+        rows = np.array([INPUTS + g, OWN + g, np.full(len(words), -1), h])
+        if len(t.h):
+            i = np.minimum(np.searchsorted(t.h, h), len(t.h) - 1)
+            hit = t.h[i] == h
+            own = np.where(hit, t.own[i], -1)
+            rows[0] = np.where((own >= 0) & (own < INPUTS), own, rows[0])
+            rows[1] = np.where((own >= 0) & (own < OWN), own, rows[1])
+            rows[2] = np.where(hit, t.c[i], -1)
+        first = len(self) - len(words)
+        if len(self) > self.columns.shape[1]:
+            more = np.empty((4, 2 * len(self)), np.int64)
+            more[:, :first] = self.columns[:, :first]
+            self.columns = more
+        self.columns[:, first : len(self)] = rows
+        self.new = []
 
     def read(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        out = []
-        for w in words:
-            r = known.get(w)
-            if r is None:
-                if len(known) >= self.most:
-                    known.clear()
-                r = known[w] = self.find(w)
-            out.append(r)
-        return np.array(out, np.int64).reshape(-1, 3)
+        if len(self) > self.most:
+            self.clear()
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            self._look_up()
+        return self.columns[:, numbers]
 
 
 class Model:
@@ -149,9 +163,11 @@ class Model:
             s = self.predicted(context[part]) @ self.classes.T
             s += self.bias
             own = s[np.arange(len(s)), target[part]].astype(np.float64)
-            s -= (top := s.max(axis=1, keepdims=True))
+            if s.max() > 60:  # else no sum of exponentials can overflow
+                own -= (rows := s.max(axis=1))
+                s -= rows[:, None]
             np.exp(s, out=s)
-            out[part] = own - top[:, 0] - np.log(s.sum(axis=1))
+            out[part] = own - np.log(s.sum(axis=1))
         return out / math.log(10)
 
 
@@ -162,44 +178,37 @@ def contexts(inputs: np.ndarray) -> np.ndarray:
 
 
 class Trainer:
-    """Stochastic NCE steps with per-parameter rates (AdaGrad)."""
+    """Stochastic NCE steps with per-parameter rates (AdaGrad); a batch shares its noise."""
 
     def __init__(self, model: Model, frequency: np.ndarray):
         self.m, self.seen = model, 0
         self.past = Model(np.full_like(model.flat, 1e-2))
-        self.noise = np.log(NOISE * frequency).astype(np.float32)
-        rng = np.random.default_rng(2)
-        self.pool = rng.multinomial(NOISE, frequency / frequency.sum(), 4 * BATCH).astype(np.float32)
-        self.turn = rng.integers(0, 3 * BATCH, 1 << 16)
+        self.log_noise = np.log(NOISE * frequency).astype(np.float32)
+        self.noise = np.random.default_rng(2).choice(CLASSES, (1 << 12, NOISE), p=frequency / frequency.sum())
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         m, n = self.m, len(target)
+        noise = self.noise[(self.seen // BATCH) % len(self.noise)]
         self.seen += n
         predicted = m.predicted(context)
-        s = predicted @ m.classes.T
-        s += m.bias - self.noise
-        np.negative(s, out=s)
-        np.exp(np.clip(s, -30, 30, out=s), out=s)
-        s += 1
-        np.reciprocal(s, out=s)  # P(from the data | class, context)
-        rows = np.arange(n)
-        own = 1 - s[rows, target]
-        at = self.turn[(self.seen // BATCH) % len(self.turn)]
-        s *= self.pool[at : at + n]
-        np.negative(s, out=s)
-        s[rows, target] += own
-        s /= n
-        back = s @ m.classes
-        classes, bias = s.T @ predicted, s.sum(axis=0)
-        flat = np.zeros_like(m.inputs)
-        scale = np.empty_like(m.scale)
+        from_data = lambda s, c: 1 / (1 + np.exp(np.clip(self.log_noise[c] - m.bias[c] - s, -30, 30)))
+        aimed = m.classes[target]
+        own = (1 - from_data(np.einsum("ij,ij->i", predicted, aimed), target)) / n
+        false = from_data(predicted @ m.classes[noise].T, noise) / -n
+        back = own[:, None] * aimed
+        back += false @ m.classes[noise]
+        classes, bias = np.zeros_like(m.classes), np.bincount(target, own, CLASSES).astype(np.float32)
+        gain = own[:, None] * predicted
+        for d in range(DIMS):
+            classes[:, d] = np.bincount(target, gain[:, d], CLASSES)
+        np.add.at(classes, noise, false.T @ predicted)
+        np.add.at(bias, noise, false.sum(axis=0))
+        flat, scale = np.empty_like(m.inputs), np.empty_like(m.scale)
         for k in range(CONTEXT):
-            c = context[:, k]
-            order = np.argsort(c, kind="stable")
-            ids = c[order]
-            first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
-            flat[ids[first]] += np.add.reduceat(back[order], first, axis=0) * m.scale[k]
-            scale[k] = (back * m.inputs[c]).sum(axis=0)
+            scale[k] = np.einsum("ij,ij->j", back, m.inputs[context[:, k]])
+        ids = context.T.ravel()
+        for d in range(DIMS):
+            flat[:, d] = np.bincount(ids, np.outer(m.scale[:, d], back[:, d]).ravel(), len(flat))
         for value, past, grad in (
             (m.inputs, self.past.inputs, flat), (m.classes, self.past.classes, classes),
             (m.bias, self.past.bias, bias), (m.scale, self.past.scale, scale),
@@ -257,8 +266,8 @@ def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             for text in batch.column(0):
                 r = reader.read(tokens(text.as_py()))
-                held.append((contexts(r[:, 0]), r[:, 1]))
-                have += len(r)
+                held.append((contexts(r[0]), r[1]))
+                have += r.shape[1]
                 if have >= BATCH:
                     x, y = (np.concatenate(p) for p in zip(*held, strict=True))
                     for at in range(0, have - have % BATCH, BATCH):
@@ -294,19 +303,18 @@ def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
-                texts = [tokens(t.as_py()) for t in batch.column(2)]
-                read = [reader.read(words) for words in texts]
-                size = np.array([len(r) for r in read])
+                read = [reader.read(tokens(t.as_py())) for t in batch.column(2)]
+                size = np.array([r.shape[1] for r in read])
                 first = np.append(0, size.cumsum()[:-1])
-                r = np.concatenate(read)
-                logs = model.log10_classes(np.concatenate([contexts(x[:, 0]) for x in read]), r[:, 1])
-                c = r[:, 2]
+                r = np.concatenate(read, axis=1)
+                logs = model.log10_classes(np.concatenate([contexts(x[0]) for x in read]), r[1])
+                c = r[2]
                 own = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1), 0.0)
-                logs = logs + own - within[r[:, 1]]
+                logs = logs + own - within[r[1]]
                 rare = []
-                for words, x in zip(texts, read, strict=True):
-                    found = Counter(words[i] for i in np.flatnonzero(x[:, 2] < 0))
-                    rare.append([{"h": int(np.uint64(reader.hash[w]).astype(np.int64)), "n": n} for w, n in found.items()])
+                for x in read:
+                    found = np.unique(x[3][x[2] < 0], return_counts=True)
+                    rare.append([{"h": h, "n": n} for h, n in zip(*(f.tolist() for f in found), strict=True)])
                 yield pa.record_batch(
                     [
                         batch.column(0), batch.column(1), pa.array(size, pa.int64()),
