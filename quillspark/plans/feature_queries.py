@@ -378,11 +378,12 @@ def _(t):
 @query(
     "f2_productions",
     f"""WITH {_TREES} SELECT DISTINCT doc_id AS doc, root AS lhs, '(' || string_agg(child, ', ' ORDER BY pos) || CASE WHEN count(*) = 1 THEN ',)' ELSE ')' END AS rhs
-      FROM (SELECT s.doc_id, s.no, (len(ws) % 7)::VARCHAR AS root, n.pos, n.root AS child FROM sent s JOIN node n USING (doc_id, no)) GROUP BY doc_id, no, root""",
+      FROM (SELECT s.doc_id, s.no, (len(ws) % 7)::VARCHAR AS root, n.pos, n.root AS child FROM sent s JOIN node n USING (doc_id, no)) GROUP BY doc_id, no, root
+      UNION SELECT doc_id, (length(a) % 5)::VARCHAR, '(''' || a || ''',' || coalesce(' ''' || b || '''', '') || ')' FROM pair""",
 )
 def _(t):
     nodes = tr.tree_rows(sentence_trees(t), "tree", keep=["doc_id", "no"])
-    return tr.production_features(nodes.filter("depth = 2"), "doc_id")
+    return tr.production_features(nodes, "doc_id")
 
 
 @query("f2_production_trees")
