@@ -161,8 +161,8 @@ def _(t):
     train = labelled(t).filter("split = 'train'")
     feats = word_feats(train)
     table = mi.feature_mi(feats, train).withColumn("mi", F.round("mi", 8))
-    chosen = mi.top_features(table, 40).withColumn("key", F.substring("feature", 1, 1))
-    return gr.merge_greedily(feats, train, chosen, 40)
+    chosen = mi.top_features(table, TOP_K).withColumn("key", F.substring("feature", 1, 1))
+    return gr.merge_greedily(feats, train, chosen, TOP_K)
 
 
 @query(
