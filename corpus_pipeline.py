@@ -3,15 +3,18 @@
 Every stage takes the documents its predecessor kept, with the columns of ``documents``;
 the last one gives token ids. No stage can be put in SQL as a whole because of the
 classifier, so the pipeline is tested against brute-force versions.
+
+Ids may be null or repeated, so stages tell rows apart by a hash of all columns and never by
+``doc_id``. Rows that are equal in all columns share it; they are counted or met once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.bpe import decode, encode
-from quillspark.llm.common import Scratch, table
+from quillspark.llm.common import Scratch, table, words_of
 from quillspark.llm.lines import dedup_lines
 from quillspark.llm.mixing import mix, schedule
 from quillspark.llm.near_dup import near_duplicates
@@ -20,8 +23,7 @@ from quillspark.llm.quality import quality
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go. Learns from the labelled rows of ``docs``."""
-    rejected = quality(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select("doc_id")
-    return without(docs, rejected)
+    return quality(docs, table(spark, sf_dir, "labels"), keep=docs.columns).filter("predicted <> 0").select("kept.*")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +33,31 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """MinHash near-dedup: the first document of every near-duplicate group stays."""
-    return without(docs, near_duplicates(docs).filter("not kept").select("doc_id"))
+    """MinHash near-dedup: the first row of every near-duplicate group stays, by id (null last).
+
+    Every row is a document, with an id of its own or not; of equal rows one stays. Rows
+    without words are in no group and stay.
+    """
+    scratch = Scratch(spark, "one-of-each")
+    rows = once(keyed(docs), scratch, F.size(words_of(F.col("text"))) > 0)
+    groups = near_duplicates(rows, id_col="_row").filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    groups = scratch.keep(groups, "groups")
+    many = groups.groupBy("component_id").agg(F.min("_row").alias("x"), F.max("_row").alias("y")).filter("x < y").select("component_id")
+    members = groups.join(many, "component_id").join(rows.select("_row", "doc_id"), "_row")
+    members = scratch.keep(members.select("component_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("at")), "members")
+    first = members.groupBy("component_id").agg(F.min("at").alias("first"))
+    gone = members.join(first, "component_id").filter("at._row <> first._row").select("at._row")
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: a row for every copy taken, in the order of training; rows not taken go."""
-    order = schedule(mix(docs)).toDF("_mix_id", "_mix_position").distinct()
-    out = docs.join(order, F.col("doc_id").eqNullSafe(F.col("_mix_id")))
-    return out.orderBy("_mix_position", "doc_id").select(docs.columns)
+    scratch = Scratch(spark, "mixed")
+    rows = keyed(docs)
+    order = schedule(mix(rows, keep=["_row"]), keep=["_row"]).select("_row", F.col("position").alias("_position"))
+    # equal rows stand once on the side of the texts and with all their copies on the other
+    out = once(rows, scratch).join(order, "_row")
+    return out.orderBy("_position", "doc_id", "_row").select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +69,17 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.distinct(), "doc_id", "left_anti").select(docs.columns)
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a hash of all columns; a null is not skipped but hashed as one."""
+    values = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
+    return docs.withColumn("_row", F.xxhash64(*values))
+
+
+def once(rows: DataFrame, scratch: Scratch, among: Column | None = None) -> DataFrame:
+    """One of equal rows (of those in ``among``); only repeated rows are shuffled."""
+    counted = rows if among is None else rows.filter(among)
+    repeated = scratch.keep(counted.groupBy("_row").count().filter("count > 1").select("_row"), "repeated")
+    return rows.join(repeated, "_row", "left_anti").unionByName(rows.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]))
 
 
 STAGES = [

@@ -8,12 +8,13 @@ still speak. Scores are sparse dot products over whole texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillspark.llm.common import TRAIN_ROWS, WordHashes, byte_words, fitted, held_out, labelled_sample, mixed
 
@@ -104,14 +105,15 @@ def score(text: str | None, weights: np.ndarray, tools: tuple[WordHashes, Shapes
 
 def quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality",
-    of: int = 4, rest: int = 2, most: int = TRAIN_ROWS, threshold: float = THRESHOLD,
+    of: int = 4, rest: int = 2, most: int = TRAIN_ROWS, threshold: float = THRESHOLD, keep: Sequence[str] = (),
 ) -> DataFrame:
     """doc_id, held_out, score, predicted for every row.
 
     Fitted on about ``most`` labelled rows at most, none of them held out (crc32 of the id
     modulo ``of`` is ``rest``; a null id is held out). A null, empty or blank text gets the
     score of the bias alone; without any label every score is 0.5. Rows stay as they are,
-    repeated ones too; other columns are not looked at.
+    repeated ones too; other columns are not looked at. Columns named in ``keep`` are carried
+    along in a struct ``kept``.
     """
     spark = docs.sparkSession
     model = fitted(labelled_sample(docs, labels, label, of, rest, most, id_col, text_col), fit)
@@ -121,10 +123,13 @@ def quality(
         weights, tools = np.frombuffer(shared.value, np.float32), machinery()
         for batch in batches:
             scores = [score(t.as_py(), weights, tools) for t in batch.column(2)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
+            columns = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), *batch.columns[3:]]
+            yield pa.record_batch(columns, names=["doc_id", "held_out", "score", *batch.schema.names[3:]])
 
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), held_out(F.col(id_col), of, rest).alias("held_out"), F.col(text_col).cast("string").alias("text")
+        F.col(id_col).alias("doc_id"), held_out(F.col(id_col), of, rest).alias("held_out"), F.col(text_col).cast("string").alias("text"),
+        *([F.struct(*keep).alias("kept")] if keep else []),
     )
-    out = rows.mapInArrow(fn, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double")
+    given = rows.schema.fields
+    out = rows.mapInArrow(fn, StructType([*given[:2], StructField("score", DoubleType()), *given[3:]]))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -459,3 +459,49 @@ def test_pipeline_stages_keep_what_they_should(spark, tmp_path):
     texts = {r.doc_id: r.text for r in before.collect()}
     for r in docs.collect():
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_pipeline_stages_with_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as pipeline
+    from quillspark.llm import quality as q
+    from quillspark.llm.mixing import mix
+
+    folder = "/root/testdata/sf0.001"
+    given = spark.read.parquet(f"{folder}/documents.parquet")
+    columns = given.columns
+    rows = lambda df: Counter(tuple(r) for r in df.select(columns).collect())
+    ids = F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 1, F.col("doc_id") % 10).otherwise(F.col("doc_id"))
+    twice = given.filter("doc_id % 4 = 0")
+    mess = given.union(twice).union(twice).withColumn("doc_id", ids.cast(given.schema["doc_id"].dataType)).select(columns)
+    mess.write.parquet(str(tmp_path / "mess"))
+    docs = spark.read.parquet(str(tmp_path / "mess"))
+
+    # quality: a row goes by its own score, whatever its id
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    good = q.quality(docs, labels, keep=columns).filter("predicted = 1").select("kept.*")
+    want, got = rows(good), rows(pipeline.good_documents(spark, docs, folder))
+    assert got == want and 0 < sum(got.values()) < docs.count()
+    assert any(r[0] is None for r in got) and any(r[0] is None for r in rows(docs) - got)
+
+    # near-dedup: every row is a node, of a group the first by id stays
+    some = docs.orderBy("doc_id", "text").limit(250).collect()
+    table = spark.createDataFrame(some, docs.schema)
+    comp = components_by_loop([(k, r["text"]) for k, r in enumerate(some)])
+    groups = {}
+    for k, c in comp.items():
+        groups.setdefault(c, []).append(k)
+    got = rows(pipeline.one_of_each_group(spark, table, folder))
+    at = columns.index("doc_id")
+    assert sum(got.values()) == len(groups)
+    first = lambda members: min((some[k][at] is None, some[k][at] or 0) for k in members)
+    assert Counter((r[at] is None, r[at] or 0) for r in got.elements()) == Counter(map(first, groups.values()))
+
+    # mixing: as many rows as copies, at most three of a row
+    mixed = rows(pipeline.mixed_sources(spark, docs, folder))
+    before = rows(docs)
+    assert sum(mixed.values()) == mix(docs).agg(F.sum("copies")).first()[0]
+    assert all(n <= 3 * before[r] for r, n in mixed.items())
+
+    # lines and tokens: a row for a row
+    assert pipeline.without_repeated_lines(spark, docs, folder).count() == docs.count()
+    assert pipeline.token_ids(spark, table, folder).count() == len(some)
