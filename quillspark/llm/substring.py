@@ -4,8 +4,8 @@ Windows of ``window`` words are dealt by their *minimiser*, the least hash of th
 inside: equal windows have equal minimisers. Consecutive windows of one minimiser form a
 segment. Segments whose minimiser stands only once cannot hold a repeated window and are set
 aside. Equal segments are counted once with a weight, so groups of copies shrink before they
-are dealt. A minimiser with very many different segments is dealt further, window by window,
-by the hash of the window. Every shard builds an FM-index of its segments and streams them
+are dealt. A minimiser with very many different segments is not dealt: the weights of its
+windows are added up by the digest of the window, wherever it stands. Every other shard builds an FM-index of its segments and streams them
 through backward search; intervals whose weight is two or more are reported.
 """
 
@@ -104,7 +104,7 @@ def _contents(window: int):
 
 
 def _windows(window: int):
-    """Windows of segments, each by itself."""
+    """Digests of the windows of segments, each with its place; no words."""
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,28 +112,38 @@ def _windows(window: int):
             for digest, weight, content in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 words = content.split()
                 for k in range(len(words) - window + 1):
-                    part = b" ".join(words[k : k + window])
-                    rows.append((digest, weight, part, k, int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["digest", "weight", "content", "offset", "deal"])
+                    rows.append((digest, weight, k, hashlib.blake2b(b" ".join(words[k : k + window]), digest_size=16).digest()))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            kinds = [pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["digest", "weight", "offset", "content"])
 
     return fn
 
 
+def repeated_one_by_one(segs: DataFrame, window: int) -> DataFrame:
+    """(digest, low, high) of every window that stands twice in ``segs`` (digest, weight, content).
+
+    Weights are added up before windows meet, so a window in many segments is one row of a sum;
+    the verdict then goes back to its places.
+    """
+    at = segs.mapInArrow(_windows(window), "digest binary, weight long, offset int, content binary")
+    twice = at.groupBy("content").agg(F.sum("weight").alias("weight")).filter("weight > 1").select("content")
+    return at.join(twice, "content").select("digest", F.col("offset").alias("low"), F.col("offset").alias("high"))
+
+
 def _shard(window: int):
     def fn(t: pa.Table) -> pa.Table:
         cache = WordHashes(7)
         hashes = [cache.of(c.split()) for c in t.column("content").to_pylist()]
         _, code = np.unique(np.concatenate(hashes), return_inverse=True)
         texts = np.split(code + 1, np.cumsum([len(h) for h in hashes])[:-1])
-        digests, offsets = t.column("digest").to_pylist(), t.column("offset").to_numpy()
+        digests = t.column("digest").to_pylist()
         out = []
         # windows of segments that stand twice are repeated; only the others are searched
         weight = t.column("weight").to_numpy()
         for k, hit in enumerate(repeated_windows(texts, weight, window, weight < 2)):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-            out += [(digests[k], int(offsets[k] + a), int(offsets[k] + b - 1)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+            out += [(digests[k], int(a), int(b - 1)) for a, b in zip(edge[::2], edge[1::2], strict=True)]
         columns = list(zip(*out, strict=True)) or [()] * 3
         return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["digest", "low", "high"])
 
@@ -194,14 +204,13 @@ def remove_repeats(
     segs = scratch.keep(segs, "segments")
     scratch.release(found)
     hot = segs.groupBy("m").count().filter(f"count > {HOT}").select("m")
-    single = segs.join(hot, "m", "left_semi").select("digest", "weight", "content")
-    single = single.mapInArrow(_windows(window), "digest binary, weight long, content binary, offset int, deal long")
-    plain = segs.join(hot, "m", "left_anti").select("digest", "weight", "content", F.lit(0).alias("offset"), F.col("m").alias("deal"))
+    single = repeated_one_by_one(segs.join(hot, "m", "left_semi").select("digest", "weight", "content"), window)
+    plain = segs.join(hot, "m", "left_anti").select("digest", "weight", "content", "m")
     n = segs.count()
     shards = max(1, -(-n * (window + window // 2) // SHARD_WORDS))
-    dealt = plain.union(single).withColumn("shard", F.pmod(F.xxhash64("deal"), F.lit(shards)))
+    dealt = plain.withColumn("shard", F.pmod(F.xxhash64("m"), F.lit(shards)))
     spans = dealt.groupBy("shard").applyInArrow(_shard(window), "digest binary, low int, high int")
-    spans = scratch.keep(spans, "spans")
+    spans = scratch.keep(spans.union(single), "spans")
     scratch.release(segs)
     placed = places.join(spans, "digest")
     lists = placed.groupBy("id", "mark").agg(

@@ -339,6 +339,30 @@ def test_substring_dedup(spark, docs, none, monkeypatch):
     assert substring.remove_repeats(none).count() == 0
 
 
+def test_windows_of_hot_segments_do_not_meet_in_one_shard(spark, monkeypatch, tmp_path):
+    from quillspark.llm import substring
+
+    passage, show = prose(1, 40), lambda df: sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in df.collect())
+    rows = [(i, " ".join([prose(500 + i, 40), passage, prose(900 + i, 40)])) for i in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    real, folder = substring._shard, str(tmp_path)
+
+    def counted(window):
+        fn = real(window)
+
+        def out(t):
+            with open(f"{folder}/{t.num_rows}", "w"):
+                return fn(t)
+
+        return out
+
+    monkeypatch.setattr(substring, "_shard", counted)
+    monkeypatch.setattr(substring, "SHARD_WORDS", 1000)
+    monkeypatch.setattr(substring, "HOT", 5)
+    assert show(substring.remove_repeats(table)) == removed_by_loop(rows, 35)
+    assert max([int(p.name) for p in tmp_path.iterdir()], default=0) < 80
+
+
 def test_fm_index_against_counting():
     from quillspark.llm.fm_index import repeated_windows
 
