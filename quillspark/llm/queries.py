@@ -215,3 +215,102 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     from quillspark.llm.lm import language_model
 
     return language_model(table(spark, folder, "documents"))
+
+
+#: crc32 of a decimal number: the bytes of its digits folded into the register, bit by bit.
+CRC32_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda z: z::BIGINT)),
+      lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+def leaf_sql(n_chars: str) -> str:
+    parts = ["doc_id::VARCHAR", "source", "lang", f"({n_chars})::VARCHAR", "text"]
+    return f"sha256({' || '.join(f"coalesce(strlen({p})::VARCHAR || ':' || {p}, '-')" for p in parts)})"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, {leaf_sql("n_chars")} AS leaf, {CRC32_SQL} % 7 = 0 AS altered,
+    CASE WHEN altered THEN {leaf_sql("n_chars + 1")} ELSE leaf END AS given FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos FROM d),
+t AS (  -- the levels of the tree of every lang
+  SELECT lang, 0 AS level, list(leaf ORDER BY pos) AS nodes FROM p GROUP BY lang
+  UNION ALL
+  SELECT lang, level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], '')))
+  FROM t WHERE len(nodes) > 1),
+s AS (
+  SELECT lang, max(level) AS height, max(nodes[1]) FILTER (WHERE len(nodes) = 1) AS subroot,
+    row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS pos FROM t GROUP BY lang),
+u AS (  -- the levels of the tree of subroots
+  SELECT 0 AS level, list(subroot ORDER BY pos) AS nodes FROM s
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, len(nodes), 2), lambda i: sha256(nodes[i + 1] || coalesce(nodes[i + 2], '')))
+  FROM u WHERE len(nodes) > 1),
+b AS (  -- siblings, level by level; an even place has its sibling on the right
+  SELECT p.doc_id, t.level, (p.pos >> t.level) % 2 = 0 AS ahead,
+    coalesce(t.nodes[xor(p.pos >> t.level, 1) + 1], '') AS other
+  FROM p JOIN t ON p.lang IS NOT DISTINCT FROM t.lang AND len(t.nodes) > 1
+  UNION ALL
+  SELECT p.doc_id, s.height + u.level, (s.pos >> u.level) % 2 = 0, coalesce(u.nodes[xor(s.pos >> u.level, 1) + 1], '')
+  FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang JOIN u ON len(u.nodes) > 1),
+c AS (SELECT doc_id, list({{'ahead': ahead, 'other': other}} ORDER BY level) AS proof FROM b GROUP BY doc_id),
+r AS (SELECT max(nodes[1]) AS root FROM u WHERE len(nodes) = 1),
+f AS (
+  SELECT doc_id, 0 AS level, given AS acc FROM p
+  UNION ALL
+  SELECT f.doc_id, f.level + 1, sha256(CASE WHEN c.proof[f.level + 1].ahead THEN acc || c.proof[f.level + 1].other ELSE c.proof[f.level + 1].other || acc END)
+  FROM f JOIN c USING (doc_id) WHERE f.level < len(c.proof)),
+g AS (SELECT doc_id, arg_max(acc, level) AS folded_root FROM f GROUP BY doc_id)
+SELECT p.doc_id, p.leaf, s.subroot, r.root,
+  sha256(coalesce(array_to_string(list_transform(c.proof, lambda x: x.other), ''), '')) AS proof_sha256, g.folded_root, g.folded_root = r.root AS verified
+FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang JOIN g ON g.doc_id = p.doc_id LEFT JOIN c ON c.doc_id = p.doc_id, r
+"""
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from quillspark.llm.merkle import audit
+
+    return audit(table(spark, folder, "documents"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0)
+
+
+OP12_SQL = f"""
+WITH x AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {WORDS_SQL.format("coalesce(text, '')")} AS w FROM documents),
+d AS (
+  SELECT part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+    100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+    coalesce(x.doc_id > min(x.doc_id) OVER (PARTITION BY text), false) AS e,
+    coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic
+  FROM x LEFT JOIN labels l ON l.doc_id = x.doc_id),
+m AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n,
+    count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM d GROUP BY 1, 2),
+f(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (
+  SELECT f1.letter || f2.letter || f3.letter || f4.letter || f5.letter AS filter_order, [f1.bit, f2.bit, f3.bit, f4.bit, f5.bit] AS bits
+  FROM f f1, f f2, f f3, f f4, f f5
+  WHERE (f1.bit | f2.bit | f3.bit | f4.bit | f5.bit) = 31),
+t AS (
+  SELECT filter_order, step, bits[step] AS this, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS seen
+  FROM o, (SELECT unnest(range(1, 6)) AS step)),
+k AS (
+  SELECT part, filter_order, step, this,
+    coalesce(sum(n) FILTER (WHERE mask & (seen | this) = 0), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (WHERE mask & this <> 0 AND mask & seen = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE mask & this <> 0 AND mask & seen <> 0), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE mask = this), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE mask & this <> 0 AND mask & seen = 0), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (WHERE mask & this <> 0 AND mask & seen = 0), 0)::BIGINT AS toxic_lost
+  FROM m, t GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, this))::BIGINT AS shapley
+FROM k
+"""
+
+
+@query("op12_filter_interaction", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from quillspark.llm.interaction import filter_audit
+
+    return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
