@@ -314,3 +314,38 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     from quillspark.llm.interaction import filter_audit
 
     return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+#: A control string's first character, backslashes and the rest of it.
+CONTROL_SQL = r"""'(<)(\\*)(s>|/s>|<SYS>>|</SYS>>)|(\[)(\\*)(INST\]|/INST\]|ROLE\]|/ROLE\])'"""
+
+
+def escaped_sql(text: str) -> str:
+    return rf"regexp_replace({text}, {CONTROL_SQL}, '\1\4\\\2\5\3\6', 'g')"
+
+
+OP13_SQL = rf"""
+WITH a AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+b AS (
+  SELECT *, md5(text) AS tie, length({escaped_sql("text")}) + CASE role WHEN 'user' THEN 16 WHEN 'system' THEN 18
+    WHEN 'assistant' THEN 7 ELSE 20 + length({escaped_sql("role")}) END AS chars FROM a)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, tie)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, tie) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM b GROUP BY conv_id
+"""
+
+
+@query("op13_chat_format", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and conversation -1, whose texts hold control strings."""
+    from quillspark.llm.chat import format_chats, read_back
+
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
+    return read_back(format_chats(given.union(own)))
