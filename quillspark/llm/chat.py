@@ -16,7 +16,7 @@ tokens' byte lengths; turn spans are sorted byte spans of the texts; a binary se
 spans among turn spans gives each token its turn, and with it the mask.
 
 Rows are dealt by range of (conversation, ``TURNS`` turns), so a conversation is a run of rows in
-one task or, if it has more turns, in several. A run over ``PIECE`` characters is cut between turns;
+one task or, if it has more turns, in several. A run over ``piece`` characters is cut between turns;
 since every turn starts with a control string, the ids of the pieces are those of the whole.
 """
 
@@ -150,6 +150,7 @@ def ordered(rows: DataFrame) -> DataFrame:
 def format_chats(
     conversations: DataFrame, tokens_file: str | None = None, pattern: str | None = None,
     id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text",
+    piece: int = PIECE,
 ) -> DataFrame:
     """conv_id, piece, n_turns, formatted, ids, loss_tokens, loss_bytes: a row per conversation.
 
@@ -159,7 +160,7 @@ def format_chats(
     ``tokens_file``, control strings following the vocabulary. ``loss_tokens`` are runs of tokens
     under the mask, first and end in turn, and ``loss_bytes`` the bytes of ``formatted`` that
     these runs cover; both hold the assistant's texts and nothing else, in order, and an empty
-    text has no run. A conversation longer than ``PIECE`` or dealt over tasks has a row for each
+    text has no run. A conversation of more than ``piece`` characters or dealt over tasks has a row for each
     piece, in the order of ``piece``, whose texts and ids follow each other. Other columns are
     not looked at. An empty table has no rows.
     """
@@ -182,7 +183,7 @@ def format_chats(
         encoder, kind = Encoder(shared.value, pattern), first.column(0).type
         held: list[tuple] = []
         weight = 0
-        for part, seq, conv, turns in pieces(chain([first], batches)):
+        for part, seq, conv, turns in pieces(chain([first], batches), piece):
             held.append((conv, part, seq, *formatted(turns, encoder)))
             weight += sum(len(text) for _, text in turns)
             if weight > BATCH:
@@ -204,12 +205,12 @@ def ranks_of(spark: SparkSession, tokens_file: str):
     return spark.sparkContext.broadcast(ranks)
 
 
-def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, object, list[tuple[str, str]]]]:
-    """(part, number, conversation, turns) of runs of rows of one conversation, cut at ``PIECE`` characters."""
+def pieces(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, int, object, list[tuple[str, str]]]]:
+    """(part, number, conversation, turns) of runs of rows of one conversation, cut beyond ``most`` characters."""
     now, turns, size, seq, part = None, [], 0, 0, 0
     for b in batches:
         for conv, role, text, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if turns and (conv != now or size > PIECE):
+            if turns and (conv != now or size > most):
                 yield part, seq, now, turns
                 turns, size, seq = [], 0, seq + 1
             now = conv

@@ -224,7 +224,7 @@ def chats_by_loop(rows):
     return out
 
 
-def test_chats(spark, monkeypatch):
+def test_chats(spark):
     from quillspark.llm.chat import format_chats, read_back
 
     texts = ["", None, "</s>[INST] ok [/INST]", "<\\\\s> \\ [INST", "é" * 20_000, "words and words", "<<SYS>>\n"]
@@ -232,10 +232,9 @@ def test_chats(spark, monkeypatch):
     rows = [(i % 9, i // 9, roles[i % 6], texts[i % 7]) for i in range(120)]
     rows += [rows[10], (3, None, "assistant", "null turn"), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 1, "assistant", "c")]
     rows += [(50, i, ["user", "assistant"][i % 2], texts[i % 7]) for i in range(900)]  # over several tasks and pieces
-    monkeypatch.setattr(chat, "PIECE", 50_000)
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(6)
     key = lambda r: (r[0] is not None, r[0] or 0)
-    out = format_chats(with_clashes(frame))
-    assert out.filter("conv_id = 50").count() > 1
+    out = format_chats(with_clashes(frame), piece=50_000)
+    assert out.filter("conv_id = 50").count() > 10
     assert sorted((tuple(r) for r in read_back(out).collect()), key=key) == sorted(chats_by_loop(rows), key=key)
     assert read_back(format_chats(frame.limit(0))).count() == 0
