@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.binding import let, once
-
 from quillspark.functions import fixed as fx
+from quillspark.functions import rowindex
+from quillspark.functions.binding import let, once
 from quillspark.functions.text import is_alphabetic, label_words
 
 
-PEEK = 8
-
 
 def _positions(tags: Column, test) -> Column:
     """1-based positions for which test(i) holds; none for an empty list."""
@@ -114,76 +112,82 @@ def gloss_text(phrases: Column, tags: Column, glosses: Column) -> Column:
     return F.array_join(lines, ", ")
 
 
-def paint(df: DataFrame, row_id: str, text: str, phrases: str, tags: str) -> tuple[DataFrame, DataFrame]:
-    """Tag a generated text: (id, words, tags) and the phrases that never occur.
+def paint_rows(df: DataFrame, row_id: str, text: str, phrases: str, tags: str) -> DataFrame:
+    """Tag a generated text: (id, words, tags, missing), missing being the (ord, phrase) that never occur.
 
     Each phrase matches case-insensitively at every position; its first word takes the
-    tag, the rest I-; later phrases overwrite earlier ones. Words and phrases meet in an
-    equi-join on (row, first word), so work follows the matches.
+    tag, the rest I-; later phrases overwrite earlier ones. Words and phrases of a row meet by
+    first word in an index inside the row, so work follows the matches and nothing is shuffled.
     """
-    base = df.select(
-        F.col(row_id).alias("id"),
-        label_words(F.col(text)).alias("words"),
-        F.arrays_zip(F.col(phrases).alias("p"), F.col(tags).alias("t")).alias("ents"),
-    )
-    wanted = (
-        base.select("id", F.posexplode(once("ents")).alias("ord", "e"))
-        .select("id", "ord", F.col("e.p").alias("phrase"), F.col("e.t").alias("tag"))
-        .withColumn("pw", F.filter(F.split(F.lower("phrase"), r"\s+"), lambda w: w != ""))
-    )
-    # equal phrases cover the same places, so only the last of them paints
-    wanted = wanted.withColumn("last", F.max("ord").over(Window.partitionBy("id", "pw")))
-    painters = wanted.filter("ord = last").select(
-        "id", "ord", "tag", "pw", F.size("pw").alias("len"), F.get("pw", F.lit(0)).alias("key")
-    )
-    # each position carries the next few words, enough to check all but long phrases
-    at = base.select(
-        "id",
-        F.posexplode(
-            let(F.transform("words", F.lower), lambda low: F.transform(low, lambda w, i: F.slice(low, i + 1, PEEK)))
-        ).alias("start", "next"),
-    ).withColumn("key", F.get("next", F.lit(0)))
-    begun = at.join(painters, ["id", "key"]).filter(
-        F.slice("next", F.lit(1), F.size("pw")) == F.slice("pw", 1, PEEK)
-    )
-    short = begun.filter(F.col("len") <= PEEK).select("id", "ord", "start", "len", "tag")
-    # few places begin like a long phrase; they are checked against the whole text
-    long = (
-        begun.filter(F.col("len") > PEEK).select("id", "ord", "start", "len", "tag", "pw")
-        .join(base.select("id", F.transform("words", F.lower).alias("low")), "id")
-        .filter(F.slice("low", F.col("start") + 1, F.col("len")) == F.col("pw"))
-        .drop("low", "pw")
-    )
-    hits = short.unionByName(long)
-    covered = (
-        hits.select("id", "ord", "start", "tag", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("off"))
-        .withColumn("pos", F.col("start") + F.col("off"))
-        .withColumn(
-            "put",
-            F.when(F.col("off") == 0, F.col("tag")).otherwise(
-                F.concat(F.lit("I-"), F.element_at(F.split("tag", "-"), -1))
-            ),
+
+    def wanted(p: Column, i: Column) -> Column:
+        words = F.filter(F.split(F.lower(p["p"]), r"\s+"), lambda w: w != "")
+        return F.struct(words.alias("k"), i.alias("ord"), p["p"].alias("phrase"), p["t"].alias("tag"))
+
+    def by_first_word(s: Column, starts: Column) -> Column:
+        # equal phrases cover the same places, so the last of them paints and all are found or missing
+        def one(a: Column, j: Column) -> Column:
+            end = rowindex.run_ends(s, starts, j)
+            last = F.get(s, end - 1)
+            same = F.transform(F.slice(s, a + 1, end - a), lambda e: F.struct(e["ord"].alias("ord"), e["phrase"].alias("phrase")))
+            return F.struct(
+                F.coalesce(F.get(last["k"], F.lit(0)), F.lit("")).alias("k"), last["ord"].alias("ord"), last["k"].alias("pw"),
+                last["tag"].alias("tag"), same.alias("same"),
+            )
+
+        return F.transform(starts, one)
+
+    def hits_of(low: Column, wanted_: Column) -> Column:
+        places = rowindex.grouped(F.transform(low, lambda w, i: F.struct(w.alias("k"), i.alias("p"))))
+
+        def at(ps: Column, es: Column) -> Column:
+            find = lambda e: F.filter(
+                F.transform(ps, lambda p: p["p"]), lambda i: F.slice(low, i + 1, F.size(e["pw"])) == e["pw"]
+            )
+            found = lambda e: F.struct(e["ord"].alias("ord"), e["tag"].alias("tag"), F.size(e["pw"]).alias("len"), e["same"].alias("same"),
+                                       F.when(ps.isNull() | (F.size(e["pw"]) == 0), F.array().cast("array<int>")).otherwise(find(e)).alias("at"))
+            return F.transform(es, found)
+
+        met = rowindex.met(places, rowindex.grouped(wanted_), at)
+        return F.flatten(F.filter(met, lambda xs: xs.isNotNull()))
+
+    def painted(words: Column, hits: Column) -> Column:
+        def cover(h: Column, start: Column) -> Column:
+            inner = F.concat(F.lit("I-"), F.element_at(F.split(h["tag"], "-"), -1))
+            return F.transform(
+                F.sequence(F.lit(0), h["len"] - 1),
+                lambda o: F.struct((start + o).alias("k"), h["ord"].alias("ord"), start.alias("start"), F.when(o == 0, h["tag"]).otherwise(inner).alias("put")),
+            )
+
+        puts = F.flatten(F.flatten(F.transform(hits, lambda h: F.transform(h["at"], lambda i: cover(h, i)))))
+        places = F.map_from_arrays(F.transform(words, lambda w, i: i), words)
+        pairs = F.sort_array(
+            F.filter(
+                F.map_entries(F.map_zip_with(places, rowindex.greatest(puts), lambda k, w, e: F.struct(w.alias("w"), F.coalesce(e["put"], F.lit("O")).alias("t")))),
+                lambda e: e["value"]["w"].isNotNull(),
+            )
         )
-        .groupBy("id", "pos")
-        .agg(F.max_by("put", F.struct("ord", "start")).alias("put"))
-    )
-    per_row = (
-        base.select("id", F.posexplode(once("words")).alias("pos", "w"))
-        .join(covered, ["id", "pos"], "left")
-        .groupBy("id")
-        .agg(F.sort_array(F.collect_list(F.struct("pos", "w", F.coalesce("put", F.lit("O")).alias("t")))).alias("m"))
-    )
-    none = F.array().cast("array<string>")
-    # a text without words keeps its row
-    painted = df.select(F.col(row_id).alias("id")).join(per_row, "id", "left").select(
-        "id",
-        F.coalesce(F.transform("m", lambda s: s["w"]), none).alias("words"),
-        F.coalesce(F.transform("m", lambda s: s["t"]), none).alias("tags"),
-    )
-    missing = wanted.join(
-        hits.select("id", F.col("ord").alias("last")).distinct(), ["id", "last"], "left_anti"
-    ).select("id", "ord", "phrase")
-    return painted, missing
+        lost = F.flatten(F.transform(F.filter(hits, lambda h: F.size(h["at"]) == 0), lambda h: h["same"]))
+        return F.struct(
+            words.alias("words"), F.transform(pairs, lambda e: e["value"]["t"]).alias("tags"), F.sort_array(lost).alias("missing")
+        )
+
+    def row(r: Column) -> Column:
+        low = F.transform(r["words"], F.lower)
+        listed = rowindex.sorted_runs(F.transform(r["ents"], wanted), by_first_word)
+        return let(let(F.struct(low.alias("low"), listed.alias("listed")), lambda x: hits_of(x["low"], x["listed"])), lambda hits: painted(r["words"], hits))
+
+    ents = F.coalesce(F.arrays_zip(F.col(phrases).alias("p"), F.col(tags).alias("t")), F.array().cast("array<struct<p: string, t: string>>"))
+    words = F.coalesce(label_words(F.col(text)), F.array().cast("array<string>"))
+    made = df.select(F.col(row_id).alias("id"), let(F.struct(words.alias("words"), ents.alias("ents")), row).alias("r"))
+    return made.select("id", "r.words", "r.tags", "r.missing")
+
+
+def paint(df: DataFrame, row_id: str, text: str, phrases: str, tags: str) -> tuple[DataFrame, DataFrame]:
+    """(id, words, tags) and (id, ord, phrase) of the phrases that never occur; see ``paint_rows``."""
+    out = paint_rows(df, row_id, text, phrases, tags)
+    missing = out.select("id", F.explode(once("missing")).alias("m")).select("id", "m.ord", "m.phrase")
+    return out.select("id", "words", "tags"), missing
 
 
 def conll_block(words: Column, tags: Column) -> Column:

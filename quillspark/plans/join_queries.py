@@ -267,7 +267,27 @@ def _(t):
     return cs.word_class_lists(rows, _nv_alts(rows))
 
 
-@query("j9b_word_class_both_policy")
+# The walk in SQL: whether a step's substitute is free depends on earlier steps only, so the flags
+# of a row settle from the front; every round puts the flags found so far into all steps.
+_BOTH_SQL = f"""WITH RECURSIVE {_NV}, a AS (SELECT id, pos, kw, alt FROM ({_alts_sql('kw')})),
+      w AS (SELECT id, pos, kw, CASE WHEN {q.h32('nvlook', 'id', 'pos')} % 2 = 1 THEN alt END AS alt, {q.h32('nv', 'id', 'pos')} % 2 = 1 AS heads FROM a),
+      e AS (SELECT v.id, v.pos, list(u.pos) FILTER (u.pos < v.pos) AS before, bool_or(u.pos >= v.pos) AS later
+        FROM w v JOIN w u ON u.id = v.id AND u.kw = v.alt GROUP BY v.id, v.pos),
+      s AS (SELECT w.id, list({{'ok': w.alt IS NOT NULL AND NOT coalesce(e.later, false), 'heads': w.heads, 'before': coalesce(e.before, [])}} ORDER BY w.pos) AS st
+        FROM w LEFT JOIN e ON e.id = w.id AND e.pos = w.pos GROUP BY w.id),
+      r AS (SELECT id, st, 0 AS k, list_transform(st, lambda x: x.ok) AS free FROM s
+        UNION ALL SELECT id, st, k + 1, list_transform(st, lambda x: x.ok AND len(list_filter(x.before, lambda p: NOT (free[p + 1] AND st[p + 1].heads))) = 0)
+        FROM r WHERE k < 20),
+      z AS (SELECT w.id, w.pos, w.kw, w.alt, w.heads, r.free[w.pos + 1] AS free FROM w JOIN r ON r.id = w.id AND r.k = 20),
+      f AS (SELECT id, list(CASE WHEN free AND heads THEN kw || ' or ' || alt ELSE kw END ORDER BY pos) AS ws FROM z GROUP BY id),
+      x AS (SELECT id, list(alt ORDER BY pos) AS xs FROM z WHERE free
+        AND NOT EXISTS (SELECT 1 FROM (SELECT id, unnest(other) AS o FROM kw) b WHERE b.id = z.id AND b.o = z.alt) GROUP BY id)
+      SELECT kw.id, rtrim(array_to_string(coalesce({q.pick_of('nvo', 'kw.other', 'kw.id')}, []) || coalesce({q.pick_of('nvn', 'f.ws', 'kw.id')}, []), ','), ',') AS inc_kws,
+        coalesce(array_to_string({q.pick_of('nvx', 'x.xs', 'kw.id')}, ','), '') AS exc_kws
+      FROM kw LEFT JOIN f ON f.id = kw.id LEFT JOIN x ON x.id = kw.id"""
+
+
+@query("j9b_word_class_both_policy", _BOTH_SQL)
 def _(t):
     rows = _word_classes(t)
     return cs.word_class_lists(rows, _nv_alts(rows), policy="both")
@@ -301,7 +321,7 @@ TAGGED = f"""tagged AS (SELECT doc_id, pos, word, CASE WHEN regexp_matches(word,
 
 
 def tagged(t):
-    ws = t.documents.select("doc_id", tx.words(F.col("text")).alias("tokens"))
+    ws = t.documents.select("doc_id", "text", tx.words(F.col("text")).alias("tokens"))
     return ws.withColumn("ner_tags", tag_rule(F.col("tokens")))
 
 
@@ -419,15 +439,12 @@ def _(t):
 def _(t):
     spans = ner.with_spans(tagged(t), "tokens", "ner_tags")
     kept = F.filter(F.arrays_zip("ner_phrases", "ner_phrase_tags"), lambda s: s["ner_phrase_tags"] != "")
-    rows = spans.withColumn("_e", kept).join(t.documents.select("doc_id", "text"), "doc_id").select(
+    rows = spans.withColumn("_e", kept).select(
         "doc_id", "text", F.transform("_e", lambda s: s["ner_phrases"]).alias("p"),
         F.transform("_e", lambda s: s["ner_phrase_tags"]).alias("g"),
     )
-    painted, missing = ner.paint(rows, "doc_id", "text", "p", "g")
-    lost = missing.groupBy("id").agg(F.count(F.lit(1)).alias("missing"))
-    return painted.join(lost, "id", "left").select(
-        "id", F.array_join("tags", " ").alias("tags"), F.coalesce("missing", F.lit(0)).cast("bigint").alias("missing")
-    )
+    out = ner.paint_rows(rows, "doc_id", "text", "p", "g")
+    return out.select("id", F.array_join("tags", " ").alias("tags"), F.size("missing").cast("bigint").alias("missing"))
 
 
 @query(
