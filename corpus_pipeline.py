@@ -4,17 +4,18 @@ Every stage takes the documents its predecessor kept, with the columns of ``docu
 the last one gives token ids. No stage can be put in SQL as a whole because of the
 classifier, so the pipeline is tested against brute-force versions.
 
-Ids may be null or repeated, so stages tell rows apart by a hash of all columns and never by
-``doc_id``. Rows that are equal in all columns share it; they are counted or met once.
+Ids may be null or repeated, so stages tell rows apart by a number or by 128 bits of hash of all
+columns, never by ``doc_id``. Helper columns take names that the documents do not have.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.bpe import decode, encode
-from quillspark.llm.common import Scratch, table, words_of
+from quillspark.llm.common import Scratch, table
 from quillspark.llm.lines import dedup_lines
 from quillspark.llm.mixing import mix, schedule
 from quillspark.llm.near_dup import near_duplicates
@@ -38,48 +39,67 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Every row is a document, with an id of its own or not; of equal rows one stays. Rows
     without words are in no group and stay.
     """
-    scratch = Scratch(spark, "one-of-each")
-    rows = once(keyed(docs), scratch, F.size(words_of(F.col("text"))) > 0)
-    groups = near_duplicates(rows, id_col="_row").filter("n_shingles > 0").select(F.col("doc_id").alias("_row"), "component_id")
+    scratch, row = Scratch(spark, "one-of-each"), unused(docs, "_row")
+    rows = scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    groups = near_duplicates(rows, id_col=row).filter("n_shingles > 0").select(F.col("doc_id").alias("no"), "component_id")
     groups = scratch.keep(groups, "groups")
-    many = groups.groupBy("component_id").agg(F.min("_row").alias("x"), F.max("_row").alias("y")).filter("x < y").select("component_id")
-    members = groups.join(many, "component_id").join(rows.select("_row", "doc_id"), "_row")
-    members = scratch.keep(members.select("component_id", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row").alias("at")), "members")
+    many = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
+    ids = rows.select(F.col(row).alias("no"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("no")).alias("at"))
+    members = groups.join(many, "component_id").join(ids, "no")
+    members = scratch.keep(members.select("component_id", "at"), "members")
     first = members.groupBy("component_id").agg(F.min("at").alias("first"))
-    gone = members.join(first, "component_id").filter("at._row <> first._row").select("at._row")
-    return rows.join(gone, "_row", "left_anti").select(docs.columns)
+    gone = members.join(first, "component_id").filter("at.no <> first.no").select(F.col("at.no").alias(row))
+    return rows.join(gone, row, "left_anti").select(docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: a row for every copy taken, in the order of training; rows not taken go."""
     scratch = Scratch(spark, "mixed")
-    rows = keyed(docs)
-    order = schedule(mix(rows, keep=["_row"]), keep=["_row"]).select("_row", F.col("position").alias("_position"))
+    rows, key = keyed(docs)
+    at = unused(rows, "_at")
+    order = schedule(mix(rows, keep=key), keep=key).select(*key, F.col("position").alias(at))
     # equal rows stand once on the side of the texts and with all their copies on the other
-    out = once(rows, scratch).join(order, "_row")
-    return out.orderBy("_position", "doc_id", "_row").select(docs.columns)
+    out = once(rows, key, scratch).join(order, key)
+    return out.orderBy(at, "doc_id", *key).select(docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: ids of every text, and the digest of what they decode to."""
-    out = decode(encode(docs))
+    """Byte-level BPE: ids of every text, and the digest of what they decode to.
+
+    ``shard`` and ``row`` are the file and the row in it that a text was read from. The stage
+    before writes its files in order, so (shard, row) is the order of training. Both are null
+    for documents that were not read from files.
+    """
+    try:
+        held = docs.select(F.struct("doc_id", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("row")).alias("doc_id"), "text")
+    except AnalysisException:  # not a scan of files
+        held = docs.select(F.struct("doc_id", F.lit(None).cast("string").alias("shard"), F.lit(None).cast("long").alias("row")).alias("doc_id"), "text")
+    out = decode(encode(held))
     return out.select(
-        "doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), "ids",
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "doc_id.doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), "ids",
+        F.sha2("decoded", 256).alias("decoded_sha256"), "doc_id.shard", "doc_id.row",
     )
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``, a hash of all columns; a null is not skipped but hashed as one."""
-    values = [x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]
-    return docs.withColumn("_row", F.xxhash64(*values))
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or longer, so that ``docs`` has no such column."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with two 64-bit hashes of all columns, and their names; a null is not skipped but hashed as one."""
+    values = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    key = [unused(docs, "_row"), unused(docs, "_again")]
+    return docs.withColumns({key[0]: F.xxhash64(*values), key[1]: F.xxhash64(F.lit("again"), *values)}), key
 
 
-def once(rows: DataFrame, scratch: Scratch, among: Column | None = None) -> DataFrame:
-    """One of equal rows (of those in ``among``); only repeated rows are shuffled."""
-    counted = rows if among is None else rows.filter(among)
-    repeated = scratch.keep(counted.groupBy("_row").count().filter("count > 1").select("_row"), "repeated")
-    return rows.join(repeated, "_row", "left_anti").unionByName(rows.join(repeated, "_row", "left_semi").dropDuplicates(["_row"]))
+def once(rows: DataFrame, key: list[str], scratch: Scratch) -> DataFrame:
+    """One of equal rows; only repeated rows are shuffled."""
+    repeated = scratch.keep(rows.groupBy(*key).count().filter("count > 1").select(*key), "repeated")
+    return rows.join(repeated, key, "left_anti").unionByName(rows.join(repeated, key, "left_semi").dropDuplicates(key))
 
 
 STAGES = [
