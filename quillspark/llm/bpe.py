@@ -278,11 +278,14 @@ def encode(
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # the many small objects kept hold no cycles but those of states
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [np.array(encode_text(t.as_py() or "", path, split), "<u4").tobytes() for t in part.column(1)]
-                yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    ids = [np.array(encode_text(t.as_py() or "", path, split), "<u4").tobytes() for t in part.column(1)]
+                    yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+        finally:
+            gc.enable()  # the worker goes on to other tasks
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(

@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -23,6 +24,8 @@ EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-4, 1e-4
 SCALE = 8.0
 THRESHOLD = 0.7
+#: Rows scored and handed back at a time.
+SLICE = 512
 
 _RUNS = [(re.compile(r"[^\W\d_]+"), None), (re.compile(r"[0-9]+"), "9"), (re.compile(r"([^\w\s])\1+"), r"\1\1")]
 
@@ -44,7 +47,7 @@ def shape(word: str) -> str:
 class Shapes(dict):
     """Hash of a word's shape, by word; forgotten when there are too many."""
 
-    def __init__(self, hashes: WordHashes, most: int = 400_000):
+    def __init__(self, hashes: WordHashes, most: int = 150_000):
         super().__init__()
         self.hashes, self.most = hashes, most
 
@@ -67,7 +70,7 @@ def features(text: str | None, words: WordHashes, shapes: Shapes) -> np.ndarray:
 
 
 def machinery() -> tuple[WordHashes, Shapes]:
-    words = WordHashes(5)
+    words = WordHashes(5, 150_000)
     return words, Shapes(words)
 
 
@@ -119,17 +122,25 @@ def quality(
     model = fitted(labelled_sample(docs, labels, label, of, rest, most, id_col, text_col), fit)
     shared = spark.sparkContext.broadcast(model or np.zeros((1 << BITS) + 1, np.float32).tobytes())
 
+    inside = text_col in keep  # then the text goes to the workers once, inside ``kept``
+
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, tools = np.frombuffer(shared.value, np.float32), machinery()
-        for batch in batches:
-            scores = [score(t.as_py(), weights, tools) for t in batch.column(2)]
-            columns = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), *batch.columns[3:]]
-            yield pa.record_batch(columns, names=["doc_id", "held_out", "score", *batch.schema.names[3:]])
-
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(at, SLICE)
+                texts = pc.cast(batch.column("kept").field(text_col), pa.string()) if inside else batch.column("text")
+                scores = [score(t.as_py(), weights, tools) for t in texts]
+                kept = {"kept": batch.column("kept")} if keep else {}
+                out = {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": pa.array(scores, pa.float64()), **kept}
+                yield pa.RecordBatch.from_pydict(out)
+
+    ident = F.col(id_col)
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), held_out(F.col(id_col), of, rest).alias("held_out"), F.col(text_col).cast("string").alias("text"),
-        *([F.struct(*keep).alias("kept")] if keep else []),
+        ident.alias("doc_id"), held_out(ident, of, rest).alias("held_out"),
+        *([F.struct(*keep).alias("kept")] if keep else []), *([] if inside else [F.col(text_col).cast("string").alias("text")]),
     )
-    given = rows.schema.fields
-    out = rows.mapInArrow(fn, StructType([*given[:2], StructField("score", DoubleType()), *given[3:]]))
+    given = {f.name: f for f in rows.schema.fields if f.name != "text"}
+    fields = [given["doc_id"], given["held_out"], StructField("score", DoubleType()), *([given["kept"]] if keep else [])]
+    out = rows.mapInArrow(fn, StructType(fields))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
