@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 #: Bounds on what a worker remembers.
 STATES, PIECES, PAIRS = 150_000, 200_000, 300_000
 _END = (((), 0),)
+MARKED = object()
 
 
 class State(dict):
@@ -94,11 +95,11 @@ class Transducer:
             found = self.states[prev, live] = State(prev, live)
         return found
 
-    def _step(self, state: State, byte: int) -> tuple[tuple[int, ...], State]:
-        prev, child_of, ends, more, known = state.prev, self.trie.get, self.ends, self.more, self.pairs.get
-        live, end = [], None
-        for start in state.live:
-            chain, node = start
+    def _step(self, prev: int, live: tuple, byte: int) -> tuple[tuple[int, ...], int, tuple]:
+        """What a byte writes, and the token written last and the open starts after it."""
+        child_of, ends, more, known = self.trie.get, self.ends, self.more, self.pairs.get
+        after, end = [], None
+        for chain, node in live:
             child = child_of(node << 8 | byte)
             if child is None:
                 continue
@@ -110,21 +111,23 @@ class Transducer:
                     if ok or ok is None and self.compatible(left, token):
                         end = (*chain, token)
             if more[child]:
-                live.append((chain, child))
-        if not live:
-            return end, self._state(end[-1], _END)
+                after.append((chain, child))
+        if not after:
+            return end, end[-1], _END
         sure = 0
-        if live[0][0]:  # the earliest start has the shortest path
-            sure = len(live[0][0])
-            for chain, _ in (*live, (end, 0)):
+        if after[0][0]:  # the earliest start has the shortest path
+            sure = len(after[0][0])
+            for chain, _ in (*after, (end, 0)):
                 while chain[:sure] != end[:sure]:
                     sure -= 1
-        live.append((end, 0))
+        after.append((end, 0))
         if not sure:
-            return (), self._state(prev, tuple(live))
-        return end[:sure], self._state(end[sure - 1], tuple([(chain[sure:], node) for chain, node in live]))
+            return (), prev, tuple(after)
+        return end[:sure], end[sure - 1], tuple([(chain[sure:], node) for chain, node in after])
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
+        """A step met for the first time is only marked, and the rest of the piece is read without
+        states; met again it becomes a state. So states are the beginnings that pieces share."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
@@ -133,10 +136,19 @@ class Transducer:
                 state.clear()  # states refer to each other
             self.reset()
         state, out = self.root, []
-        for byte in piece:
-            step = state.get(byte)
+        for at, byte in enumerate(piece):
+            step = state.get(byte, MARKED)
+            if step is MARKED:
+                state[byte] = None
+                prev, live = state.prev, state.live
+                for rest in piece[at:]:
+                    done, prev, live = self._step(prev, live, rest)
+                    if done:
+                        out += done
+                return (*out, *live[-1][0])
             if step is None:
-                step = state[byte] = self._step(state, byte)
+                done, prev, live = self._step(state.prev, state.live, byte)
+                step = state[byte] = done, self._state(prev, live)
             done, state = step
             if done:
                 out += done
@@ -277,15 +289,8 @@ def encode(
     path, split = ranks or path, pattern or split
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the many small objects kept hold no cycles but those of states
-        try:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    ids = [np.array(encode_text(t.as_py() or "", path, split), "<u4").tobytes() for t in part.column(1)]
-                    yield pa.record_batch([part.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-        finally:
-            gc.enable()  # the worker goes on to other tasks
+        for ident, ids in _encoded(batches, path, split):
+            yield pa.record_batch([ident, _packed(ids)], names=["doc_id", "ids"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
@@ -293,6 +298,40 @@ def encode(
     )
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, split: str) -> Iterator[tuple[pa.Array, list[list[int]]]]:
+    """(first column, ids) of slices of (id, text)."""
+    gc.disable()  # the many small objects kept hold no cycles but those of states
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield part.column(0), [encode_text(t.as_py() or "", path, split) for t in part.column(1)]
+    finally:
+        gc.enable()  # the worker goes on to other tasks
+
+
+def _packed(ids: list[list[int]]) -> pa.Array:
+    return pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())
+
+
+def round_trip(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str | None = None, pattern: str | None = None
+) -> DataFrame:
+    """doc_id, ids, decoded: ``encode`` and ``decode`` in one worker, for one copy of the vocabulary."""
+    path, split = default_vocabulary()
+    path, split = ranks or path, pattern or split
+
+    def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ident, ids in _encoded(batches, path, split):
+            texts = pa.array([decode_ids(x, path, split) for x in ids], pa.string())
+            yield pa.record_batch([ident, _packed(ids), texts], names=["doc_id", "ids", "decoded"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+        fn, f"doc_id {kind}, ids binary, decoded string"
+    )
+
+
 def decode(encoded: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """Texts of packed ids: doc_id, ids, decoded. Null ids count as none."""
     path, split = default_vocabulary()

@@ -53,9 +53,9 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_bpe")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    from quillspark.llm.bpe import decode, encode
+    from quillspark.llm.bpe import round_trip
 
-    out = decode(encode(table(spark, folder, "documents")))
+    out = round_trip(table(spark, folder, "documents"))
     return out.select(
         "doc_id", F.expr("cast(coalesce(length(ids), 0) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
