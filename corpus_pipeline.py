@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.bpe import decode, encode
+from quillspark.llm.bpe import round_trip
 from quillspark.llm.common import Scratch, table
 from quillspark.llm.lines import dedup_lines
 from quillspark.llm.mixing import mix, schedule
@@ -74,7 +74,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         held = docs.select(F.struct("doc_id", F.col("_metadata.file_name").alias("shard"), F.col("_metadata.row_index").alias("row")).alias("doc_id"), "text")
     except AnalysisException:  # not a scan of files
         held = docs.select(F.struct("doc_id", F.lit(None).cast("string").alias("shard"), F.lit(None).cast("long").alias("row")).alias("doc_id"), "text")
-    out = decode(encode(held))
+    out = round_trip(held)
     return out.select(
         "doc_id.doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), "ids",
         F.sha2("decoded", 256).alias("decoded_sha256"), "doc_id.shard", "doc_id.row",
