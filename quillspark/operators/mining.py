@@ -11,6 +11,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions.binding import once
+from quillspark.session import materialise
 
 def features_of(docs: DataFrame, doc: str, features: Column, keep: Sequence[str] = ()) -> DataFrame:
     """(doc, …, feature): the distinct features of each document, no shuffle needed when
@@ -48,20 +50,18 @@ def mutual_information(
     constant to every feature, so only present classes are summed.
     """
     by = list(by)
-    whole = totals.agg(
-        F.sum("n_y").cast("double").alias("_N"), F.count(F.lit(1)).cast("double").alias("_C")
-    ).withColumn("_T", F.col("_N") + 2 * F.col("_C"))
-    per_class = with_row(totals, whole)
-    t = F.col("_T")
-    n = F.col("n_y").cast("double")
+    everything = Window.partitionBy()  # a row per class, with the constants of all of them
+    n, t = F.col("n_y").cast("double"), F.col("_T")
     absent = _g(F.lit(1.0), t) + _g(n + 1, t)
     p_y = (n + 2) / t
-    constants = per_class.agg(
-        F.first("_N").alias("_N"), F.first("_C").alias("_C"), F.first("_T").alias("_T"),
-        F.sum(absent - p_y * F.ln(p_y)).alias("_base"),
+    per_class = (
+        totals.withColumn("_N", F.sum(n).over(everything))
+        .withColumn("_C", F.count(F.lit(1)).over(everything).cast("double"))
+        .withColumn("_T", F.col("_N") + 2 * F.col("_C"))
+        .withColumn("_base", F.sum(absent - p_y * F.ln(p_y)).over(everything))
     )
     # one row per class, so the counts stay where they are
-    present = counts.join(F.broadcast(per_class.select(cls, "n_y", "_T")), cls).withColumn(
+    present = counts.join(F.broadcast(per_class.select(cls, "n_y", "_N", "_C", "_T", "_base")), cls).withColumn(
         "_gain",
         _g(F.col("c") + 1.0, t) + _g(n - F.col("c") + 1, t) - absent,
     )
@@ -71,20 +71,60 @@ def mutual_information(
         F.max("c").alias("max_c"),
         # largest count, lowest class on ties
         F.max_by(F.col(cls), F.struct(F.col("c"), -F.col(cls))).alias("majority"),
+        *[F.max(c).alias(c) for c in ("_N", "_C", "_T", "_base")],
         *keep,
     )
     pz1 = (F.col("count") + F.col("_C")) / t
     pz0 = (F.col("_N") - F.col("count") + F.col("_C")) / t
     mi = F.col("_base") + F.col("_gain") - pz1 * F.ln(pz1) - pz0 * F.ln(pz0)
-    names = [c for c in grouped.columns if c not in (*by, "_gain", "count", "max_c", "majority")]
+    own = (*by, "_gain", "count", "max_c", "majority", "_N", "_C", "_T", "_base")
+    names = [c for c in grouped.columns if c not in own]
     return (
-        with_row(grouped, constants)
-        .withColumn("mi", mi)
+        grouped.withColumn("mi", mi)
         .withColumn("pct_majority", (F.col("max_c") + 1) / (F.col("count") + F.col("_C")))
         .select(*by, "mi", "count", "majority", "max_c", "pct_majority", *names)
     )
 
 
+class CountCube:
+    """Documents by (feature, split, class) and by (feature, class), counted in one pass and written.
+
+    A document stands once for each of its features and once for none, so the totals of the
+    classes come from the pass that counts features. Whatever is asked of the cube reads the
+    written counts and no document.
+    """
+
+    def __init__(self, docs: DataFrame, features: Column, cls: str = "y", split: str = "split"):
+        self.cls = cls
+        found = F.filter(F.array_distinct(features), lambda x: x.isNotNull())
+        rows = docs.select(
+            F.col(cls).alias("y"), F.col(split).alias("split"), F.explode(once(F.array_append(found, F.lit(None)))).alias("feature")
+        )
+        cells = rows.groupingSets([["feature", "y", "split"], ["feature", "y"]], "feature", "y", "split").agg(
+            F.grouping("split").alias("whole"), F.count(F.lit(1)).alias("c")
+        )
+        self.cells = materialise(cells, "cube")
+
+    def _slice(self, split: str | None) -> DataFrame:
+        return self.cells.filter("whole = 1" if split is None else (F.col("whole") == 0) & (F.col("split") == split))
+
+    def counts(self, split: str | None = None) -> DataFrame:
+        """(feature, class, c) of a split, or of all."""
+        return self._slice(split).filter("feature is not null").select("feature", F.col("y").alias(self.cls), "c")
+
+    def totals(self, split: str | None = None) -> DataFrame:
+        """(class, n_y) of a split, or of all."""
+        return self._slice(split).filter("feature is null").select(F.col("y").alias(self.cls), F.col("c").alias("n_y"))
+
+    def information(self, split: str | None = None, keep: Sequence[Column] = ()) -> DataFrame:
+        return mutual_information(self.counts(split), self.totals(split), ["feature"], self.cls, keep)
+
+
+def per_class_counts(classes: Sequence[int], cls: str = "y") -> list[Column]:
+    """One count column per known class, to keep beside the information."""
+    return [F.coalesce(F.sum(F.when(F.col(cls) == y, F.col("c"))), F.lit(0)).alias(f"count_{y}") for y in classes]
+
+
 def feature_mi(feats: DataFrame, docs: DataFrame, cls: str = "y") -> DataFrame:
     """MI of each feature; ``feats`` is (doc, y, feature), ``docs`` (doc, y)."""
     return mutual_information(class_counts(feats, "feature", cls), class_totals(docs, cls), ["feature"], cls)
@@ -92,11 +132,8 @@ def feature_mi(feats: DataFrame, docs: DataFrame, cls: str = "y") -> DataFrame:
 
 def feature_table(feats: DataFrame, docs: DataFrame, classes: Sequence[int], cls: str = "y") -> DataFrame:
     """MI table with one count column per known class."""
-    per_class = [
-        F.coalesce(F.sum(F.when(F.col(cls) == y, F.col("c"))), F.lit(0)).alias(f"count_{y}") for y in classes
-    ]
     return mutual_information(
-        class_counts(feats, "feature", cls), class_totals(docs, cls), ["feature"], cls, per_class
+        class_counts(feats, "feature", cls), class_totals(docs, cls), ["feature"], cls, per_class_counts(classes, cls)
     )
 
 
@@ -128,10 +165,10 @@ def top_features(
 
 def merge_by_majority(
     feats: DataFrame, docs: DataFrame, chosen: DataFrame, key: Column, classes: Sequence[int],
-    include_empty: bool = True,
+    include_empty: bool = True, totals: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Merge chosen features by (key, majority class): a document has the group when it
-    has any member.
+    has any member. ``totals`` (y, n_y) spares counting ``docs``.
 
     Returns (table, members): table is (key, cls, mi, count, count_<y>, majority,
     pct_majority, support_count, counter_count), members (key, cls, feature, mi).
@@ -145,10 +182,8 @@ def merge_by_majority(
             "key", F.explode(F.array(*[F.lit(c) for c in classes])).alias("cls")
         ).select("key", "cls", F.lit(classes[0]).alias("y"), F.lit(0).cast("bigint").alias("c"))
         counts = counts.unionByName(every).groupBy("key", "cls", "y").agg(F.sum("c").alias("c"))
-    per_class = [
-        F.coalesce(F.sum(F.when(F.col("y") == y, F.col("c"))), F.lit(0)).alias(f"count_{y}") for y in classes
-    ]
-    table = mutual_information(counts, class_totals(docs), ["key", "cls"], "y", per_class)
+    whole = class_totals(docs) if totals is None else totals
+    table = mutual_information(counts, whole, ["key", "cls"], "y", per_class_counts(classes))
     table = table.withColumn("support_count", F.col("max_c")).withColumn(
         "counter_count", F.col("count") - F.col("max_c")
     )

@@ -15,6 +15,7 @@ from quillspark.operators import trees as tr
 from quillspark.operators import vocabulary as vo
 from quillspark.plans import sql as q
 from quillspark.plans.registry import query
+from quillspark.session import materialise
 
 CLASSES = [0, 1]
 TOP_K = 100_000  # features that may be merged
@@ -28,6 +29,10 @@ def labelled(t):
     ).select(F.col("doc_id").alias("doc"), "y", "text", split.alias("split"))
 
 
+def word_cube(docs):
+    return mi.CountCube(docs, tx.letter_runs(F.col("text")))
+
+
 def word_feats(docs, keep=("y",)):
     return mi.features_of(docs, "doc", tx.letter_runs(F.col("text")), keep)
 
@@ -71,8 +76,7 @@ def _(t):
     f"WITH {LABELLED} SELECT feature, round(mi, 8) AS mi, count, majority FROM ({mi_sql('feats', 'docs')})",
 )
 def _(t):
-    docs = labelled(t)
-    out = mi.feature_mi(word_feats(docs), docs)
+    out = word_cube(labelled(t)).information()
     return out.select("feature", F.round("mi", 8).alias("mi"), "count", "majority")
 
 
@@ -85,9 +89,9 @@ def _(t):
 def _(t):
     langs = F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")])
     docs = t.documents.select(
-        F.col("doc_id").alias("doc"), F.array_position(langs, F.col("lang")).cast("int").alias("y"), "text"
+        F.col("doc_id").alias("doc"), F.array_position(langs, F.col("lang")).cast("int").alias("y"), "text", F.lit("all").alias("split")
     )
-    out = mi.feature_mi(word_feats(docs), docs)
+    out = word_cube(docs).information()
     return out.select("feature", F.round("mi", 8).alias("mi"), "count", "majority")
 
 
@@ -97,8 +101,7 @@ def _(t):
       SELECT feature, mi, row_number() OVER (ORDER BY mi DESC, feature) AS place FROM m""",
 )
 def _(t):
-    docs = labelled(t)
-    table = mi.feature_mi(word_feats(docs), docs).select("feature", F.round("mi", 8).alias("mi"))
+    table = word_cube(labelled(t)).information().select("feature", F.round("mi", 8).alias("mi"))
     # places by ranges of mi, so that no task sorts all features
     bucket = F.floor(-F.col("mi") * 1000).cast("bigint")
     numbered = sm.numbered(table.withColumn("o", F.struct(-F.col("mi"), F.col("feature"))), [], "o", bucket, "place")
@@ -113,8 +116,7 @@ def _(t):
         round(pct_majority, 8) AS pct_majority FROM ({mi_sql('feats', 'docs')}) JOIN c USING (feature)""",
 )
 def _(t):
-    docs = labelled(t)
-    out = mi.feature_table(word_feats(docs), docs, CLASSES)
+    out = word_cube(labelled(t)).information(keep=mi.per_class_counts(CLASSES))
     return out.select(
         "feature", F.substring("feature", 1, 1).alias("root"), F.round("mi", 8).alias("mi"), "count", "count_0",
         "count_1", "majority", F.round("pct_majority", 8).alias("pct_majority"),
@@ -140,10 +142,12 @@ _MERGED = f"""{_TRAIN}, {_TOP},
 def merged(t):
     docs = labelled(t)
     train = docs.filter("split = 'train'")
-    feats = word_feats(train)
-    table = mi.feature_mi(feats, train).withColumn("mi", F.round("mi", 8))
-    chosen = mi.top_features(table, TOP_K)
-    groups, members = mi.merge_by_majority(feats, train, chosen, F.substring("feature", 1, 1), CLASSES)
+    cube = word_cube(docs)
+    table = cube.information("train").withColumn("mi", F.round("mi", 8))
+    chosen = materialise(mi.top_features(table, TOP_K), "chosen")
+    groups, members = mi.merge_by_majority(
+        word_feats(train), train, chosen, F.substring("feature", 1, 1), CLASSES, totals=cube.totals("train")
+    )
     return docs, groups, members
 
 
@@ -160,7 +164,7 @@ def _(t):
 def _(t):
     train = labelled(t).filter("split = 'train'")
     feats = word_feats(train)
-    table = mi.feature_mi(feats, train).withColumn("mi", F.round("mi", 8))
+    table = word_cube(train).information().withColumn("mi", F.round("mi", 8))
     chosen = mi.top_features(table, TOP_K).withColumn("key", F.substring("feature", 1, 1))
     return gr.merge_greedily(feats, train, chosen, TOP_K)
 
@@ -208,8 +212,7 @@ def _(t):
 )
 def _(t):
     docs = labelled(t)
-    train = docs.filter("split = 'train'")
-    table = mi.feature_mi(word_feats(train), train)
+    table = word_cube(docs).information("train")
     dev = with_model(docs.filter("split = 'dev'"))
     out = mi.support_counter_accuracy(word_feats(dev, ("y", "acc")), table)
     return out.select(

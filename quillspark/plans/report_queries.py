@@ -20,6 +20,7 @@ from quillspark.operators import reports as rp
 from quillspark.plans import feature_queries as fq
 from quillspark.plans import sql as q
 from quillspark.plans.registry import query
+from quillspark.session import materialise
 from quillspark.session import new_path
 from quillspark.sources import readers as rd
 from quillspark.sources import writers as wr
@@ -495,8 +496,8 @@ def _(t):
 
 
 # ---- group reports ----------------------------------------------------------------------
-_GROUPS = f"""{fq.LABELLED}, m AS (SELECT feature, left(feature, 2) AS grp FROM (SELECT feature, count(*) AS n FROM feats WHERE split = 'train' GROUP BY feature)),
-      gd AS (SELECT DISTINCT doc, y, split, grp FROM feats JOIN m USING (feature)),
+_GROUPS = f"""{fq._TRAIN}, {fq._TOP}, mem AS (SELECT key || '/' || cls AS grp, feature, mi FROM top),
+      gd AS (SELECT DISTINCT doc, y, split, grp FROM feats JOIN mem USING (feature)),
       prof AS (SELECT grp, count(*) AS train_n, count(*) FILTER (y = 0) AS count_0, count(*) FILTER (y = 1) AS count_1,
         CASE WHEN count(*) FILTER (y = 0) >= count(*) FILTER (y = 1) THEN 0 ELSE 1 END AS majority, CASE WHEN count(*) FILTER (y = 0) <= count(*) FILTER (y = 1) THEN 0 ELSE 1 END AS rarest
         FROM gd WHERE split = 'train' GROUP BY grp),
@@ -504,11 +505,13 @@ _GROUPS = f"""{fq.LABELLED}, m AS (SELECT feature, left(feature, 2) AS grp FROM
 
 
 def grouped_docs(t):
-    docs = fq.with_model(fq.labelled(t)).withColumnRenamed("acc", "acc_m")
-    feats = mi.features_of(docs, "doc", tx.letter_runs(F.col("text")), ("y", "split", "acc_m"))
-    seen = feats.filter("split = 'train'").groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
-    members = seen.select(F.substring("feature", 1, 2).alias("grp"), "feature", F.col("n").cast("double").alias("mi"))
-    return rp.group_documents(feats, members, ["y", "split", "acc_m"]), members
+    """Documents of both splits by the merged groups of the train split, and the groups' members."""
+    docs, _, members = fq.merged(t)
+    scored = fq.with_model(docs).withColumnRenamed("acc", "acc_m")
+    feats = mi.features_of(scored, "doc", tx.letter_runs(F.col("text")), ("y", "split", "acc_m"))
+    members = members.select(F.concat("key", F.lit("/"), "cls").alias("grp"), "feature", "mi")
+    docs_of = rp.group_documents(feats, members, ["y", "split", "acc_m"])
+    return materialise(docs_of, "grouped"), members
 
 
 def _report_sql(counter: str) -> str:
@@ -540,12 +543,12 @@ def _(t):
 
 @query(
     "m11_member_text",
-    f"""WITH {_GROUPS}, c AS (SELECT feature, grp, count(*) AS n FROM feats JOIN m USING (feature) WHERE split = 'train' GROUP BY ALL)
-      SELECT grp, string_agg(feature, ', ' ORDER BY n DESC, feature) AS members FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, feature) AS rn FROM c) WHERE rn <= 8 GROUP BY grp""",
+    f"""WITH {_GROUPS} SELECT grp, string_agg(feature, ', ' ORDER BY mi DESC, feature) AS members
+      FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY mi DESC, feature) AS rn FROM mem) WHERE rn <= 8 GROUP BY grp""",
 )
 def _(t):
-    _, members = grouped_docs(t)
-    return rp.member_text(members, 8)
+    _, _, members = fq.merged(t)
+    return rp.member_text(members.select(F.concat("key", F.lit("/"), "cls").alias("grp"), "feature", "mi"), 8)
 
 
 @query(
