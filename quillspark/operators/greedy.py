@@ -5,7 +5,8 @@ key needs step t - 1. The features of a key are taken in rounds of at most about
 (document, feature) pairs; a feature with more has a round of its own. For a round, documents
 enter as counts of (class, groups it is in, features of the round it has), and one task per
 key takes the steps of the round one after the other. The counts of a group and of a feature
-give those of their union less what they share, so a step reads only documents of its feature.
+give those of their union less what they share, so a step reads only documents of its feature and the
+groups these are in; nothing is held for a group and a document that is not in it.
 Between rounds the groups are in the shared folder. The driver learns the class totals and
 the number of rounds, no more.
 """
@@ -92,6 +93,29 @@ def information(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return joint - plogp(present.sum(-1)) - plogp(absent.sum(-1)) - plogp(totals + 2.0).sum()
 
 
+def spans_of(row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of every row's stretch in a sorted list of row numbers."""
+    return np.searchsorted(row, np.arange(n)), np.searchsorted(row, np.arange(n), side="right")
+
+
+def shared_counts(own: np.ndarray, groups_of: list[list[int]], weight: np.ndarray, n: int) -> np.ndarray:
+    """By group and class, the documents of ``own`` that the group has already."""
+    which = [groups_of[r] for r in own.tolist()]
+    out = np.zeros((n, weight.shape[1]), np.int64)
+    np.add.at(out, [g for gs in which for g in gs], np.repeat(weight[own], list(map(len, which)), axis=0))
+    return out
+
+
+def chosen_group(gained: np.ndarray, before: np.ndarray) -> int | None:
+    """The group that a feature goes to: of those that it improves the most informative one, else
+    the first that it leaves as informative, else none. Of equals the lowest number."""
+    better = np.flatnonzero(gained > before)
+    if len(better):
+        return int(better[gained[better].argmax()])
+    same = np.flatnonzero(gained == before)
+    return int(same[0]) if len(same) else None
+
+
 def _merged(totals: list[int]):
     """One round of one key: its groups and its documents give its groups."""
     totals = np.array(totals, np.int64)
@@ -109,29 +133,26 @@ def _merged(totals: list[int]):
             np.repeat(np.arange(len(rows)), np.diff(c.offsets.to_numpy())) if len(c := rows.column(name).combine_chunks()) else np.zeros(0, np.int64),
             c.flatten().to_numpy(),
         )
-        inside = np.zeros((len(groups), len(rows)), bool)
         row, grp = flat("groups")
-        inside[grp, row] = True
+        groups_of = [grp[i:j].tolist() for i, j in zip(*spans_of(row, len(rows)), strict=True)]  # by document row
         row, turn = flat("turns")
         order = np.argsort(turn, kind="stable")
         row, turn = row[order], turn[order]
         cut = np.flatnonzero(np.diff(turn)) + 1
         for own, which in zip(np.split(row, cut), turn[np.append(0, cut)] if len(turn) else [], strict=False):
-            mine = weight[own]
-            joined = counts + mine.sum(axis=0) - inside[:, own] @ mine
-            gained = information(joined, totals)
-            worth = np.sign(gained - mi) * gained
-            g = int(worth.argmax())
-            if worth[g] >= 0:
-                counts[g], mi[g] = joined[g], gained[g]
-                turns[g].append(int(which))
-            else:
+            mine = weight[own].sum(axis=0)
+            gained = information(counts + mine - shared_counts(own, groups_of, weight, len(counts)), totals)
+            g = chosen_group(gained, mi)
+            if g is None:
                 g = len(mi)
-                counts = np.vstack([counts, mine.sum(axis=0)])
-                mi = np.append(mi, information(counts[g], totals))
-                turns.append([int(which)])
-                inside = np.vstack([inside, np.zeros((1, len(rows)), bool)])
-            inside[g, own] = True
+                counts, mi = np.vstack([counts, np.zeros_like(mine)]), np.append(mi, 0.0)
+                turns.append([])
+            fresh = [r for r in own.tolist() if g not in groups_of[r]]
+            counts[g] += weight[fresh].sum(axis=0)
+            mi[g] = information(counts[g], totals)
+            turns[g].append(int(which))
+            for r in fresh:
+                groups_of[r].append(g)
         return pa.table(
             [
                 pa.array([key] * len(mi), pa.string()), pa.array(range(len(mi)), pa.int32()), pa.array(counts.tolist(), pa.list_(pa.int64())),
