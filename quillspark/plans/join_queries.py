@@ -15,6 +15,7 @@ from quillspark.operators import labels as lb
 from quillspark.operators import ner
 from quillspark.operators import neighbours as nb
 from quillspark.operators import qa
+from quillspark.operators import rejects as rj
 from quillspark.operators import sampling as sm
 from quillspark.plans import sql as q
 from quillspark.plans.registry import query
@@ -79,6 +80,26 @@ def _(t):
     return _near(t, "any")
 
 
+# Blocks of few rows, so that bounds between blocks decide what is compared.
+def _near_in_blocks(t, scope):
+    return nb.nearest_rows(t.embeddings, "vec_id", "embedding", "label", scope, block_rows=16).select("id", F.col("rank").cast("bigint").alias("rank"), "peer", "sim")
+
+
+@query("j3_nearest_same_label_blocks", _knn_sql("a.label = b.label"))
+def _(t):
+    return _near_in_blocks(t, "same")
+
+
+@query("j4_nearest_other_label_blocks", _knn_sql("a.label <> b.label"))
+def _(t):
+    return _near_in_blocks(t, "other")
+
+
+@query("j5_nearest_any_blocks", _knn_sql("true"))
+def _(t):
+    return _near_in_blocks(t, "any")
+
+
 _PROMPT = "'Prompt of ' || vec_id || ' on ' || label"
 
 
@@ -550,3 +571,72 @@ def _(t):
 )
 def _(t):
     return _qa_rows(t).select("item_id", qa.include_list(F.col("ws"), F.col("sentence"), F.col("item_id")).alias("inc_kws"))
+
+
+# ---- rejected rows -----------------------------------------------------------------------
+# Labels: names of the two-class set, of which sources give some that it lacks.
+_GIVEN_LABEL = "CASE doc_id % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'positive' ELSE source END"
+
+
+def _label_parts(t):
+    given = F.when(F.col("doc_id") % 3 == 0, "negative").when(F.col("doc_id") % 3 == 1, "positive").otherwise(F.col("source"))
+    docs = t.documents.select("doc_id", given.alias("label"))
+    return rj.part_labels(docs, "label", lb.label_table(t.spark).filter(F.col("dataset") == "sst2"))
+
+
+@query("t21_labels_accepted", f"SELECT doc_id, CASE {_GIVEN_LABEL} WHEN 'negative' THEN 0 ELSE 1 END AS label, {_GIVEN_LABEL} AS label_name FROM documents WHERE {_GIVEN_LABEL} IN ('negative', 'positive')")
+def _(t):
+    return _label_parts(t)[0].select("doc_id", "label", "label_name")
+
+
+@query("t21_labels_rejected", f"SELECT doc_id, {_GIVEN_LABEL} AS label, 'unknown label: ' || coalesce({_GIVEN_LABEL}, 'null') AS reason FROM documents WHERE coalesce({_GIVEN_LABEL}, '') NOT IN ('negative', 'positive')")
+def _(t):
+    return _label_parts(t)[1].select("doc_id", "label", "reason")
+
+
+# Glosses: a span without a B- tag has no gloss.
+_TAG_ROWS = """, tg AS (SELECT d.doc_id, coalesce(list(tag ORDER BY run) FILTER (NOT open), []) AS tags, coalesce(list(phrase ORDER BY run) FILTER (NOT open), []) AS phrases
+        FROM documents d LEFT JOIN spans s USING (doc_id) GROUP BY d.doc_id),
+      un AS (SELECT *, list_sort(list_distinct(list_filter(tags, lambda x: x NOT IN ('B-PER', 'B-LOC')))) AS unknown FROM tg)"""
+
+
+def _gloss_parts(t):
+    rows = ner.with_spans(tagged(t), "tokens", "ner_tags").select("doc_id", "ner_phrases", "ner_phrase_tags")
+    return rj.part_glosses(rows, "ner_phrases", "ner_phrase_tags", "conll2003")
+
+
+@query(
+    "j13_glosses_accepted",
+    f"""WITH {TAGGED}{_TAG_ROWS} SELECT doc_id, array_to_string(list_transform(list_zip(phrases, tags), lambda z: z[1] || ' is ' ||
+      CASE z[2] WHEN 'B-PER' THEN 'person' ELSE 'location' END), ', ') AS ner_labels FROM un WHERE len(unknown) = 0""",
+)
+def _(t):
+    return _gloss_parts(t)[0].select("doc_id", "ner_labels")
+
+
+@query("j13_glosses_rejected", f"WITH {TAGGED}{_TAG_ROWS} SELECT doc_id, 'no gloss: ' || array_to_string(unknown, ', ') AS reason FROM un WHERE len(unknown) > 0")
+def _(t):
+    return _gloss_parts(t)[1].select("doc_id", "reason")
+
+
+# Literals: some lose their closing bracket, some a tag.
+def _literal_parts(t):
+    d = F.col("doc_id")
+    names = F.transform(F.slice(F.split("source", "_"), 1, 3), lambda w: F.concat(F.lit("'"), w, F.lit("'")))
+    listed = lambda xs: F.concat(F.lit("["), F.array_join(xs, ", "), F.lit("]"))
+    tokens = F.when(d % 5 == 0, F.concat(F.lit("["), F.array_join(names, ", "))).otherwise(listed(names))
+    tags = F.when(d % 5 == 1, F.lit("['O', 'O', 'O', 'O', 'O']")).otherwise(listed(F.transform(names, lambda w: F.lit("'O'"))))
+    return rj.part_tagged(t.documents.select("doc_id", tokens.alias("tokens"), tags.alias("ner_tags")))
+
+
+_NAMES = "string_split(source, '_')[1:3]"
+
+
+@query("s4_literals_accepted", f"SELECT doc_id, array_to_string({_NAMES}, ' ') AS tokens, len({_NAMES}) AS n FROM documents WHERE doc_id % 5 > 1 OR (doc_id % 5 = 1 AND len({_NAMES}) = 5)")
+def _(t):
+    return _literal_parts(t)[0].select("doc_id", F.array_join("tokens", " ").alias("tokens"), F.size("ner_tags").cast("bigint").alias("n"))
+
+
+@query("s4_literals_rejected", f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'tokens are no list of strings' ELSE len({_NAMES}) || ' tokens, 5 tags' END AS reason FROM documents WHERE doc_id % 5 < 2")
+def _(t):
+    return _literal_parts(t)[1].select("doc_id", "reason")

@@ -815,3 +815,39 @@ def _(t):
     path = new_path(t.spark, "by_label")
     wr.write_by_label(t.documents.select("doc_id", "source", "lang"), "lang", path)
     return t.spark.read.option("header", True).schema("doc_id bigint, source string, lang string").csv(path)
+
+
+# ---- nested metric files -----------------------------------------------------------------
+# Two methods with two seeds each write a report of their documents: {lang: {acc, size: {docs, chars: [least, most]}}}.
+_RUNS = [("plain", 0), ("plain", 1), ("merged", 0), ("merged", 1)]
+_REPORTS = f"""r AS (SELECT * FROM (VALUES {", ".join(f"('{m}', {s}, {i})" for i, (m, s) in enumerate(_RUNS))}) v(method, seed, run)),
+      a AS (SELECT method, seed, lang, avg(quality) AS acc, count(*)::DOUBLE AS n, min(n_chars)::DOUBLE AS lo, max(n_chars)::DOUBLE AS hi
+        FROM documents JOIN labels USING (doc_id) JOIN r ON r.run = doc_id % 4 GROUP BY method, seed, lang),
+      x AS (SELECT method, seed, lang || '.acc' AS path, acc AS value FROM a UNION ALL SELECT method, seed, lang || '.size.docs', n FROM a
+        UNION ALL SELECT method, seed, lang || '.size.chars.0', lo FROM a UNION ALL SELECT method, seed, lang || '.size.chars.1', hi FROM a)"""
+
+
+def report_files(t):
+    """A folder of report files and what ``read_reports`` makes of it."""
+    root = new_path(t.spark, "reports")
+    rows = t.documents.join(t.labels, "doc_id")
+    for i, (method, seed) in enumerate(_RUNS):
+        size = F.struct(F.count(F.lit(1)).alias("docs"), F.array(F.min("n_chars"), F.max("n_chars")).alias("chars"))
+        by_lang = rows.filter(F.col("doc_id") % 4 == i).groupBy("lang").agg(F.struct(F.avg("quality").alias("acc"), size.alias("size")).alias("r"))
+        report = by_lang.agg(F.map_from_entries(F.collect_list(F.struct("lang", "r"))).alias("m"))
+        report.select(F.to_json("m", {"pretty": "true"})).coalesce(1).write.text(f"{root}/{method}/s{seed}/metrics.json")
+    return rd.read_reports(t.spark, f"{root}/*/*/*.json")
+
+
+@query("s12_report_files", f"WITH {_REPORTS} SELECT method, seed, path, round(value, 8) AS value FROM x")
+def _(t):
+    return report_files(t).select("method", "seed", "path", F.round("value", 8).alias("value"))
+
+
+@query(
+    "m2_averaged_reports",
+    f"WITH {_REPORTS} SELECT method, path, round(avg(value), 8) AS mean, round(stddev_pop(value), 8) AS std, count(*) AS runs FROM x GROUP BY method, path",
+)
+def _(t):
+    out = me.average_runs(report_files(t), ("method", "path"), "seed")
+    return out.select("method", "path", F.round("mean", 8).alias("mean"), F.round("std", 8).alias("std"), F.size("values").cast("bigint").alias("runs"))

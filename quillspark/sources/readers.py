@@ -213,3 +213,35 @@ def read_metrics(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
         F.regexp_extract(path, r"/s(\d+)/[^/]+$", 1).cast("int").alias("seed"),
         "*",
     )
+
+
+def leaves(df: DataFrame, text: str, depth: int = 8) -> DataFrame:
+    """``df`` with path and value in place of ``text``: a row for every number of a JSON text of unknown shape.
+
+    ``path`` joins keys and array places (from 0) by dots. An object opens level by level, a value
+    that is none stays as it is; what lies deeper than ``depth`` levels, text, true, false, null and
+    texts that are no JSON give no row.
+    """
+    rest = [c for c in df.columns if c != text]
+    none = F.array().cast("array<string>")
+    level = df.select(*rest, F.try_parse_json(F.col(text)).alias("_v"), none.alias("_path"))
+    for _ in range(depth):
+        inner = df.sparkSession.tvf.variant_explode_outer(F.col("_v").outer())
+        step = F.coalesce("key", F.col("pos").cast("string"))
+        level = level.lateralJoin(inner).select(
+            *rest, F.coalesce("value", "_v").alias("_v"),
+            F.when(step.isNull(), F.col("_path")).otherwise(F.array_append("_path", step)).alias("_path"),
+        )
+    number = F.schema_of_variant("_v").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    return level.filter(number).select(*rest, F.array_join("_path", ".").alias("path"), F.try_variant_get("_v", "$", "double").alias("value"))
+
+
+def read_reports(spark: SparkSession, pattern: str, depth: int = 8) -> DataFrame:
+    """(method, seed, path, value) of nested metric files laid out as …/<method>/s<seed>/<file>; one JSON text a file."""
+    path = F.col("_metadata.file_path")
+    texts = spark.read.text(pattern, wholetext=True).select(
+        F.regexp_extract(path, r"([^/]+)/s\d+/[^/]+(/[^/]+)?$", 1).alias("method"),
+        F.regexp_extract(path, r"/s(\d+)/[^/]+(/[^/]+)?$", 1).cast("int").alias("seed"),
+        "value",
+    )
+    return leaves(texts.withColumnRenamed("value", "_text"), "_text", depth)
