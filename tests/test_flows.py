@@ -125,3 +125,18 @@ def test_files(spark, tmp_path):
     assert [(r["uid"], r["text"]) for r in e] == [("0", "x"), ("u", "y<br />")]
     wr.write_by_label(spark.createDataFrame([("a", "x")], "f string, label string"), "label", str(tmp_path / "out"))
     assert (tmp_path / "out" / "label=x").is_dir()
+
+
+def test_variants_offer_and_exclude_substitutes(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.plans import catalog
+
+    for name in ("v_concepts", "v_ner"):
+        out = catalog.QUERIES[name](spark, "/root/testdata/sf0.001").select("inc_kws", "exc_kws", "final_const")
+        got = out.agg(
+            F.count_if(F.col("exc_kws") != "").alias("excluded"), F.count_if(F.col("inc_kws").contains(" or ")).alias("offered"),
+            F.count_if(F.col("inc_kws").rlike("(^|,)(the|and|der|la)(,|$)")).alias("stop"),
+        ).first()
+        assert got.excluded > 50 and got.offered > 50
+        assert name == "v_ner" or got.stop == 0  # an entity's phrase may be a stop word
