@@ -75,6 +75,25 @@ def method_table(long: DataFrame, datasets: Sequence[str], by: Sequence[str] = (
     return averaged.groupBy(*by).pivot("dataset", list(datasets)).agg(F.first("cell"))
 
 
+def subset_scores(rows: DataFrame, subset: Column, by: Sequence[str] = ("method", "run", "dataset"), acc: str = "acc") -> DataFrame:
+    """(by…, subset, value): mean of ``acc`` over all rows ("acc") and over each subset, from one pass."""
+    by = list(by)
+    named = rows.withColumn("subset", subset)
+    sets = named.groupingSets([by, [*by, "subset"]], *by, "subset")
+    out = sets.agg(F.avg(acc).alias("value"), F.grouping("subset").alias("_all"))
+    return out.withColumn("subset", F.when(F.col("_all") == 1, "acc").otherwise(F.col("subset"))).drop("_all")
+
+
+def subset_table(
+    scores: DataFrame, datasets: Sequence[str], subsets: Sequence[str] = ("acc", "support", "counter"), by: Sequence[str] = ("method",)
+) -> DataFrame:
+    """One row per method and two levels of columns, "<data set> <subset>" with "mean±std" over
+    runs; null where a method has no such rows. ``scores`` is (by…, run, dataset, subset, value)."""
+    averaged = average_runs(scores.filter(F.col("subset").isin(*subsets)), (*by, "dataset", "subset"))
+    cells = averaged.withColumn("at", F.concat_ws(" ", "dataset", "subset")).withColumn("cell", mean_std_text(F.col("mean"), F.col("std")))
+    return cells.groupBy(*by).pivot("at", [f"{d} {s}" for d in datasets for s in subsets]).agg(F.first("cell"))
+
+
 def single_run_table(long: DataFrame, datasets: Sequence[str]) -> DataFrame:
     acc = long.filter(F.col("metric") == "acc").withColumn("cell", percent(F.col("value")))
     return acc.groupBy("method").pivot("dataset", list(datasets)).agg(F.first("cell"))

@@ -83,6 +83,24 @@ def group_report(
     return profile.join(measured, "grp")
 
 
+def family_majority(train: DataFrame, family: Column, classes: Sequence[int]) -> DataFrame:
+    """(grp, forced): every group with the majority class of the family it is in.
+
+    ``train`` is (doc, y, grp); a document counts once for a family, however many of its
+    groups it is in. The result is what ``group_report`` takes as ``forced_majority``.
+    """
+    named = train.select("doc", "y", "grp", family.alias("family"))
+    whole = label_profile(named.select("doc", "y", F.col("family").alias("grp")).distinct(), classes)
+    groups = named.select("grp", "family").distinct()
+    return groups.join(whole.select(F.col("grp").alias("family"), F.col("majority").alias("forced")), "family").select("grp", "forced")
+
+
+def first_of_each(report: DataFrame, label: str, k: int, *order: Column) -> DataFrame:
+    """The first ``k`` rows of every label; partial ranks are cut before the shuffle."""
+    ranked = report.withColumn("_n", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
+    return ranked.filter(F.col("_n") <= k).drop("_n")
+
+
 def support_masks(dev: DataFrame, profile: DataFrame) -> DataFrame:
     """(doc, grp, support, counter) flags for the documents of a group."""
     return dev.join(profile.select("grp", "majority"), "grp").select(

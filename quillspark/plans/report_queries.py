@@ -379,6 +379,23 @@ def _(t):
     return out.select(me.run_setting(F.col("method")).alias("setting"), "de", "en", "es", "fr", "xx")
 
 
+_SUBSETS = ("acc", "support", "counter")
+
+
+@query(
+    "m4_subset_table",
+    f"""WITH {_RUNS}, sub AS (SELECT method, seed, dataset, CASE WHEN doc_id % 3 = 0 THEN 'counter' ELSE 'support' END AS subset, (predicted = y)::INT AS acc FROM pred),
+      sv AS (SELECT method, seed, dataset, subset, avg(acc) AS value FROM sub GROUP BY ALL UNION ALL SELECT method, seed, dataset, 'acc', avg(acc) FROM sub GROUP BY ALL),
+      sc AS (SELECT method, dataset, subset, {_CELL} AS cell FROM sv GROUP BY ALL)
+      SELECT method, {', '.join(f"max(cell) FILTER (dataset = '{d}' AND subset = '{s}') AS {d}_{s}" for d in ("de", "en", "xx") for s in _SUBSETS)} FROM sc GROUP BY method""",
+)
+def _(t):
+    rows = run_predictions(t).withColumnRenamed("seed", "run")
+    scores = me.subset_scores(rows, F.when(F.col("doc_id") % 3 == 0, "counter").otherwise("support"))
+    out = me.subset_table(scores, ["de", "en", "xx"], _SUBSETS)
+    return out.select("method", *[F.col(f"{d} {s}").alias(f"{d}_{s}") for d in ("de", "en", "xx") for s in _SUBSETS])
+
+
 @query(
     "m4_single_run_table",
     f"""WITH {_RUNS} SELECT method, {', '.join(f"max(printf('%.1f', round(100 * value, 1))) FILTER (dataset = '{x}') AS {x}" for x in ("de", "en", "es", "fr"))} FROM runs WHERE seed = 7 GROUP BY method""",
@@ -573,6 +590,27 @@ def _(t):
     return out.select("doc", "grp", F.col("support").cast("int"), F.col("counter").cast("int"))
 
 
+# Groups judged by the majority of their key as a whole, and the largest three of each class.
+@query(
+    "m12_family_majority",
+    f"""WITH {_GROUPS}, kd AS (SELECT DISTINCT doc, y, split_part(grp, '/', 1) AS key FROM gd WHERE split = 'train'),
+      fk AS (SELECT key, CASE WHEN count(*) FILTER (y = 0) >= count(*) FILTER (y = 1) THEN 0 ELSE 1 END AS forced FROM kd GROUP BY key),
+      r AS (SELECT grp, train_n, forced AS majority, count(doc) AS dev_n, round(avg((y = forced)::INT), 8) AS dev_acc,
+        count(*) FILTER (y = forced) AS support_n, count(*) FILTER (y <> forced) AS counter_n,
+        round(avg(acc) FILTER (y = forced), 8) AS m_support, round(avg(acc) FILTER (y <> forced), 8) AS m_counter
+        FROM prof JOIN fk ON fk.key = split_part(grp, '/', 1) LEFT JOIN dv USING (grp) GROUP BY ALL)
+      SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY majority ORDER BY train_n DESC, grp) <= 3""",
+)
+def _(t):
+    docs, _ = grouped_docs(t)
+    train = docs.filter("split = 'train'")
+    forced = rp.family_majority(train, F.split("grp", "/")[0], [0, 1])
+    out = rp.group_report(train, docs.filter("split = 'dev'"), [0, 1], ["m"], forced_majority=forced)
+    out = rp.first_of_each(out, "majority", 3, F.desc("train_n"), F.col("grp"))
+    r = lambda c: F.round(c, 8).alias(c)
+    return out.select("grp", "train_n", "majority", "dev_n", r("dev_acc"), "support_n", "counter_n", r("m_support"), r("m_counter"))
+
+
 @query(
     "m13_equivalent_groups",
     f"""WITH {fq.LABELLED}, fam AS (SELECT unnest(['prefix', 'suffix']) AS family), fd AS (SELECT DISTINCT family, doc, y, split,
