@@ -32,15 +32,15 @@ def word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND((1 << HASH_BITS) - 1))
 
 
-def halves(words: Column) -> Column:
-    """Hashes of the halves that one edit can leave: of (n - 1) / 2 and n / 2 words, at both ends
-    (the same for an odd n)."""
+def halves(words: Column) -> list[Column]:
+    """Hashes of the halves that one edit can leave: of (n - 1) / 2 words at both ends, then of
+    n / 2 words at both ends (null for an odd n, where they are the same)."""
     n = F.size(words)
     short, long = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
     first = lambda k: F.xxhash64(F.lit("f"), k, F.slice(words, F.lit(1), k))
     last = lambda k: F.xxhash64(F.lit("l"), k, F.slice(words, n - k + 1, k))
-    odd = F.array(first(short), last(short))
-    return F.when(n % 2 == 1, odd).otherwise(F.array(first(short), last(short), first(long), last(long)))
+    even = lambda c: F.when(n % 2 == 0, c)
+    return [first(short), last(short), even(first(long)), even(last(long))]
 
 
 def within_one(a: str, b: str) -> Column:
@@ -54,32 +54,67 @@ def within_one(a: str, b: str) -> Column:
     )
 
 
+class Places:
+    """The place of a line as one long that sorts by row, then line: part, offset, line.
+
+    Rows are sorted and written once; a row's number is its part of that table and its offset
+    there. The widths of the three fields come from the largest values that occur.
+    """
+
+    def __init__(self, docs: DataFrame, scratch: Scratch):
+        counted = docs.select("row", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n"))
+        rows = counted.groupBy("row").agg(F.max("n").alias("n")).orderBy("row").withColumn("at", F.monotonically_increasing_id())
+        self.rows = scratch.keep(rows, "rows")
+        part, offset = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+        most = self.rows.agg(*(F.coalesce(F.max(c), F.lit(0)).cast("long") for c in (part, offset, F.col("n")))).first()
+        parts, self.inner, self.line = (int(m).bit_length() for m in most)
+        if parts + self.inner + self.line > 63:
+            raise ValueError("rows and lines do not fit into 63 bits")
+        number = F.shiftleft(part, self.inner).bitwiseOR(offset)
+        self.rows = self.rows.select("row", number.alias("no"))
+
+    def at(self) -> Column:
+        return F.shiftleft("no", self.line).bitwiseOR(F.col("line").cast("long"))
+
+    def of(self, at: Column) -> list[Column]:
+        return [F.shiftright(at, self.line).alias("no"), at.bitwiseAND((1 << self.line) - 1).cast("int").alias("line")]
+
+
 def repeated_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS) -> DataFrame:
-    """(row, line) of every line that goes; ``docs`` has row (in order) and text."""
-    lines = docs.select("row", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
+    """(row, line) of every line that goes; ``docs`` has row (in order) and text.
+
+    Small tables are written before they are joined, so that their sizes are known and a join
+    with one below the session's broadcast threshold shuffles nothing.
+    """
+    places = Places(docs, scratch)
+    lines = docs.join(places.rows, "row").select("no", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
     lines = lines.withColumn("words", words_of(F.col("body"))).filter(F.size("words") > 0)
-    key = [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2")]
-    at = F.struct("row", "line").alias("at")
-    half = F.when(F.size("words") >= min_words, halves(F.col("words"))).alias("halves")
-    where = scratch.keep(lines.select(*key, at, half), "where")
-    firsts = scratch.keep(where.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("halves").alias("halves")), "firsts")
+    # a line is known by its hash and two more: of its outer halves if it is long, else of itself
+    long, (a, b, c, d) = F.size("words") >= min_words, halves(F.col("words"))
+    own = [F.xxhash64("words").alias("h"), F.when(long, a).otherwise(F.xxhash64(F.lit(1), "words")).alias("a"), F.when(long, b).otherwise(F.lit(0)).alias("b")]
+    inner = [F.when(long, c).alias("c"), F.when(long, d).alias("d"), long.alias("long")]
+    where = scratch.keep(lines.select(places.at().alias("at"), *own, *inner), "where")
+    key = ["h", "a", "b"]
+    firsts = where.groupBy(*key).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"), *(F.min(k).alias(k) for k in ("c", "d", "long")))
+    firsts = scratch.keep(firsts, "firsts")
 
     # an exact repeat goes; the hot side is split by the join, the other has a row a line
-    again = where.select("h1", "h2", "at").join(firsts.select("h1", "h2", F.col("at").alias("first")), ["h1", "h2"])
-    again = again.filter(F.col("at") > F.col("first")).select("at.row", "at.line")
-
-    again = scratch.keep(again, "again")
-    scratch.release(where)
+    repeats = scratch.keep(firsts.filter("n > 1").select(*key, F.col("at").alias("first")), "repeats")
+    again = scratch.keep(where.join(repeats, key).filter("at > first").select("at"), "again")
+    scratch.release(where, repeats)
 
     # lines that share a half with another
-    long = firsts.filter("halves is not null").select("at", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = long.groupBy("half").count().filter("count > 1").select("half")
-    some = long.join(shared, "half", "left_semi").select("at").distinct()
-    marked = some.select("at.row", "at.line").groupBy("row").agg(F.collect_set("line").alias("wanted"))
-    texts = docs.join(marked, "row").select("row", "wanted", F.split("text", "\n", -1).alias("body"))
-    picked = texts.select("row", F.explode("wanted").alias("line"), "body")
-    picked = picked.select(F.struct("row", "line").alias("at"), words_of(F.get("body", F.col("line"))).alias("words"))
-    near = scratch.keep(picked.withColumn("hashes", word_hashes(F.col("words"))), "near")
+    half = firsts.filter("long").select("at", F.explode(F.array("a", "b", "c", "d")).alias("half")).filter("half is not null")
+    shared = scratch.keep(half.groupBy("half").count().filter("count > 1").select("half"), "shared")
+    some = scratch.keep(half.join(shared, "half", "left_semi").select("at").distinct(), "some")
+    scratch.release(firsts, shared)
+    marked = some.select(*places.of(F.col("at"))).groupBy("no").agg(F.collect_set("line").alias("wanted"))
+    marked = scratch.keep(marked.join(places.rows, "no"), "marked")
+    # rows that repeat id and text are one document: its lines are taken once
+    texts = docs.join(marked, "row").select("no", F.explode("wanted").alias("line"), F.split("text", "\n", -1).alias("body"))
+    picked = texts.select(places.at().alias("at"), words_of(F.get("body", F.col("line"))).alias("words"))
+    near = scratch.keep(picked.dropDuplicates(["at"]).withColumn("hashes", word_hashes(F.col("words"))), "near")
+    scratch.release(some, marked)
 
     n = F.size("hashes")
     bag = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s + h)
@@ -90,18 +125,21 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS
         "at", F.explode(F.expr("transform(placed, (h, i) -> xxhash64('r', n, i, sum - h))")).alias("key")
     )
     earliest = replaced.groupBy("key").agg(F.min("at").alias("to"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "to")
+    earliest = scratch.keep(earliest, "earliest")
     # every member of a shared variant meets the earliest
     one = replaced.join(earliest, "key").filter(F.col("to") < F.col("at")).select("at", "to")
     fewer = base.select("at", F.explode(F.expr("array_distinct(transform(hashes, h -> xxhash64('d', n - 1, bag - h)))")).alias("key"))
-    whole = base.select(F.col("at").alias("to"), F.expr("xxhash64('d', n, bag)").alias("key"))
+    whole = scratch.keep(base.select(F.col("at").alias("to"), F.expr("xxhash64('d', n, bag)").alias("key")), "whole")
     met = fewer.join(whole, "key").select("at", "to")
     other = met.select(F.greatest("at", "to").alias("at"), F.least("at", "to").alias("to"))
-    pairs = one.union(other).distinct()
+    pairs = scratch.keep(one.union(other).distinct(), "pairs")
     words = near.select("at", "words")
-    pairs = pairs.join(words.withColumnRenamed("words", "a"), "at")
-    pairs = pairs.join(words.select(F.col("at").alias("to"), F.col("words").alias("b")), "to")
-    edited = pairs.filter(within_one("a", "b")).select("at.row", "at.line")
-    return again.union(edited).distinct()
+    told = pairs.join(words.withColumnRenamed("words", "a"), "at")
+    told = told.join(words.select(F.col("at").alias("to"), F.col("words").alias("b")), "to")
+    edited = told.filter(within_one("a", "b")).select("at")
+    gone = scratch.keep(again.union(edited).distinct(), "gone")
+    scratch.release(again, near, earliest, whole, pairs)
+    return gone.select(*places.of(F.col("at"))).join(places.rows, "no").select("row", "line")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -120,7 +158,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in given]).alias("doc"))
     held = held.withColumn("row", F.struct(F.col(f"doc.`{id_col}`").alias("id"), F.xxhash64(body).alias("mark")))
     gone = repeated_lines(held.select("row", body.alias("text")).dropna(subset=["text"]), scratch, min_words)
-    lists = gone.groupBy("row").agg(F.collect_set("line").alias("gone"))
+    lists = scratch.keep(gone.groupBy("row").agg(F.collect_set("line").alias("gone")), "lists")
     out = held.join(lists, "row", "left").withColumn("lines", F.split(body, "\n", -1))
     kept = F.filter("lines", lambda x, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), body).otherwise(F.array_join(kept, "\n"))
