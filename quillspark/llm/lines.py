@@ -26,6 +26,7 @@ from quillspark.llm.common import Scratch, words_of
 MIN_WORDS = 8
 #: Sums of word hashes stay below 2**63 for lines of up to 2**23 words.
 HASH_BITS = 40
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def word_hashes(words: Column) -> Column:
@@ -87,13 +88,15 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS
     with one below the session's broadcast threshold shuffles nothing.
     """
     places = Places(docs, scratch)
-    lines = docs.join(places.rows, "row").select("no", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
-    lines = lines.withColumn("words", words_of(F.col("body"))).filter(F.size("words") > 0)
+    # blank lines are told by their text: a filter on the words would be pushed below them and make them twice
+    lines = docs.select("row", F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
+    lines = lines.filter(F.trim("body", F.lit(BLANKS)) != "").select("row", "line", words_of(F.col("body")).alias("words"))
     # a line is known by its hash and two more: of its outer halves if it is long, else of itself
     long, (a, b, c, d) = F.size("words") >= min_words, halves(F.col("words"))
     own = [F.xxhash64("words").alias("h"), F.when(long, a).otherwise(F.xxhash64(F.lit(1), "words")).alias("a"), F.when(long, b).otherwise(F.lit(0)).alias("b")]
     inner = [F.when(long, c).alias("c"), F.when(long, d).alias("d"), long.alias("long")]
-    where = scratch.keep(lines.select(places.at().alias("at"), *own, *inner), "where")
+    hashed = lines.select("row", "line", *own, *inner).join(places.rows, "row")
+    where = scratch.keep(hashed.select(places.at().alias("at"), "h", "a", "b", "c", "d", "long"), "where")
     key = ["h", "a", "b"]
     firsts = where.groupBy(*key).agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"), *(F.min(k).alias(k) for k in ("c", "d", "long")))
     firsts = scratch.keep(firsts, "firsts")
