@@ -155,11 +155,14 @@ def margins(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
-    """Rates that never fall with the margin, pooled from neighbours; ends are kept off 0 and 1."""
-    order = np.argsort(margin, kind="stable")
+    """Rates that never fall with the margin, pooled from neighbours; ends are kept off 0 and 1.
+
+    Rows of equal margin are one pool from the start, so that a margin has one rate.
+    """
+    own, which, count = np.unique(margin, return_inverse=True, return_counts=True)
     pools: list[list[float]] = []
-    for m, v in zip(margin[order], y[order], strict=True):
-        pools.append([float(v), 1.0, float(m), float(m)])
+    for m, v, k in zip(own, np.bincount(which, y), count, strict=True):
+        pools.append([float(v), float(k), float(m), float(m)])
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             s, n, _, high = pools.pop()
             pools[-1][0] += s
