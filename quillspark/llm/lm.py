@@ -1,15 +1,23 @@
 """LM scoring: a log-bilinear neural model trained by noise-contrastive estimation.
 
-Vocabulary. Counts of all training tokens are summed on Spark. The ``OWN`` most frequent
-tokens are output classes of their own; the others share ``GROUPS`` classes by the hash of
-their last bytes. Within a class a token has its share of the class's counts plus one, so
-P(token | context) = P(class | context) * (c + 1) / (class count + class kinds + 1).
-
-Model. The vectors of the last ``CONTEXT`` tokens, each scaled by a vector of its distance,
-add up to a prediction; its products with the class vectors, plus biases, are class scores.
-Every partition trains its own copy on all its training texts by NCE against the class
-frequencies; copies are averaged, weighted by tokens, in two levels. Scoring takes the
-softmax over all classes by batched matrix products.
+Vocabulary. Counts of all training tokens are summed on Spark. Every token counted at least
+``least`` times has an input and an output vector (the ``TABLE`` most frequent at most, a
+bound on memory). In order of frequency these tokens are cut into about as many classes as
+the square root of their number, at equal sums of the square roots of their counts. All other
+tokens, and unknown ones, share ``GROUPS`` classes by the hash of their last bytes. Sizes thus
+follow from the counts and grow with the corpus.
+
+Model. The vectors of the last ``context`` tokens, each scaled by a vector of its distance,
+add up to a prediction. P(token | context) = P(class | context) * P(token | class, context):
+both are softmaxes of products with the prediction, plus biases. In the ``GROUPS`` classes the
+second factor is (c + 1) / (class count + class kinds + 1), the last 1 being all unknown tokens.
+
+Training. Rows fall by a hash of id and text into ``ROUNDS`` rounds and, in a round, into shards
+whose number follows from counts, so scores depend neither on files nor on partitions. Every
+shard of a round goes on from the average of the round before, its rows in order of the hash,
+by NCE: classes against the class frequencies, a token against tokens drawn evenly from its
+class. Shards are averaged in pieces, weighted by tokens, with the roots of the sums of squares
+that set the step sizes. Scoring takes softmaxes by batched matrix products.
 
 Counts of the ``TABLE`` most frequent tokens are broadcast (a fixed bound); the rest are
 joined by hash, one row for each text and rare token, so no vocabulary has to fit anywhere.
@@ -28,12 +36,18 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import Scratch, WordHashes, byte_words, held_out, low, mixed
 
-OWN, GROUPS, INPUTS = 64, 64, 1024
-CLASSES = OWN + GROUPS
-DIMS, CONTEXT = 16, 4
+GROUPS = 64
+DIMS, CONTEXT, LEAST = 16, 4, 20
 TABLE = 1 << 19
 FLUSH = 300_000
-BATCH, NOISE, RATE = 4096, 32, 0.15
+BATCH, NOISE, WITHIN = 4096, 32, 4
+#: Step size, and the sum of squares that every parameter starts with.
+RATE, START = 0.3, 1.0
+SLAB = 1 << 16
+#: A shard has at least this many tokens, and this many for each token that has vectors, so
+#: that the copies of the model stay in proportion to the text; there are at most ``SHARDS``.
+ROUNDS, SHARD_TOKENS, PER_VECTOR, SHARDS = 3, 1 << 20, 32, 1024
+PIECE = 1 << 13
 END = b"\n"  # no word holds a line feed
 
 
@@ -70,28 +84,37 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Table:
-    """The broadcast counts: hashes in order, their counts, and their places by frequency."""
+    """The broadcast counts: hashes in order, their counts, and their ranks by frequency (-1
+    for a token without vectors). ``h`` and ``c`` come in order of frequency."""
 
-    def __init__(self, h: np.ndarray, c: np.ndarray, grp: np.ndarray, class_count: np.ndarray, class_kinds: np.ndarray):
+    def __init__(self, h: np.ndarray, c: np.ndarray, sizes: Sizes):
         order = np.argsort(h)
-        self.h, self.c, self.grp = h[order], c[order], grp[order]
-        place = np.empty(len(h), np.int64)
-        place[order] = np.arange(len(h))
-        self.own = np.full(len(h), -1, np.int64)
-        top = place[: min(len(h), max(OWN, INPUTS))]
-        self.own[top] = np.arange(len(top))
-        self.class_count, self.class_kinds = class_count, class_kinds
+        self.h, self.c, self.sizes = h[order], c[order], sizes
+        self.rank = np.where(order < sizes.words, order, -1)
+
+
+class Sizes:
+    """Classes of the tokens that have vectors: class k holds the ranks from ``starts[k]`` on."""
+
+    def __init__(self, counts: np.ndarray, dims: int = DIMS, context: int = CONTEXT):
+        self.words, self.dims, self.context = len(counts), dims, context
+        mass = np.sqrt(counts.astype(np.float64)).cumsum()
+        cut = (mass * (math.isqrt(self.words) / mass[-1] * (1 - 1e-9))).astype(np.int64) if self.words else np.zeros(0, np.int64)
+        self.class_of = np.cumsum(np.append(0, np.diff(cut) > 0)) if self.words else cut
+        self.starts = np.append(np.unique(self.class_of, return_index=True)[1], self.words).astype(np.int64)
+        self.own = len(self.starts) - 1
+        self.classes, self.inputs = self.own + GROUPS, self.words + GROUPS + 1
 
 
 class Reader(dict):
     """Numbers of tokens met before, up to a bound, and what the table says of each: input
-    vector, class, count (-1 for a token that is not in the table), hash."""
+    vector, class, rank (-1 without vectors), count (-1 for a token not in the table), hash."""
 
     def __init__(self, table: Table, most: int = 300_000):
         super().__init__()
         self.t, self.most, self.groups = table, most, Groups()
         self.new: list[bytes] = []
-        self.columns = np.empty((4, 1 << 12), np.int64)
+        self.columns = np.empty((5, 1 << 12), np.int64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = i = len(self)
@@ -99,20 +122,21 @@ class Reader(dict):
         return i
 
     def _look_up(self) -> None:
-        words, t = self.new, self.t
+        words, t, sizes = self.new, self.t, self.t.sizes
         h = WordHashes(1, len(words) + 1).of(words).view(np.int64)
         g = np.fromiter((self.groups[w[-2:]] for w in words), np.int64, len(words))
-        rows = np.array([INPUTS + g, OWN + g, np.full(len(words), -1), h])
+        none = np.full(len(words), -1)
+        rows = np.array([sizes.words + g, sizes.own + g, none, none, h])
         if len(t.h):
             i = np.minimum(np.searchsorted(t.h, h), len(t.h) - 1)
             hit = t.h[i] == h
-            own = np.where(hit, t.own[i], -1)
-            rows[0] = np.where((own >= 0) & (own < INPUTS), own, rows[0])
-            rows[1] = np.where((own >= 0) & (own < OWN), own, rows[1])
-            rows[2] = np.where(hit, t.c[i], -1)
+            rank = np.where(hit, t.rank[i], -1)
+            known = rank >= 0
+            rows[0, known], rows[1, known] = rank[known], sizes.class_of[rank[known]]
+            rows[2], rows[3] = rank, np.where(hit, t.c[i], -1)
         first = len(self) - len(words)
         if len(self) > self.columns.shape[1]:
-            more = np.empty((4, 2 * len(self)), np.int64)
+            more = np.empty((5, 2 * len(self)), np.int64)
             more[:, :first] = self.columns[:, :first]
             self.columns = more
         self.columns[:, first : len(self)] = rows
@@ -128,115 +152,156 @@ class Reader(dict):
 
 
 class Model:
-    """Parameters as one flat array: input vectors, class vectors, biases, distance scales."""
-
-    SHAPES = ((INPUTS + GROUPS + 1, DIMS), (CLASSES, DIMS), (CLASSES,), (CONTEXT, DIMS))
-
-    def __init__(self, flat: np.ndarray):
-        sizes = [math.prod(s) for s in self.SHAPES]
-        self.inputs, self.classes, self.bias, self.scale = (
-            part.reshape(s) for part, s in zip(np.split(flat, np.cumsum(sizes)[:-1]), self.SHAPES, strict=True)
+    """Parameters as one flat array: input vectors, distance scales, class vectors and biases,
+    token vectors and biases."""
+
+    def __init__(self, flat: np.ndarray, sizes: Sizes):
+        shapes = self.shapes(sizes)
+        ends = np.cumsum([math.prod(s) for s in shapes])[:-1]
+        self.inputs, self.scale, self.classes, self.bias, self.tokens, self.within = (
+            part.reshape(s) for part, s in zip(np.split(flat, ends), shapes, strict=True)
         )
-        self.flat = flat
+        self.flat, self.sizes = flat, sizes
+
+    @staticmethod
+    def shapes(z: Sizes) -> tuple[tuple[int, ...], ...]:
+        return (z.inputs, z.dims), (z.context, z.dims), (z.classes, z.dims), (z.classes,), (z.words, z.dims), (z.words,)
 
     @classmethod
-    def fresh(cls, frequency: np.ndarray) -> Model:
+    def fresh(cls, sizes: Sizes, frequency: np.ndarray, share: np.ndarray) -> Model:
+        """``frequency`` of the classes, ``share`` of a token in its class."""
         rng = np.random.default_rng(1)
-        model = cls(np.zeros(sum(math.prod(s) for s in cls.SHAPES), np.float32))
+        model = cls(np.zeros(sum(math.prod(s) for s in cls.shapes(sizes)), np.float32), sizes)
         model.inputs[:] = rng.normal(0, 0.1, model.inputs.shape)
         model.classes[:] = rng.normal(0, 0.1, model.classes.shape)
+        model.tokens[:] = rng.normal(0, 0.1, model.tokens.shape)
         model.bias[:] = np.log(frequency)
-        model.scale[:] = 1 / CONTEXT
+        model.within[:] = np.log(share)
+        model.scale[:] = 1 / sizes.context
         return model
 
     def predicted(self, context: np.ndarray) -> np.ndarray:
         out = self.inputs[context[:, 0]] * self.scale[0]
-        for k in range(1, CONTEXT):
+        for k in range(1, self.sizes.context):
             out += self.inputs[context[:, k]] * self.scale[k]
         return out
 
-    def log10_classes(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log10 P(class | context) of each row, normalised over all classes."""
-        out = np.empty(len(target))
-        for at in range(0, len(target), BATCH):
-            part = slice(at, at + BATCH)
-            s = self.predicted(context[part]) @ self.classes.T
-            s += self.bias
-            own = s[np.arange(len(s)), target[part]].astype(np.float64)
-            if s.max() > 60:  # else no sum of exponentials can overflow
-                own -= (rows := s.max(axis=1))
-                s -= rows[:, None]
-            np.exp(s, out=s)
-            out[part] = own - np.log(s.sum(axis=1))
+    def log10(self, context: np.ndarray, target: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        """log10 P(class | context), times P(token | class, context) where the token has vectors."""
+        out, starts = np.empty(len(target)), self.sizes.starts
+        for at in range(0, len(target), SLAB):
+            part = slice(at, at + SLAB)
+            predicted, aim, word, logs = self.predicted(context[part]), target[part], rank[part], out[part]
+            for lo in range(0, len(aim), BATCH):
+                logs[lo : lo + BATCH] = _log_softmax(predicted[lo : lo + BATCH], self.classes, self.bias, aim[lo : lo + BATCH])
+            order = np.argsort(aim, kind="stable")
+            order = order[word[order] >= 0]
+            cuts = np.searchsorted(aim[order], np.arange(len(starts)))
+            for k in np.flatnonzero((np.diff(cuts) > 0) & (np.diff(starts) > 1)):
+                a, b = starts[k], starts[k + 1]
+                for lo in range(cuts[k], cuts[k + 1], BATCH):
+                    rows = order[lo : min(lo + BATCH, cuts[k + 1])]
+                    logs[rows] += _log_softmax(predicted[rows], self.tokens[a:b], self.within[a:b], word[rows] - a)
         return out / math.log(10)
 
 
-def contexts(inputs: np.ndarray) -> np.ndarray:
-    """The CONTEXT inputs before each token, nearest first; the last input number stands before a text."""
-    padded = np.concatenate([np.full(CONTEXT, INPUTS + GROUPS), inputs])
-    return np.column_stack([padded[CONTEXT - 1 - k : CONTEXT - 1 - k + len(inputs)] for k in range(CONTEXT)])
+def _log_softmax(predicted: np.ndarray, vectors: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    s = predicted @ vectors.T
+    s += bias
+    own = s[np.arange(len(s)), target].astype(np.float64)
+    if s.max() > 60:  # else no sum of exponentials can overflow
+        own -= (rows := s.max(axis=1))
+        s -= rows[:, None]
+    np.exp(s, out=s)
+    return own - np.log(s.sum(axis=1))
+
+
+def contexts(inputs: np.ndarray, sizes: Sizes) -> np.ndarray:
+    """The inputs before each token, nearest first; the last input number stands before a text."""
+    k = sizes.context
+    padded = np.concatenate([np.full(k, sizes.inputs - 1), inputs])
+    return np.column_stack([padded[k - 1 - i : k - 1 - i + len(inputs)] for i in range(k)])
+
+
+def from_data(scores: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(-scores, -30, 30)))
 
 
 class Trainer:
-    """Stochastic NCE steps with per-parameter rates (AdaGrad); a batch shares its noise."""
+    """Stochastic NCE steps with per-parameter rates (AdaGrad); classes share the noise of a
+    batch, every token has its own. A step touches only the rows of its tokens."""
 
-    def __init__(self, model: Model, frequency: np.ndarray):
-        self.m, self.seen = model, 0
-        self.past = Model(np.full_like(model.flat, 1e-2))
+    def __init__(self, model: Model, past: np.ndarray, frequency: np.ndarray):
+        self.m, self.z, self.seen = model, model.sizes, 0
+        self.past = Model(past, self.z)
         self.log_noise = np.log(NOISE * frequency).astype(np.float32)
-        self.noise = np.random.default_rng(2).choice(CLASSES, (1 << 12, NOISE), p=frequency / frequency.sum())
-
-    def step(self, context: np.ndarray, target: np.ndarray) -> None:
-        m, n = self.m, len(target)
+        self.rng = np.random.default_rng(2)
+        self.noise = self.rng.choice(self.z.classes, (1 << 12, NOISE), p=frequency / frequency.sum())
+        self.width = np.append(np.diff(self.z.starts), np.zeros(GROUPS, np.int64))
+        self.first = np.append(self.z.starts[:-1], np.zeros(GROUPS, np.int64))
+        self.mark = np.zeros(self.z.inputs, np.int64)
+
+    def _rows(self, ids: np.ndarray, *parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """Adds gradients, one for each id, to the rows of (values, past) they belong to."""
+        order = np.arange(len(ids))
+        self.mark[ids] = order
+        once = ids[self.mark[ids] == order]
+        self.mark[once] = np.arange(len(once))
+        at = self.mark[ids]
+        for value, past, grad in parts:
+            if grad.ndim == 1:
+                g = np.bincount(at, grad, len(once)).astype(np.float32)
+            else:
+                g = np.empty((len(once), grad.shape[1]), np.float32)
+                for d in range(grad.shape[1]):
+                    g[:, d] = np.bincount(at, grad[:, d], len(once))
+            squares = past[once] + g * g
+            past[once] = squares
+            value[once] += RATE * g / np.sqrt(squares)
+
+    def step(self, context: np.ndarray, target: np.ndarray, rank: np.ndarray) -> None:
+        m, past, n = self.m, self.past, len(target)
         noise = self.noise[(self.seen // BATCH) % len(self.noise)]
         self.seen += n
         predicted = m.predicted(context)
-        from_data = lambda s, c: 1 / (1 + np.exp(np.clip(self.log_noise[c] - m.bias[c] - s, -30, 30)))
-        aimed = m.classes[target]
-        own = (1 - from_data(np.einsum("ij,ij->i", predicted, aimed), target)) / n
-        false = from_data(predicted @ m.classes[noise].T, noise) / -n
+        aimed, others = m.classes[target], m.classes[noise]
+        own = (1 - from_data(np.einsum("ij,ij->i", predicted, aimed) + m.bias[target] - self.log_noise[target]))
+        false = from_data(predicted @ others.T + m.bias[noise] - self.log_noise[noise]) * -1.0
         back = own[:, None] * aimed
-        back += false @ m.classes[noise]
-        classes, bias = np.zeros_like(m.classes), np.bincount(target, own, CLASSES).astype(np.float32)
-        gain = own[:, None] * predicted
-        for d in range(DIMS):
-            classes[:, d] = np.bincount(target, gain[:, d], CLASSES)
-        np.add.at(classes, noise, false.T @ predicted)
-        np.add.at(bias, noise, false.sum(axis=0))
-        flat, scale = np.empty_like(m.inputs), np.empty_like(m.scale)
-        for k in range(CONTEXT):
-            scale[k] = np.einsum("ij,ij->j", back, m.inputs[context[:, k]])
-        ids = context.T.ravel()
-        for d in range(DIMS):
-            flat[:, d] = np.bincount(ids, np.outer(m.scale[:, d], back[:, d]).ravel(), len(flat))
-        for value, past, grad in (
-            (m.inputs, self.past.inputs, flat), (m.classes, self.past.classes, classes),
-            (m.bias, self.past.bias, bias), (m.scale, self.past.scale, scale),
-        ):
-            past += grad * grad
-            value += RATE * grad / np.sqrt(past)
-
-
-def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: int = 7, rest: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
+        back += false @ others
+        # tokens against tokens of their class
+        rows = np.flatnonzero((rank >= 0) & (self.width[target] > 1))
+        if len(rows):
+            p, k = predicted[rows], target[rows]
+            width = self.width[k][:, None]
+            drawn = self.first[k][:, None] + (self.rng.random((len(rows), WITHIN)) * width).astype(np.int64)
+            ids = np.concatenate([rank[rows][:, None], drawn], axis=1)
+            vectors = m.tokens[ids]
+            grad = from_data(np.einsum("rd,rkd->rk", p, vectors) + m.within[ids] - np.log(WITHIN / width)) * -1.0
+            grad[:, 0] += 1
+            back[rows] += np.einsum("rk,rkd->rd", grad, vectors)
+            each = (grad[:, :, None] * p[:, None, :]).reshape(-1, self.z.dims)
+        self._rows(
+            np.concatenate([target, noise]),
+            (m.classes, past.classes, np.concatenate([own[:, None] * predicted, false.T @ predicted])),
+            (m.bias, past.bias, np.concatenate([own, false.sum(axis=0)])),
+        )
+        scale = np.stack([np.einsum("ij,ij->j", back, m.inputs[context[:, k]]) for k in range(self.z.context)])
+        self._rows(context.T.ravel(), (m.inputs, past.inputs, (m.scale[:, None, :] * back[None]).reshape(-1, self.z.dims)))
+        past.scale += scale * scale
+        m.scale += RATE * scale / np.sqrt(past.scale)
+        if len(rows):
+            self._rows(ids.ravel(), (m.tokens, past.tokens, each), (m.within, past.within, grad.ravel()))
 
-    Trained on all rows that are not held out (crc32 of the id modulo ``of`` is ``rest``; a
-    null id is held out). A null or empty text is its end alone. ``base_score`` sums
-    log10((c + 1) / (N + V + 1)), ``score`` is the model's log10 probability of the text. With
-    no training rows counts are 0 and all classes are equally likely. Rows stay as they are.
+
+def most_frequent(counts: DataFrame, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, count and group of the ``TABLE`` most frequent tokens, in order of frequency.
+
+    Tokens met once are left out where not all can be listed. A range of counts is cut off
+    first, so that no task sorts all tokens.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"), held_out(F.col(id_col), of, rest).alias("held_out"), low(F.col(text_col).cast("string")).alias("text")
-    )
-    train = rows.filter("not held_out").select("text")
-    counts = train.mapInArrow(_counts, "h long, grp int, c long").groupBy("h").agg(F.sum("c").alias("c"), F.min("grp").alias("grp"))
-    counts = scratch.keep(counts, "counts")
-    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     bound = counts.filter("c > 1").count() if kinds > TABLE else kinds
     listed = counts if bound >= TABLE or kinds <= TABLE else counts.filter("c > 1")
-    # the most frequent, ties by hash: a range of counts first, so that no task sorts them all
     if bound > TABLE:
         steps = listed.groupBy(F.floor(F.log2("c") * 8).alias("step")).count().orderBy(F.desc("step")).collect()
         upto, floor_at = 0, steps[-1]["step"]
@@ -247,59 +312,129 @@ def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 break
         listed = listed.filter(F.floor(F.log2("c") * 8) > floor_at)
     table = listed.toPandas().sort_values(["c", "h"], ascending=[False, True])
-    groups = counts.groupBy("grp").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect()
-    class_count, class_kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for g in groups:
-        class_count[OWN + g["grp"]], class_kinds[OWN + g["grp"]] = g["c"], g["n"]
-    h, c, grp = (table[k].to_numpy(np.int64) for k in ("h", "c", "grp"))
-    for k in range(min(OWN, len(h))):
-        class_count[k], class_kinds[k] = c[k], 1
-        class_count[OWN + grp[k]] -= c[k]
-        class_kinds[OWN + grp[k]] -= 1
+    return tuple(table[k].to_numpy(np.int64) for k in ("h", "c", "grp"))
+
+
+def averaged(copies: DataFrame) -> bytes:
+    """The mean of the shards' parameters, weighted by tokens, piece by piece."""
+
+    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, total = None, 0, None
+        out = lambda: pa.record_batch(
+            [pa.array([at], pa.int32()), pa.array([(total / n).astype(np.float16).tobytes()], pa.binary())], names=["piece", "raw"]
+        )
+        for batch in batches:
+            for piece, k, raw in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                piece, k, part = piece.as_py(), k.as_py(), np.frombuffer(raw.as_py(), np.float16).astype(np.float64)
+                if piece != at:
+                    if n:
+                        yield out()
+                    at, n, total = piece, 0, 0
+                n, total = n + k, total + k * part
+        if n:
+            yield out()
+
+    dealt = copies.repartition("piece").sortWithinPartitions("piece", "shard").select("piece", "n", "raw")
+    return b"".join(bytes(r["raw"]) for r in sorted(dealt.mapInArrow(mean, "piece int, raw binary").collect(), key=lambda r: r["piece"]))
+
+
+def language_model(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: int = 7, rest: int = 2,
+    least: int = LEAST, dims: int = DIMS, context: int = CONTEXT,
+) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
+
+    Trained on all rows that are not held out (crc32 of the id modulo ``of`` is ``rest``; a
+    null id is held out). A null or empty text is its end alone. ``base_score`` sums
+    log10((c + 1) / (N + V + 1)), ``score`` is the model's log10 probability of the text. With
+    no training rows counts are 0 and all classes are equally likely. Rows stay as they are.
+    Tokens counted ``least`` times have vectors of ``dims`` numbers; ``context`` tokens predict.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "lm")
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), held_out(F.col(id_col), of, rest).alias("held_out"), low(F.col(text_col).cast("string")).alias("text")
+    )
+    train = rows.filter("not held_out")
+    counts = train.select("text").mapInArrow(_counts, "h long, grp int, c long").groupBy("h").agg(F.sum("c").alias("c"), F.min("grp").alias("grp"))
+    counts = scratch.keep(counts, "counts")
+    total, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    h, c, grp = most_frequent(counts, kinds)
+    words = int(np.count_nonzero(c >= least))
+    sizes = Sizes(c[:words], dims, context)
+    own = sizes.own
+    class_count, class_kinds = np.zeros(sizes.classes), np.zeros(sizes.classes)
+    for g in counts.groupBy("grp").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
+        class_count[own + g["grp"]], class_kinds[own + g["grp"]] = g["c"], g["n"]
+    class_count[:own] = np.bincount(sizes.class_of, c[:words], own) if words else 0
+    class_kinds[:own] = np.diff(sizes.starts)
+    class_count[own:] -= np.bincount(grp[:words], c[:words], GROUPS)
+    class_kinds[own:] -= np.bincount(grp[:words], minlength=GROUPS)
     frequency = (class_count + 1) / (class_count + 1).sum()
-    shared = spark.sparkContext.broadcast((h, c, grp, class_count, class_kinds))
+    share = c[:words] / class_count[sizes.class_of]
+    shared = spark.sparkContext.broadcast((h, c, sizes, frequency, share))
+
+    def trainer(state: bytes | None) -> Trainer:
+        if state is None:
+            model = Model.fresh(sizes, *shared.value[3:])
+            return Trainer(model, np.full_like(model.flat, START), frequency)
+        flat, past = np.split(np.frombuffer(state, np.float16).astype(np.float32), 2)
+        return Trainer(Model(flat, sizes), past * past, frequency)
+
+    def learn(batches: Iterator[pa.RecordBatch], before) -> Iterator[pa.RecordBatch]:
+        state = before.value if before else None
+        reader, t, shard, held, have = Reader(Table(*shared.value[:3])), None, None, [], 0
+
+        def step(at_least: int) -> None:
+            nonlocal held, have
+            if have < at_least or not have:
+                return
+            x, y, z = (np.concatenate(p) for p in zip(*held, strict=True))
+            full = have - have % at_least
+            for at in range(0, full, BATCH):
+                t.step(x[at : min(at + BATCH, full)], y[at : min(at + BATCH, full)], z[at : min(at + BATCH, full)])
+            held, have = [(x[full:], y[full:], z[full:])], have - full
+
+        def pieces() -> Iterator[pa.RecordBatch]:
+            step(1)
+            flat = np.concatenate([t.m.flat, np.sqrt(t.past.flat).clip(max=60_000)]).astype(np.float16)
+            cut = range(0, len(flat), PIECE)
+            for lo in range(0, len(cut), 256):
+                raw = [flat[a : a + PIECE].tobytes() for a in cut[lo : lo + 256]]
+                at = pa.array(range(lo, lo + len(raw)), pa.int32())
+                yield pa.record_batch([at, pa.array([t.seen] * len(raw)), pa.array(raw, pa.binary()), pa.array([shard] * len(raw))], names=["piece", "n", "raw", "shard"])
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(Table(*shared.value))
-        trainer = Trainer(Model.fresh(frequency), frequency)
-        held, have = [], 0
         for batch in batches:
-            for text in batch.column(0):
+            for s, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if s != shard:
+                    if t:
+                        yield from pieces()
+                    t, shard, held, have = trainer(state), s, [], 0
                 r = reader.read(tokens(text.as_py()))
-                held.append((contexts(r[0]), r[1]))
+                held.append((contexts(r[0], sizes), r[1], r[2]))
                 have += r.shape[1]
-                if have >= BATCH:
-                    x, y = (np.concatenate(p) for p in zip(*held, strict=True))
-                    for at in range(0, have - have % BATCH, BATCH):
-                        trainer.step(x[at : at + BATCH], y[at : at + BATCH])
-                    held, have = [(x[have - have % BATCH :], y[have - have % BATCH :])], have % BATCH
-        if have:
-            trainer.step(*(np.concatenate(p) for p in zip(*held, strict=True)))
-        if trainer.seen:
-            yield pa.record_batch(
-                [pa.array([trainer.seen], pa.int64()), pa.array([trainer.m.flat.tobytes()], pa.binary())], names=["n", "flat"]
-            )
-
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, flat = 0, None
-        for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(raw, np.float32) * np.float64(k)
-                n, flat = n + k, part if flat is None else flat + part
-        if n:
-            yield pa.record_batch([pa.array([n], pa.int64()), pa.array([(flat / n).astype(np.float32).tobytes()], pa.binary())], names=["n", "flat"])
-
-    kind = "n long, flat binary"
-    copies = train.mapInArrow(learn, kind)
-    width = max(1, math.isqrt(train.rdd.getNumPartitions()))
-    copies = copies.repartition(width).mapInArrow(average, kind).coalesce(1).mapInArrow(average, kind).collect()
-    flat = bytes(copies[0]["flat"]) if copies else Model.fresh(frequency).flat.tobytes()
-    learned = spark.sparkContext.broadcast(flat)
+                step(BATCH)
+        if t:
+            yield from pieces()
+
+    # a row's round and shard follow from its id and text
+    draw = F.xxhash64("doc_id", "text", F.lit("lm"))
+    placed = train.select("text", draw.alias("draw"))
+    shards = max(1, min(SHARDS, total // ROUNDS // max(SHARD_TOKENS, PER_VECTOR * words)))
+    before = None
+    for k in range(ROUNDS):
+        part = placed.filter(F.pmod("draw", F.lit(ROUNDS)) == k)
+        part = part.withColumn("shard", F.pmod(F.floor(F.col("draw") / ROUNDS), F.lit(shards)).cast("long"))
+        part = part.repartition(shards, "shard").sortWithinPartitions("shard", "draw").select("shard", "text")
+        copies = part.mapInArrow(lambda b, before=before: learn(b, before), "piece int, n long, raw binary, shard long")
+        state = averaged(copies)
+        before = spark.sparkContext.broadcast(state) if state else before
     base_of = math.log10(total + kinds + 1)
     within = np.log10(class_count + class_kinds + 1)
+    within[:own] = 0
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, model = Reader(Table(*shared.value)), Model(np.frombuffer(learned.value, np.float32))
+        reader, model = Reader(Table(*shared.value[:3])), trainer(before.value if before else None).m
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
@@ -307,13 +442,13 @@ def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 size = np.array([r.shape[1] for r in read])
                 first = np.append(0, size.cumsum()[:-1])
                 r = np.concatenate(read, axis=1)
-                logs = model.log10_classes(np.concatenate([contexts(x[0]) for x in read]), r[1])
-                c = r[2]
+                logs = model.log10(np.concatenate([contexts(x[0], sizes) for x in read]), r[1], r[2])
+                c = r[3]
                 own = np.where(c >= 0, np.log10(np.maximum(c, 0) + 1), 0.0)
-                logs = logs + own - within[r[1]]
+                logs = logs + np.where(r[2] < 0, own, 0.0) - within[r[1]]
                 rare = []
                 for x in read:
-                    found = np.unique(x[3][x[2] < 0], return_counts=True)
+                    found = np.unique(x[4][x[3] < 0], return_counts=True)
                     rare.append([{"h": h, "n": n} for h, n in zip(*(f.tolist() for f in found), strict=True)])
                 yield pa.record_batch(
                     [

@@ -155,16 +155,17 @@ def test_language_model_score_against_a_loop_over_tokens(spark):
     ids = [i for i in range(200) if crc32(str(i).encode()) % 7 == 2][:12]
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice(["a", "Bee", "see", "deed", "é"]) for _ in range(rng.randrange(0, 40)))) for i in ids]
-    model = lm.Model.fresh(np.full(lm.CLASSES, 1 / lm.CLASSES))
+    sizes = lm.Sizes(np.zeros(0, np.int64))
+    model = lm.Model.fresh(sizes, np.full(lm.GROUPS, 1 / lm.GROUPS), np.zeros(0))
     group = lambda w: xxhash.xxh64_intdigest(w[-2:], 3) % lm.GROUPS
     want = {}
     for i, text in rows:
-        past, total = [lm.INPUTS + lm.GROUPS] * lm.CONTEXT, 0.0
+        past, total = [lm.GROUPS] * lm.CONTEXT, 0.0
         for word in [*text.translate({65 + k: 97 + k for k in range(26)}).encode().split(), lm.END]:
             predicted = sum(model.inputs[past[-1 - k]].astype(float) * model.scale[k] for k in range(lm.CONTEXT))
             scores = [float(predicted @ c) + float(b) for c, b in zip(model.classes.astype(float), model.bias, strict=True)]
-            total += (scores[lm.OWN + group(word)] - math.log(sum(map(math.exp, scores)))) / math.log(10)
-            past.append(lm.INPUTS + group(word))
+            total += (scores[group(word)] - math.log(sum(map(math.exp, scores)))) / math.log(10)
+            past.append(group(word))
         want[i] = total
     got = {r.doc_id: r for r in lm.language_model(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got.keys() == want.keys()

@@ -277,15 +277,34 @@ def test_language_model(spark, docs, none):
     assert language_model(none).count() == 0
 
 
-def test_class_probabilities_add_up():
-    from quillspark.llm.lm import CLASSES, CONTEXT, INPUTS, Model
-
-    model = Model.fresh(np.full(CLASSES, 1 / CLASSES))
-    context = np.random.default_rng(0).integers(0, INPUTS, (1, CONTEXT))
-    logs = model.log10_classes(np.repeat(context, CLASSES, axis=0), np.arange(CLASSES))
+def test_token_probabilities_add_up():
+    """Over all tokens that have vectors and all groups, for some context."""
+    from quillspark.llm.lm import GROUPS, Model, Sizes
+
+    counts = np.array([900, 500, 200, 90, 80, 70, 60, 50, 40, 30, 30, 30, 25, 24, 23, 22, 21, 20])
+    z = Sizes(counts, dims=5, context=3)
+    assert 1 < z.own < len(counts) and z.starts[-1] == len(counts) and (np.diff(z.starts) > 0).all()
+    share = counts / np.bincount(z.class_of, counts)[z.class_of]
+    model = Model.fresh(z, np.full(z.classes, 1 / z.classes), share)
+    target = np.concatenate([z.class_of, z.own + np.arange(GROUPS)])
+    rank = np.concatenate([np.arange(z.words), np.full(GROUPS, -1)])
+    context = np.random.default_rng(0).integers(0, z.inputs, (1, 3))
+    logs = model.log10(np.repeat(context, len(target), axis=0), target, rank)
     assert abs((10**logs).sum() - 1) < 1e-5
 
 
+def test_language_model_learns_contexts_and_not_the_split(spark):
+    """Words of one frequency that follow each other by rule: only their order tells them apart."""
+    from quillspark.llm.lm import language_model
+
+    names = [f"w{k:02d}x" for k in range(40)]
+    rows = [(i, " ".join(names[(i * 7 + 3 * j) % 40] for j in range(400))) for i in range(1500)]
+    few, many = (spark.createDataFrame(rows, "doc_id long, text string").repartition(n, "doc_id") for n in (1, 5))
+    one = {r.doc_id: r for r in language_model(few).collect()}
+    assert sum(r.score for r in one.values() if r.held_out) > 0.8 * sum(r.base_score for r in one.values() if r.held_out)
+    assert all(abs(r.score - one[r.doc_id].score) < 1e-3 for r in language_model(many).collect())
+
+
 def test_model_beats_counts_on_held_out_texts(spark):
     from quillspark.llm.lm import language_model
 
