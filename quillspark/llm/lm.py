@@ -46,7 +46,7 @@ RATE, START = 0.3, 1.0
 SLAB = 1 << 16
 #: A shard has at least this many tokens, and this many for each token that has vectors, so
 #: that the copies of the model stay in proportion to the text; there are at most ``SHARDS``.
-ROUNDS, SHARD_TOKENS, PER_VECTOR, SHARDS = 3, 1 << 20, 32, 1024
+ROUNDS, SHARD_TOKENS, PER_VECTOR, SHARDS = 3, 1 << 20, 16, 1024
 PIECE = 1 << 13
 END = b"\n"  # no word holds a line feed
 
@@ -239,22 +239,15 @@ class Trainer:
         self.noise = self.rng.choice(self.z.classes, (1 << 12, NOISE), p=frequency / frequency.sum())
         self.width = np.append(np.diff(self.z.starts), np.zeros(GROUPS, np.int64))
         self.first = np.append(self.z.starts[:-1], np.zeros(GROUPS, np.int64))
-        self.mark = np.zeros(self.z.inputs, np.int64)
 
     def _rows(self, ids: np.ndarray, *parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
         """Adds gradients, one for each id, to the rows of (values, past) they belong to."""
-        order = np.arange(len(ids))
-        self.mark[ids] = order
-        once = ids[self.mark[ids] == order]
-        self.mark[once] = np.arange(len(once))
-        at = self.mark[ids]
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        once = ids[first]
         for value, past, grad in parts:
-            if grad.ndim == 1:
-                g = np.bincount(at, grad, len(once)).astype(np.float32)
-            else:
-                g = np.empty((len(once), grad.shape[1]), np.float32)
-                for d in range(grad.shape[1]):
-                    g[:, d] = np.bincount(at, grad[:, d], len(once))
+            g = np.add.reduceat(grad[order], first, axis=0)
             squares = past[once] + g * g
             past[once] = squares
             value[once] += RATE * g / np.sqrt(squares)
@@ -266,7 +259,7 @@ class Trainer:
         predicted = m.predicted(context)
         aimed, others = m.classes[target], m.classes[noise]
         own = (1 - from_data(np.einsum("ij,ij->i", predicted, aimed) + m.bias[target] - self.log_noise[target]))
-        false = from_data(predicted @ others.T + m.bias[noise] - self.log_noise[noise]) * -1.0
+        false = from_data(predicted @ others.T + m.bias[noise] - self.log_noise[noise]) * np.float32(-1)
         back = own[:, None] * aimed
         back += false @ others
         # tokens against tokens of their class
@@ -277,7 +270,7 @@ class Trainer:
             drawn = self.first[k][:, None] + (self.rng.random((len(rows), WITHIN)) * width).astype(np.int64)
             ids = np.concatenate([rank[rows][:, None], drawn], axis=1)
             vectors = m.tokens[ids]
-            grad = from_data(np.einsum("rd,rkd->rk", p, vectors) + m.within[ids] - np.log(WITHIN / width)) * -1.0
+            grad = from_data(np.einsum("rd,rkd->rk", p, vectors) + m.within[ids] - np.log(WITHIN / width).astype(np.float32)) * np.float32(-1)
             grad[:, 0] += 1
             back[rows] += np.einsum("rk,rkd->rd", grad, vectors)
             each = (grad[:, :, None] * p[:, None, :]).reshape(-1, self.z.dims)
@@ -425,7 +418,7 @@ def language_model(
     for k in range(ROUNDS):
         part = placed.filter(F.pmod("draw", F.lit(ROUNDS)) == k)
         part = part.withColumn("shard", F.pmod(F.floor(F.col("draw") / ROUNDS), F.lit(shards)).cast("long"))
-        part = part.repartition(shards, "shard").sortWithinPartitions("shard", "draw").select("shard", "text")
+        part = part.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "draw").select("shard", "text")
         copies = part.mapInArrow(lambda b, before=before: learn(b, before), "piece int, n long, raw binary, shard long")
         state = averaged(copies)
         before = spark.sparkContext.broadcast(state) if state else before
