@@ -35,15 +35,15 @@ def vocabulary(docs: DataFrame, text: str, size: int = 20_000, min_frequency: in
 def encode(docs: DataFrame, doc: str, text: str, vocab: DataFrame) -> DataFrame:
     """(doc, input_ids, tokens): [CLS] ids [SEP], unknown words as [UNK].
 
-    Each distinct word is looked up per (doc, word) with its positions, so a frequent
-    word does not travel once per occurrence.
+    Each distinct word is looked up per (doc, word) with its positions. The vocabulary, of
+    bounded size as ``vocabulary`` makes it, is broadcast, so no word's rows meet in one task.
     """
     places = (
         docs.select(F.col(doc).alias("doc"), F.posexplode(vocabulary_tokens(F.col(text))).alias("pos", "token"))
         .groupBy("doc", "token")
         .agg(F.collect_list("pos").alias("at"))
     )
-    found = places.join(vocab.select("token", "id"), "token", "left").select(
+    found = places.join(F.broadcast(vocab.select("token", "id")), "token", "left").select(
         "doc", "token", "at", F.coalesce("id", F.lit(UNK)).alias("id")
     )
     items = F.flatten(
@@ -68,7 +68,7 @@ def decode(encoded: DataFrame, doc: str, ids: str, vocab: DataFrame) -> DataFram
         .groupBy("doc", "id")
         .agg(F.collect_list("pos").alias("at"))
     )
-    named = places.join(vocab.select("id", "token"), "id", "left")
+    named = places.join(F.broadcast(vocab.select("id", "token")), "id", "left")
     items = F.flatten(F.collect_list(F.transform("at", lambda p: F.struct(p.alias("p"), F.col("token")))))
     return named.groupBy("doc").agg(F.transform(F.sort_array(items), lambda s: s["token"]).alias("tokens"))
 
