@@ -121,6 +121,33 @@ def test_pruned_neighbours_equal_brute_force(spark):
         assert got == want, scope
 
 
+def test_rows_travel_once_per_tile_and_equal_brute_force(spark, monkeypatch):
+    # without structure no block can be ruled out; small blocks must not mean a copy of a row per block
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 12))
+    v[7] = v[8] = v[290]
+    lab = ["hot" if i % 4 else f"l{i % 3}" for i in range(300)]
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]], lab[i]) for i in range(300)], "id bigint, v array<double>, label string")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 10)
+    sent = []
+
+    def tile_pass(queries, points, *rest, inner=neighbours._tile_pass):
+        sent.append((queries.count(), points.count()))
+        return inner(queries, points, *rest)
+
+    monkeypatch.setattr(neighbours, "_tile_pass", tile_pass)
+    for scope in ("same", "other", "any"):
+        found = neighbours.nearest_rows(df, "id", "v", "label", scope, k=3, block_rows=4, tile_rows=100).collect()
+        got = {(r["id"], r["rank"]): (r["peer"], r["sim"]) for r in found}
+        for i in range(300):
+            ok = [j for j in range(300) if j != i and (scope == "any" or (lab[i] == lab[j]) == (scope == "same"))]
+            for rank, j in enumerate(sorted(ok, key=lambda j: (-sims[i, j], j))[:3], 1):
+                assert got.pop((i, rank)) == (j, sims[i, j]), (scope, i, rank)
+        assert not got
+    assert all(q <= 300 * 4 and p <= 300 * 4 for q, p in sent), sent
+
+
 def test_lone_rows_fall_back(spark):
     df = spark.createDataFrame([(1,), (2,)], "id bigint")
     near = spark.createDataFrame([(1, 1, 9)], "id bigint, rank int, peer bigint")
