@@ -101,6 +101,33 @@ def test_keyword_walk_against_loop(spark):
         assert got[i] == (walk, pool), i
 
 
+def test_alternatives_inside_the_row(spark):
+    # held in the row they give what a table of them gives, and no row leaves its task
+    words = [[f"w{chr(97 + (i * j) % 7)}" for j in range(i)] for i in range(12)]
+    kws = [sorted(set(w)) for w in words]
+    data = [(i, kws[i], ["wa", "zz"], [f"p{i}"], [(w, r, x) for w in kws[i] for r, x in enumerate((f"{w}x", "zz")) if (i + len(w) + r) % 5]) for i in range(12)]
+    schema = "id bigint, kws array<string>, other array<string>, phrases array<string>, ranked array<struct<k: string, rank: int, word: string>>"
+    df = spark.createDataFrame(data, schema)
+    flat = df.select("id", F.inline("ranked")).withColumnRenamed("k", "target")
+    table = constraints.first_alternatives(flat)
+    inside = df.withColumn("alts", constraints.alternatives_in_row(F.col("ranked")))
+    nv = lambda d: d.withColumnRenamed("kws", "nv")
+    for lists, shape in (
+        (constraints.top_keyword_lists, lambda d: d), (constraints.entity_lists, lambda d: d), (constraints.word_class_lists, nv),
+        (lambda r, a: constraints.word_class_lists(r, a, policy="both"), nv),
+    ):
+        got = lists(shape(inside), None)
+        assert rows(got, "id") == rows(lists(shape(df), table), "id")
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labels_are_not_dealt_by_label(spark):
+    docs = spark.createDataFrame([(i, "negative") for i in range(5)], "id int, label string")
+    out = labels.map_labels(docs, "label", labels.label_table(spark).filter(F.col("dataset") == "sst2"))
+    assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert rows(out, "id") == [(i, 0, "negative") for i in range(5)]
+
+
 # ---- neighbours, exemplars, sampling ----------------------------------------------------------
 def test_pruned_neighbours_equal_brute_force(spark):
     rng = np.random.default_rng(1)
