@@ -82,3 +82,13 @@ def test_concept_numbers(spark):
     assert values(spark, ["x"], start) == [5] and values(spark, ["x"], compat) == [4]
     lines = pr.append_concepts(F.col("text"), F.array(F.lit("p"), F.lit("q")), start)
     assert values(spark, ["x"], lines) == ["x\n5. p\n6. q"]
+
+
+def test_clean_keeps_the_same_characters(spark):
+    # every code point of the basic plane and one beyond, against the one class that states the rule
+    points = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000] + [0x1F600]
+    texts = ["a" + chr(c) + "b" for c in points] + ["", "ä ö#x", "\u3000\u00e9\U0001F600z"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(texts)], "i int, s string")
+    assert "[^" + tx.KEPT not in str(tx.clean(F.col("s")))
+    rule = df.select("s", F.regexp_replace("s", f"[^{tx.KEPT}{tx.SPACE}]", "").alias("want"), F.regexp_replace(F.regexp_replace("s", f"[{tx.DROPPED}]", ""), tx.BEYOND, "").alias("got"))
+    assert rule.filter("want <> got").count() == 0
