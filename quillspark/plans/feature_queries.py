@@ -365,7 +365,7 @@ _TREES = f"""sent AS (SELECT doc_id, no - 1 AS no, {q.words('s')} AS ws FROM (SE
 
 @query("f1_tree_nodes", f"WITH {_TREES} SELECT doc_id, no, pos, root, template, span, depth FROM nodes")
 def _(t):
-    out = tr.tree_rows(sentence_trees(t), "tree", keep=["doc_id", "no"])
+    out = tr.tree_rows(sentence_trees(t), "tree", keep=["doc_id", "no"], fields=["pos", "root", "template", "span", "depth"])
     return out.select("doc_id", "no", "pos", "root", "template", "span", "depth")
 
 
@@ -374,7 +374,7 @@ def _(t):
     f"WITH {_TREES} SELECT DISTINCT doc_id AS doc, root, template, span FROM nodes WHERE depth <= 2",
 )
 def _(t):
-    nodes = tr.tree_rows(sentence_trees(t), "tree", keep=["doc_id", "no"])
+    nodes = tr.tree_rows(sentence_trees(t), "tree", keep=["doc_id"], fields=["root", "template", "span", "depth"])
     return tr.subtree_features(nodes, "doc_id", 2)
 
 
@@ -385,13 +385,13 @@ def _(t):
       UNION SELECT doc_id, (length(a) % 5)::VARCHAR, '(''' || a || ''',' || coalesce(' ''' || b || '''', '') || ')' FROM pair""",
 )
 def _(t):
-    nodes = tr.tree_rows(sentence_trees(t), "tree", keep=["doc_id", "no"])
+    nodes = tr.tree_rows(sentence_trees(t), "tree", keep=["doc_id"], fields=["root", "production"])
     return tr.production_features(nodes, "doc_id")
 
 
 @query("f2_production_trees")
 def _(t):
-    nodes = tr.tree_rows(sentence_trees(t), "tree", keep=["doc_id", "no"])
+    nodes = tr.tree_rows(sentence_trees(t), "tree", keep=["doc_id"], fields=["root", "production", "flat", "children"])
     return tr.production_tree_features(nodes, "doc_id")
 
 

@@ -355,6 +355,19 @@ def test_tree_shapes(spark):
     }
 
 
+def test_tree_fields(spark):
+    """Fields that are not named are not made; the others are as in a whole reading."""
+    df = spark.createDataFrame([(1, PAIR_TREE), (2, "(S (A a_ _ b) (B (C c)))"), (3, "(S x")], "doc int, tree string")
+    for paired in (True, False):
+        whole = trees.tree_rows(df.filter(f"doc = 1 or {not paired}"), "tree", paired)
+        for fields in (["root", "production"], ["span", "depth", "pos"], ["flat", "children", "subtree"], ["template"]):
+            some = trees.tree_rows(df.filter(f"doc = 1 or {not paired}"), "tree", paired, fields=fields)
+            assert some.columns == ["doc", *fields]
+            assert sorted(some.collect()) == sorted(whole.select("doc", *fields).collect())
+    flat = {(r["doc"], r["flat"]) for r in whole.filter("children > 1").collect()}
+    assert (2, "(S (A a_ _ b) (B c))") in flat
+
+
 # ---- substitutes --------------------------------------------------------------------------------------
 def test_candidate_filter(spark):
     words = ["good", "Good", "GOOD", "123", "the", "!", "bad", "Only"]
