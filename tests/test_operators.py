@@ -406,6 +406,17 @@ def test_vocabulary_matches_public_trainer(spark):
     assert got == {i: tok.encode(s).ids for i, s in enumerate(texts)}
 
 
+def test_encode_shuffles_no_word(spark):
+    vocab = spark.createDataFrame([("a", 7), ("b", 9), ("[UNK]", 3)], "token string, id int")
+    rows = [(i, t) for i, t in enumerate(["a b zz a", "", None, "zz", *["b " * 5000] * 30])]
+    out = vocabulary.encode(spark.createDataFrame(rows, "doc int, text string").repartition(3), "doc", "text", vocab)
+    assert str(out._jdf.queryExecution().executedPlan()).count("Exchange") == 1  # the test's own
+    got = {r["doc"]: (r["input_ids"], r["tokens"]) for r in out.collect()}
+    assert got[0] == ([1, 7, 9, 3, 7, 2], ["a", "b", "[UNK]", "a"])
+    assert got[1] == got[2] == ([1, 2], []) and got[3] == ([1, 3, 2], ["[UNK]"])
+    assert all(got[i] == ([1] + [9] * 5000 + [2], ["b"] * 5000) for i in range(4, 34))
+
+
 def test_argmax_ties_and_collapse(spark):
     df = spark.createDataFrame([([-1.0, -1.0, -3.0], 1, 1.0)], "log_probs array<double>, label int, loss double")
     r = metrics.with_prediction(df).first()
