@@ -7,6 +7,10 @@ repeatable for the same files.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,26 +86,70 @@ def conll_sentences(df: DataFrame, block: str) -> DataFrame:
     )
 
 
-def numbered_sentences(lines: DataFrame) -> DataFrame:
-    """(file, sentence, value) of lines (file, part, line, value): blank lines end a sentence.
+_RUN = "file string, part long, no long, first boolean, last boolean, row_id long, value string"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of lines (file, part, line, value) between blank ones, joined by line feeds, as _RUN.
 
-    The blank lines of a file are counted split by split; the sentences of a split start at
-    the blanks of the splits before, so a large file is many tasks.
+    A split of a file comes as a whole, its lines in order. Its first and its last run, empty
+    ones too, may go on in the splits beside it; a split without a blank line is both.
     """
-    blank = (F.trim(F.regexp_replace("value", f"[{SPACE}]", " ")) == "").cast("long")
-    marked = lines.withColumn("blank", blank)
-    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = marked.groupBy("file", "part").agg(F.sum("blank").alias("n")).select(
-        "file", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
-    )
-    inside = Window.partitionBy("file", "part").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = marked.withColumn("here", F.sum("blank").over(inside)).filter("blank = 0")
-    return (
-        counted.join(starts, ["file", "part"])
-        .groupBy("file", (F.col("start") + F.col("here")).alias("sentence"))
-        .agg(F.sort_array(F.collect_list(F.struct("part", "line", "value"))).alias("rows"))
-        .select("file", "sentence", F.array_join(F.transform("rows", lambda r: r["value"]), "\n").alias("value"))
+    key, no, start, held, out = None, 0, None, [], []
+
+    def done(last: bool) -> None:
+        out.append((*key, no, no == 0, last, start, "\n".join(held)))
+
+    def found() -> pa.RecordBatch:
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.string()]
+        names = [c.split()[0] for c in _RUN.split(", ")]
+        return pa.record_batch([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    for batch in batches:
+        file, part, line, value = batch.columns
+        number, at = file.dictionary_encode().indices.to_numpy(), part.to_numpy()
+        cuts = np.flatnonzero((np.diff(number) != 0) | (np.diff(at) != 0)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if lo == hi:
+                continue
+            now = file[int(lo)].as_py(), int(at[lo])
+            if now != key:
+                if key:
+                    done(True)
+                key, no, start, held = now, 0, None, []
+            for i, v in enumerate(value.slice(lo, hi - lo).to_pylist(), int(lo)):
+                if v and not v.isspace():
+                    if not held:
+                        start = line[i].as_py()
+                    held.append(v)
+                elif held or no == 0:
+                    done(False)
+                    no, held = no + 1, []
+        if out:
+            yield found()
+            out = []
+    if key:
+        done(True)
+        yield found()
+
+
+def sentence_rows(lines: DataFrame) -> DataFrame:
+    """(row_id, value) of lines (file, part, line, value) as they were read: blank lines end a
+    sentence, whose number is that of its first line.
+
+    Sentences are put together where a split is read, so that a large file is many tasks; only
+    the two runs at the ends of a split are shuffled.
+    """
+    runs = lines.select("file", "part", "line", "value").mapInArrow(_runs, _RUN)
+    inner = runs.filter("not first and not last").select("row_id", "value")
+    # the last run of a split with a blank line opens a sentence; first runs after it go on with it
+    upto = Window.partitionBy("file").orderBy("part", "no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = runs.filter("first or last").withColumn("sentence", F.sum((~F.col("first")).cast("long")).over(upto))
+    pieces = F.sort_array(F.collect_list(F.struct("part", "no", "row_id", "value")))
+    joined = ends.filter("value <> ''").groupBy("file", "sentence").agg(pieces.alias("rows")).select(
+        F.get("rows", F.lit(0))["row_id"].alias("row_id"), F.array_join(F.transform("rows", lambda r: r["value"]), "\n").alias("value")
     )
+    return inner.filter("value <> ''").unionByName(joined)
 
 
 def read_conll(spark: SparkSession, path) -> DataFrame:
@@ -111,8 +159,7 @@ def read_conll(spark: SparkSession, path) -> DataFrame:
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"),
         F.monotonically_increasing_id().alias("line"), "value",
     )
-    blocks = numbered_sentences(lines).orderBy("file", "sentence").select("value")
-    return conll_sentences(with_row_id(blocks), "value")
+    return conll_sentences(sentence_rows(lines), "value").select("about", "tokens", "ner_tags", "row_id")
 
 
 def _json(spark: SparkSession, schema: str, path, layout: str) -> DataFrame:

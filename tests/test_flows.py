@@ -1,3 +1,5 @@
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +142,31 @@ def test_variants_offer_and_exclude_substitutes(spark):
         ).first()
         assert got.excluded > 50 and got.offered > 50
         assert name == "v_ner" or got.stop == 0  # an entity's phrase may be a stop word
+
+
+def test_conll_sentences_over_splits(spark, tmp_path):
+    """Sentences that straddle one or many splits, blank lines of white space at the cuts and CRLF."""
+    rng, folder = random.Random(5), tmp_path / "conll"
+    folder.mkdir()
+    want = []
+    for name, blanks, end in (("a", ["", " \t"], "\n"), ("b", ["", "\u2003"], "\r\n"), ("c", [""], "\n")):
+        lines = []
+        for n in [0, 3, 1, 60, 2, *(rng.randint(1, 9) for _ in range(40))]:
+            rows = [f"w{rng.randint(0, 99)}\tO" for _ in range(n)]
+            want.append(tuple(r.split("\t")[0] for r in rows))
+            lines += rows + [rng.choice(blanks) for _ in range(rng.randint(1, 3))]
+        (folder / name).write_bytes(end.join(lines).encode())
+    want = [w for w in want if w]
+    for size in (16, 40, 64, 1 << 20):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        try:
+            out = rd.read_conll(spark, str(folder))
+            got = out.collect()
+            plan = out._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert sorted(tuple(r["tokens"]) for r in got) == sorted(want)
+        assert len({r["row_id"] for r in got}) == len(got)
+        assert "Exchange rangepartitioning" not in plan
