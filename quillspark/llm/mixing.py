@@ -118,3 +118,16 @@ def schedule(mixed: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """doc_id, position (and ``keep``): a row for every copy taken, at its own place."""
     copies = mixed.filter("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     return copies.select("doc_id", place(F.col("ahead") + F.col("pass") * F.col("source_size")).alias("position"), *keep)
+
+
+def mixture(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", most: int = MOST,
+    keep: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """The plan of ``mix`` with a number ``row`` for every row, and the mix: a row for every copy
+    taken (row, doc_id, size, position and ``keep``), in the order of training."""
+    scratch = Scratch(docs.sparkSession, "mixture")
+    keep = [*keep, "row"]
+    plan = scratch.keep(mix(docs.withColumn("row", F.monotonically_increasing_id()), id_col, text_col, source_col, most, keep), "plan")
+    copies = schedule(plan, ["size", *keep]).orderBy("position", "doc_id", "row")
+    return plan, copies

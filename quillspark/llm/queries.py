@@ -97,9 +97,13 @@ FROM o
 
 @query("op8_mixing", OP8_SQL)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    from quillspark.llm.mixing import mix
+    """What the mix takes of every document is read off its copies, as they are scheduled for training."""
+    from quillspark.llm.mixing import mixture
 
-    return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    plan, copies = mixture(table(spark, folder, "documents"))
+    seen = copies.groupBy("row").agg(F.sum("size").alias("taken"), F.min("position").alias("position"))
+    out = plan.select("row", "doc_id", "size", "source_size", "target").join(seen, "row", "left")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "position")
 
 
 @query("op5_quality")

@@ -421,6 +421,25 @@ def test_mixing(spark, docs, none):
     assert mix(none).count() == 0
 
 
+def test_mixture_is_what_op8_takes(spark, tmp_path):
+    """Copies in the order of their schedules; ids may be null or repeated."""
+    from quillspark.llm.mixing import mix, mixture
+    from quillspark.llm.queries import op8
+
+    rows = [(i % 40 if i % 9 else None, "w " * (i % 7), f"s{i % 5 % 4}" if i % 11 else None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan, copies = mixture(docs)
+    plan, copies = plan.collect(), copies.collect()
+    assert [c.position for c in copies] == sorted(c.position for c in copies)
+    assert Counter(c.row for c in copies) == {p.row: p.copies for p in plan if p.copies} and len(plan) == 200
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    cols = ["doc_id", "size", "source_size", "target", "taken", "position"]
+    key = lambda r: [(v is None, v or 0) for v in r]
+    want = sorted(map(tuple, mix(docs).select(cols).collect()), key=key)
+    assert sorted(map(tuple, op8(spark, str(tmp_path)).collect()), key=key) == want
+    assert sum(w[4] for w in want) == sum(c.size for c in copies)
+
+
 def test_positions_invert_the_demand(spark):
     from quillspark.llm.mixing import position
 
