@@ -3,13 +3,15 @@ import json
 import math
 import pathlib
 import random
+from types import SimpleNamespace
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillspark.functions.hashing import coin
+from quillspark.functions.hashing import coin, draw32
 from quillspark.operators import attribution, constraints, edits, exemplars, greedy, labels, lexsub, metrics, mining, ner
 from quillspark.operators import neighbours, sampling, trees, vocabulary
+from quillspark.plans import report_queries
 
 
 def rows(df, *by):
@@ -384,6 +386,17 @@ def test_candidates_held_in_the_row(spark):
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_original_probability_is_drawn_once_per_round(spark):
+    """Its draw stands below the explode of the shapes, and its key is the one of single draws."""
+    docs = spark.createDataFrame([(1, "one two"), (2, None), (None, "three")], "doc_id long, text string")
+    out = report_queries.candidates(SimpleNamespace(documents=docs))
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("Generate explode")[0]
+    assert "concat_ws(|, p, " in above and "concat_ws(|, o, " not in above
+    direct = draw32("o", F.col("id"), F.col("target"), F.col("iter")) % 1000 / F.lit(1001.0)
+    got = out.select("id", "target", "orig_prob", direct.alias("want")).collect()
+    assert {r["target"] for r in got} == {"one", "two", "three"} and all(r["orig_prob"] == r["want"] for r in got)
+
+
 def test_candidate_filter(spark):
     words = ["good", "Good", "GOOD", "123", "the", "!", "bad", "Only"]
     cand = spark.createDataFrame([(1, "fine", 0, w) for w in words], "id int, target string, iter int, word string")
