@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quillspark.functions import text as tx
+from quillspark.operators import constraints as cs
 from quillspark.operators import generate as gen
 from quillspark.operators import labels as lb
 from quillspark.plans import augment, extractor
 from quillspark.plans.join_queries import tag_rule, word_vector
+from quillspark.plans.variant_queries import substitutes
 from quillspark.sources import readers as rd
 from quillspark.sources import writers as wr
 
@@ -64,6 +66,42 @@ def test_classification_flow(spark):
     assert {p["part"]: p["count"] for p in parts} == {"original": 4, "solo": 12, "mix_1": 4, "mix_2": 4}
 
 
+def test_substitutes_by_a_rule(spark):
+    """A rule asked in the row gives what a table of the same substitutes gives."""
+    df = table(spark)
+    words = df.select(F.col("row_id").alias("id"), F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("target"))
+    pairs = words.filter("char_length(target) > 2").select("id", "target", F.explode(F.array(F.lit(0), F.lit(1))).alias("rank"))
+    ranked = pairs.withColumn("word", F.expr("if(rank = 0, left(target, length(target) - 1), 'zz')"))
+    options = {
+        "word_vectors": words.select(F.col("target").alias("word"), word_vector(F.col("target"), "w").alias("wv")).distinct(),
+        "label_vectors": df.select("label").distinct().select("label", word_vector(F.col("label"), "l").alias("lv")),
+        "sentence_vectors": df.select("row_id", word_vector(F.col("text"), "s").alias("v")),
+    }
+    shown = ["row_id", "inc_kws", "exc_kws", "final_const", "mix_const_1", "mix_const_2"]
+    for name in ("concepts", "ner", "cross"):
+        by_table, by_rule = (
+            extractor.extract(df, name, "yahoo", alts=alts, glosses="conll2003", **options).select(*shown)
+            for alts in (cs.first_alternatives(ranked), substitutes)
+        )
+        got = sorted(by_rule.collect())
+        assert got == sorted(by_table.collect()) and any(" or " in r["inc_kws"] for r in got)
+
+
+def test_prompts_are_written_after_the_last_shuffle(spark):
+    """Finished prompts of a row are not dealt out; what it lends to others is."""
+    df = table(spark)
+    words = df.select(F.explode(tx.tokens(F.col("text"))).alias("word")).distinct()
+    out = extractor.extract(
+        df, "cross", "yahoo", alts=substitutes,
+        word_vectors=words.select("word", word_vector(F.col("word"), "w").alias("wv")),
+        label_vectors=df.select("label").distinct().select("label", word_vector(F.col("label"), "l").alias("lv")),
+        sentence_vectors=df.select("row_id", word_vector(F.col("text"), "s").alias("v")),
+    )
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Join"):]
+    assert "final_topic_const" not in below and "final_const" not in below and "mix_const_1" not in below
+
+
 def test_entity_flow(spark):
     out = extractor.extract(table(spark), "ner", "conll2003").cache()
     one = out.filter("row_id = 0").first()
