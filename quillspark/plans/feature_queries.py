@@ -227,10 +227,7 @@ def _(t):
       FROM (SELECT {q.words('text')} AS ws, k FROM documents, (VALUES (1), (2), (3)) AS v(k)) WHERE len(ws) >= k) GROUP BY gram""",
 )
 def _(t):
-    grams = tx.ngrams_upto(tx.words(F.col("text")), 3)
-    return t.documents.select(F.explode(grams).alias("g")).groupBy(F.array_join("g", " ").alias("gram")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return tx.counted_ngrams(t.documents.select(tx.words(F.col("text")).alias("ws")), "ws", 3)
 
 
 # Lists of n-gram pairs made of the most frequent words of the left and right halves.

@@ -92,3 +92,13 @@ def test_clean_keeps_the_same_characters(spark):
     assert "[^" + tx.KEPT not in str(tx.clean(F.col("s")))
     rule = df.select("s", F.regexp_replace("s", f"[^{tx.KEPT}{tx.SPACE}]", "").alias("want"), F.regexp_replace(F.regexp_replace("s", f"[{tx.DROPPED}]", ""), tx.BEYOND, "").alias("got"))
     assert rule.filter("want <> got").count() == 0
+
+
+def test_counted_ngrams(spark):
+    """Grams of every length are counted as strings; no array is made for one."""
+    df = spark.createDataFrame([(["a", "b", "a", "b"],), (["a"],), ([],), (None,), (["a", "b", "a"],)], "ws array<string>")
+    out = tx.counted_ngrams(df, "ws", 3)
+    assert {r["gram"]: r["n"] for r in out.collect()} == {"a": 5, "b": 3, "a b": 3, "b a": 2, "a b a": 2, "b a b": 1}
+    plan = tx.counted_ngrams(spark.createDataFrame([("x  y",)], "text string").select(tx.words(F.col("text")).alias("ws")), "ws", 3)
+    assert {r["gram"] for r in plan.collect()} == {"x", "y", "x y"}
+    assert "array_join" not in plan._jdf.queryExecution().optimizedPlan().toString()
