@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import Scratch, WordHashes, byte_words, held_out, low, mixed
@@ -331,6 +331,12 @@ def averaged(copies: DataFrame) -> bytes:
     return b"".join(bytes(r["raw"]) for r in sorted(dealt.mapInArrow(mean, "piece int, raw binary").collect(), key=lambda r: r["piece"]))
 
 
+def shard_of(draw: Column, shards: int) -> Column:
+    """The shard of a row of a round. Whole division: as a double a quotient of this size is a
+    multiple of 512, and all rows would meet in one of 2, 4, 8, … shards."""
+    return F.pmod(F.call_function("div", draw, F.lit(ROUNDS)), F.lit(shards)).cast("long")
+
+
 def language_model(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: int = 7, rest: int = 2,
     least: int = LEAST, dims: int = DIMS, context: int = CONTEXT,
@@ -417,7 +423,7 @@ def language_model(
     before = None
     for k in range(ROUNDS):
         part = placed.filter(F.pmod("draw", F.lit(ROUNDS)) == k)
-        part = part.withColumn("shard", F.pmod(F.floor(F.col("draw") / ROUNDS), F.lit(shards)).cast("long"))
+        part = part.withColumn("shard", shard_of(F.col("draw"), shards))
         part = part.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "draw").select("shard", "text")
         copies = part.mapInArrow(lambda b, before=before: learn(b, before), "piece int, n long, raw binary, shard long")
         state = averaged(copies)

@@ -567,3 +567,14 @@ def test_pipeline_stages_with_null_and_repeated_ids(spark, tmp_path):
     # lines and tokens: a row for a row
     assert pipeline.without_repeated_lines(spark, docs, folder).count() == docs.count()
     assert pipeline.token_ids(spark, table, folder).count() == len(some)
+
+
+def test_language_model_fills_all_shards(spark):
+    """A round's rows fall evenly into any number of shards, powers of two among them."""
+    from quillspark.llm import lm
+
+    draw = F.xxhash64("id", F.lit("lm"))
+    part = spark.range(12_000).select(draw.alias("draw")).filter(F.pmod("draw", F.lit(lm.ROUNDS)) == 1)
+    for shards in (3, 6, 8, 64):
+        sizes = [r["count"] for r in part.groupBy(lm.shard_of(F.col("draw"), shards).alias("s")).count().collect()]
+        assert len(sizes) == shards and max(sizes) < 2 * sum(sizes) / shards
