@@ -27,6 +27,8 @@ MIN_WORDS = 8
 #: Sums of word hashes stay below 2**63 for lines of up to 2**23 words.
 HASH_BITS = 40
 BLANKS = " \t\n\x0b\x0c\r"
+#: Bits of a sieve: 16 for a row looked for, these at least and most (16 MB).
+SIEVE_BITS = 1 << 20, 1 << 27
 
 
 def word_hashes(words: Column) -> Column:
@@ -55,6 +57,34 @@ def within_one(a: str, b: str) -> Column:
     )
 
 
+class Sieve:
+    """Which rows of ``docs`` a small table of rows may hold, told where a text is read.
+
+    The hashes of the rows looked for set bits in bitmaps of 4 KB, broadcast together. A text
+    whose bit is not set is in none of the rows looked for and need not be shuffled to learn
+    that; the others are joined by their rows. Above the bound on bits more texts pass, no result changes.
+    """
+
+    def __init__(self, rows: DataFrame, scratch: Scratch):
+        least, most = SIEVE_BITS
+        self.bits = min(most, max(least, 1 << (16 * rows.count()).bit_length()))
+        bit = rows.select((self.bit() + 1).alias("bit"))  # buckets and places count from bit 1
+        maps = bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+        self.maps = scratch.keep(maps, "sieve")
+
+    def bit(self) -> Column:
+        return F.pmod(F.xxhash64("row"), F.lit(self.bits))
+
+    def part(self, docs: DataFrame, passing: bool) -> DataFrame:
+        """The rows of ``docs`` (with a column row) that pass, or those that do not."""
+        held = docs.withColumn("bit", self.bit()).withColumn("bucket", F.bitmap_bucket_number(F.col("bit") + 1))
+        held = held.join(F.broadcast(self.maps), "bucket", "left")
+        byte = F.conv(F.hex(F.expr("substring(bits, cast(bit % 32768 div 8 as int) + 1, 1)")), 16, 10).cast("int")
+        hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(bit % 8 as int))")) != 0
+        hit = F.coalesce(hit, F.lit(False))  # no bit is set in a bucket without bitmap
+        return held.filter(hit if passing else ~hit).select(docs.columns)
+
+
 class Places:
     """The place of a line as one long that sorts by row, then line: part, offset, line.
 
@@ -114,10 +144,11 @@ def repeated_lines(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS
     marked = some.select(*places.of(F.col("at"))).groupBy("no").agg(F.collect_set("line").alias("wanted"))
     marked = scratch.keep(marked.join(places.rows, "no"), "marked")
     # rows that repeat id and text are one document: its lines are taken once
-    texts = docs.join(marked, "row").select("no", F.explode("wanted").alias("line"), F.split("text", "\n", -1).alias("body"))
+    sieve = Sieve(marked.select("row"), scratch)
+    texts = sieve.part(docs, True).join(marked, "row").select("no", F.explode("wanted").alias("line"), F.split("text", "\n", -1).alias("body"))
     picked = texts.select(places.at().alias("at"), words_of(F.get("body", F.col("line"))).alias("words"))
     near = scratch.keep(picked.dropDuplicates(["at"]).withColumn("hashes", word_hashes(F.col("words"))), "near")
-    scratch.release(some, marked)
+    scratch.release(some, marked, sieve.maps)
 
     n = F.size("hashes")
     bag = F.aggregate("hashes", F.lit(0).cast("long"), lambda s, h: s + h)
@@ -162,7 +193,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = held.withColumn("row", F.struct(F.col(f"doc.`{id_col}`").alias("id"), F.xxhash64(body).alias("mark")))
     gone = repeated_lines(held.select("row", body.alias("text")).dropna(subset=["text"]), scratch, min_words)
     lists = scratch.keep(gone.groupBy("row").agg(F.collect_set("line").alias("gone")), "lists")
-    out = held.join(lists, "row", "left").withColumn("lines", F.split(body, "\n", -1))
+    sieve = Sieve(lists.select("row"), scratch)
+    whole = sieve.part(held, False).withColumn("gone", F.lit(None).cast("array<int>"))
+    out = sieve.part(held, True).join(lists, "row", "left").unionByName(whole).withColumn("lines", F.split(body, "\n", -1))
     kept = F.filter("lines", lambda x, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), body).otherwise(F.array_join(kept, "\n"))
     return out.select(

@@ -238,3 +238,40 @@ def test_chats(spark):
     assert out.filter("conv_id = 50").count() > 10
     assert sorted((tuple(r) for r in read_back(out).collect()), key=key) == sorted(chats_by_loop(rows), key=key)
     assert read_back(format_chats(frame.limit(0))).count() == 0
+
+
+def test_rows_not_looked_for_need_no_shuffle(spark, monkeypatch):
+    from quillspark.llm import lines
+    from quillspark.llm.common import Scratch
+
+    docs = spark.range(5000).select(F.struct(F.when(F.col("id") > 0, F.col("id")).alias("id"), F.xxhash64("id").alias("mark")).alias("row"))
+    wanted = docs.filter("row.id is null or row.id % 50 = 0")
+    for bits in ((1 << 20, 1 << 27), (1, 1 << 6), (1, 1)):  # with too few bits too many pass, never too few
+        monkeypatch.setattr(lines, "SIEVE_BITS", bits)
+        sieve = lines.Sieve(wanted, Scratch(spark, "sieve"))
+        passing, rest = sieve.part(docs, True), sieve.part(docs, False)
+        assert passing.join(wanted, "row").count() == 100 and rest.join(wanted, "row").count() == 0
+        assert passing.columns == docs.columns and passing.union(rest).distinct().count() == passing.count() + rest.count() == 5000
+    monkeypatch.undo()
+    assert lines.Sieve(wanted, Scratch(spark, "sieve")).part(docs, True).count() < 200
+    none = lines.Sieve(wanted.limit(0), Scratch(spark, "sieve"))
+    assert none.part(docs, True).count() == 0 and none.part(docs, False).count() == 5000
+
+
+def test_line_dedup_shuffles_only_texts_that_lose_lines(spark, tmp_path):
+    from quillspark.llm.lines import dedup_lines
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a large table
+    try:
+        text = F.concat_ws("\n", F.lit("the same line stands in a few of the documents here"), F.concat(F.lit("line "), F.col("id")))
+        docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20, text).otherwise(F.concat(F.lit("own "), F.col("id"))).alias("text"))
+        docs.write.parquet(str(tmp_path / "docs"))
+        out = dedup_lines(spark.read.parquet(str(tmp_path / "docs")))
+        got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(got) == 2000 and got[0][1:] == (2, 0) and got[7] == ("line 7", 2, 1) and got[500] == ("own 500", 1, 0)
+    # texts that lose nothing are told by a broadcast sieve, others alone are joined by a shuffle
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") >= 2
