@@ -17,7 +17,6 @@ from __future__ import annotations
 import base64
 import gc
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import kept_by_worker
+
 #: Bounds on what a worker remembers.
 STATES, PIECES, PAIRS = 150_000, 200_000, 300_000
 _END = (((), 0),)
@@ -250,7 +251,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-@lru_cache(maxsize=2)
+@kept_by_worker
 def machinery(path: str, pattern: str):
     transducer = Transducer(load_ranks(path))
     return regex.compile(pattern).findall, Pieces(transducer), Decoder(transducer.tokens)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, WordHashes, byte_words, mixed, odd_numbers, runs
+from quillspark.llm.common import Scratch, WordHashes, byte_words, forget_tables, mixed, odd_numbers, runs
 
 SHINGLE = 5
 HASHES, BANDS, ROWS = 256, 32, 4
@@ -93,6 +93,7 @@ SIGNED = "doc_id long, n_shingles long, k1 long, k2 long, sig binary, bands arra
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_tables()
     cache = WordHashes()
     for batch in batches:
         ids, n, keys, sigs = batch.column(0), [], [], []

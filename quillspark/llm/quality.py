@@ -8,6 +8,7 @@ still speak. Scores are sparse dot products over whole texts.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillspark.llm.common import TRAIN_ROWS, WordHashes, byte_words, fitted, held_out, labelled_sample, mixed
+from quillspark.llm.common import TRAIN_ROWS, WordHashes, byte_words, fitted, forget_tables, held_out, labelled_sample, mixed
 
 BITS = 18
 EPOCHS = 4
@@ -79,20 +80,26 @@ def fit(texts: list[str], labels: np.ndarray) -> bytes:
     tools = machinery()
     size = 1 << BITS
     z, n = np.zeros(size + 1), np.zeros(size + 1)
-    rows = []
+    # all rows in two arrays: many small ones take twice as much and are not given back to the system
+    numbers, counts, ends, scales = array("i"), array("i"), [0], []
     for text in texts:
         f = features(text, *tools)
         index, count = np.unique(f, return_counts=True)
-        rows.append((np.append(index, size), np.append(count * (SCALE / max(len(f), 1)), 1.0)))
+        numbers.frombytes(index.astype(np.intc).tobytes())
+        counts.frombytes(count.astype(np.intc).tobytes())
+        ends.append(len(numbers))
+        scales.append(SCALE / max(len(f), 1))
+    numbers, counts = np.asarray(numbers), np.asarray(counts)
 
     def weights(i):
         zi = z[i]
         return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
-    order = np.arange(len(rows))
+    order = np.arange(len(texts))
     for epoch in range(EPOCHS):
         for k in np.random.default_rng(epoch).permutation(order):
-            i, x = rows[k]
+            part = slice(ends[k], ends[k + 1])
+            i, x = np.append(numbers[part], size), np.append(counts[part] * scales[k], 1.0)
             w = weights(i)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - labels[k]) * x
             z[i] += g - (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA * w
@@ -125,6 +132,7 @@ def quality(
     inside = text_col in keep  # then the text goes to the workers once, inside ``kept``
 
     def fn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         weights, tools = np.frombuffer(shared.value, np.float32), machinery()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE):

@@ -275,3 +275,26 @@ def test_line_dedup_shuffles_only_texts_that_lose_lines(spark, tmp_path):
     assert len(got) == 2000 and got[0][1:] == (2, 0) and got[7] == ("line 7", 2, 1) and got[500] == ("own 500", 1, 0)
     # texts that lose nothing are told by a broadcast sieve, others alone are joined by a shuffle
     assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") >= 2
+
+
+def test_a_task_forgets_the_tables_of_another_operator(spark):
+    from quillspark.llm import bpe, near_dup
+    from quillspark.llm.common import fitted
+
+    path, split = bpe.default_vocabulary()
+    assert bpe.encode_text("some words", path, split) and bpe.machinery.cache_info().currsize == 1
+    list(near_dup._sign(iter([])))
+    assert bpe.machinery.cache_info().currsize == 0
+
+    # in a worker: ids, then a fit
+    def ids(batches):
+        for b in batches:
+            bpe.encode_text("some words", path, split)
+            yield b
+
+    def fit(texts, labels):
+        return str(bpe.machinery.cache_info().currsize).encode()
+
+    one = spark.range(1).select(F.lit("a b").alias("text"), F.lit(1).alias("label"), F.col("id").alias("mark")).coalesce(1)
+    assert one.select("mark").mapInArrow(ids, "mark long").count() == 1
+    assert fitted(one, fit) == b"0"
