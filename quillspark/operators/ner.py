@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from quillspark.functions import fixed as fx
-from quillspark.functions import rowindex
 from quillspark.functions.binding import let, once
 from quillspark.functions.text import is_alphabetic, label_words
 
+#: White space that parts the words of a phrase: that of ``\s`` in Spark's patterns.
+BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
+#: The words of ``label_words``; ``\s`` of Python's patterns is the white space listed there.
+LABEL_WORDS = re.compile(r"[,.]|[^,.\s]+")
 
 
 def _positions(tags: Column, test) -> Column:
@@ -112,75 +119,55 @@ def gloss_text(phrases: Column, tags: Column, glosses: Column) -> Column:
     return F.array_join(lines, ", ")
 
 
+def painted(words: list[str], phrases: list[str | None], tags: list[str | None]) -> tuple[list[str], list[int]]:
+    """Tags of the words of a row, and the places of the phrases that never occur; lower-case words and phrases."""
+    wanted: dict[tuple[str, ...], list[int]] = {}
+    for ord_, phrase in enumerate(phrases):
+        if phrase is not None:
+            wanted.setdefault(tuple(w for w in BLANKS.split(phrase) if w), []).append(ord_)
+    places: dict[str, list[int]] = {p[0]: [] for p in wanted if p}
+    for i, word in enumerate(words):
+        if word in places:
+            places[word].append(i)
+    out, lost, found = ["O"] * len(words), [], []
+    for phrase, ords in wanted.items():
+        n, pw = len(phrase), list(phrase)
+        starts = [i for i in places[pw[0]] if n == 1 or words[i : i + n] == pw] if n else []
+        if starts:
+            found.append((ords[-1], n, starts))  # equal phrases cover the same places: the last of them paints
+        else:
+            lost += ords
+    for ord_, n, starts in sorted(found):
+        tag = tags[ord_]
+        first, inner = ("O", "O") if tag is None else (tag, "I-" + tag.split("-")[-1])
+        for i in starts:
+            out[i : i + n] = [first, *[inner] * (n - 1)]
+    return out, sorted(lost)
+
+
+@F.arrow_udf(StructType().add("tags", ArrayType(StringType())).add("lost", ArrayType(IntegerType())))  # not as DDL: that needs a session
+def _painted(texts: pa.Array, phrases: pa.Array, tags: pa.Array) -> pa.Array:
+    made = []
+    for text, ps, ts in zip(texts, phrases, tags, strict=True):
+        low = [p and p.lower() for p in ps.as_py()]
+        made.append(painted([w.lower() for w in LABEL_WORDS.findall(text.as_py() or "")], low, ts.as_py()))
+    parts = [pa.array([m[0] for m in made], pa.list_(pa.string())), pa.array([m[1] for m in made], pa.list_(pa.int32()))]
+    return pa.StructArray.from_arrays(parts, names=["tags", "lost"])
+
+
 def paint_rows(df: DataFrame, row_id: str, text: str, phrases: str, tags: str) -> DataFrame:
     """Tag a generated text: (id, words, tags, missing), missing being the (ord, phrase) that never occur.
 
     Each phrase matches case-insensitively at every position; its first word takes the
     tag, the rest I-; later phrases overwrite earlier ones. Words and phrases of a row meet by
-    first word in an index inside the row, so work follows the matches and nothing is shuffled.
+    first word in an index inside the row (``painted``), so work follows the matches and nothing is shuffled.
     """
-
-    def wanted(p: Column, i: Column) -> Column:
-        words = F.filter(F.split(F.lower(p["p"]), r"\s+"), lambda w: w != "")
-        return F.struct(words.alias("k"), i.alias("ord"), p["p"].alias("phrase"), p["t"].alias("tag"))
-
-    def by_first_word(s: Column, starts: Column) -> Column:
-        # equal phrases cover the same places, so the last of them paints and all are found or missing
-        def one(a: Column, j: Column) -> Column:
-            end = rowindex.run_ends(s, starts, j)
-            last = F.get(s, end - 1)
-            same = F.transform(F.slice(s, a + 1, end - a), lambda e: F.struct(e["ord"].alias("ord"), e["phrase"].alias("phrase")))
-            return F.struct(
-                F.coalesce(F.get(last["k"], F.lit(0)), F.lit("")).alias("k"), last["ord"].alias("ord"), last["k"].alias("pw"),
-                last["tag"].alias("tag"), same.alias("same"),
-            )
-
-        return F.transform(starts, one)
-
-    def hits_of(low: Column, wanted_: Column) -> Column:
-        places = rowindex.grouped(F.transform(low, lambda w, i: F.struct(w.alias("k"), i.alias("p"))))
-
-        def at(ps: Column, es: Column) -> Column:
-            find = lambda e: F.filter(
-                F.transform(ps, lambda p: p["p"]), lambda i: F.slice(low, i + 1, F.size(e["pw"])) == e["pw"]
-            )
-            found = lambda e: F.struct(e["ord"].alias("ord"), e["tag"].alias("tag"), F.size(e["pw"]).alias("len"), e["same"].alias("same"),
-                                       F.when(ps.isNull() | (F.size(e["pw"]) == 0), F.array().cast("array<int>")).otherwise(find(e)).alias("at"))
-            return F.transform(es, found)
-
-        met = rowindex.met(places, rowindex.grouped(wanted_), at)
-        return F.flatten(F.filter(met, lambda xs: xs.isNotNull()))
-
-    def painted(words: Column, hits: Column) -> Column:
-        def cover(h: Column, start: Column) -> Column:
-            inner = F.concat(F.lit("I-"), F.element_at(F.split(h["tag"], "-"), -1))
-            return F.transform(
-                F.sequence(F.lit(0), h["len"] - 1),
-                lambda o: F.struct((start + o).alias("k"), h["ord"].alias("ord"), start.alias("start"), F.when(o == 0, h["tag"]).otherwise(inner).alias("put")),
-            )
-
-        puts = F.flatten(F.flatten(F.transform(hits, lambda h: F.transform(h["at"], lambda i: cover(h, i)))))
-        places = F.map_from_arrays(F.transform(words, lambda w, i: i), words)
-        pairs = F.sort_array(
-            F.filter(
-                F.map_entries(F.map_zip_with(places, rowindex.greatest(puts), lambda k, w, e: F.struct(w.alias("w"), F.coalesce(e["put"], F.lit("O")).alias("t")))),
-                lambda e: e["value"]["w"].isNotNull(),
-            )
-        )
-        lost = F.flatten(F.transform(F.filter(hits, lambda h: F.size(h["at"]) == 0), lambda h: h["same"]))
-        return F.struct(
-            words.alias("words"), F.transform(pairs, lambda e: e["value"]["t"]).alias("tags"), F.sort_array(lost).alias("missing")
-        )
-
-    def row(r: Column) -> Column:
-        low = F.transform(r["words"], F.lower)
-        listed = rowindex.sorted_runs(F.transform(r["ents"], wanted), by_first_word)
-        return let(let(F.struct(low.alias("low"), listed.alias("listed")), lambda x: hits_of(x["low"], x["listed"])), lambda hits: painted(r["words"], hits))
-
     ents = F.coalesce(F.arrays_zip(F.col(phrases).alias("p"), F.col(tags).alias("t")), F.array().cast("array<struct<p: string, t: string>>"))
-    words = F.coalesce(label_words(F.col(text)), F.array().cast("array<string>"))
-    made = df.select(F.col(row_id).alias("id"), let(F.struct(words.alias("words"), ents.alias("ents")), row).alias("r"))
-    return made.select("id", "r.words", "r.tags", "r.missing")
+    rows = df.select(F.col(row_id).alias("id"), F.col(text).alias("text"), ents.alias("ents"))
+    made = rows.withColumn("r", _painted("text", F.transform("ents", lambda e: e["p"]), F.transform("ents", lambda e: e["t"])))
+    words = F.coalesce(label_words(F.col("text")), F.array().cast("array<string>"))
+    missing = let(F.col("ents"), lambda es: F.transform("r.lost", lambda i: F.struct(i.alias("ord"), F.get(es, i)["p"].alias("phrase"))))
+    return made.select("id", words.alias("words"), "r.tags", missing.alias("missing"))
 
 
 def paint(df: DataFrame, row_id: str, text: str, phrases: str, tags: str) -> tuple[DataFrame, DataFrame]:

@@ -75,6 +75,26 @@ def test_paint_splits_punctuation(spark):
     assert r["tags"] == ["O", "B-LOC", "O", "O", "O", "O"]
 
 
+def test_paint_odd_rows(spark):
+    rows = [
+        (1, "a\x0bb\x1cc\u2003d\u00a0\u200be.f", ["B C", "\u200bE", None, "", "b\tc", "zz"], ["B-X-Y", "B-E", "B-N", "B-0", None, "B-Z"]),
+        (2, None, ["a"], ["B-A"]), (3, "a a a", None, None), (4, "", [], []), (5, "a a a", ["a a", "A"], ["B-1", "B-"]),
+    ]
+    df = spark.createDataFrame(rows, "id int, text string, p array<string>, t array<string>")
+    out = ner.paint_rows(df, "id", "text", "p", "t")
+    got = {r["id"]: r for r in out.collect()}
+    assert got[1]["words"] == ["a", "b", "c", "d", "\u200be", ".", "f"]
+    assert got[1]["tags"] == ["O", "O", "O", "O", "B-E", "O", "O"]  # the last of equal phrases paints, and has no tag
+    assert [tuple(m) for m in got[1]["missing"]] == [(3, ""), (5, "zz")]  # a null phrase is none
+    assert got[2]["words"] == got[2]["tags"] == [] and got[2]["missing"][0]["phrase"] == "a"
+    assert got[3]["tags"] == ["O"] * 3 and got[4]["tags"] == got[4]["missing"] == []
+    assert got[5]["tags"] == ["B-"] * 3
+    assert all(len(r["words"]) == len(r["tags"]) for r in got.values())
+    # without the words, no list of all words is split, sorted or met with a map in Spark
+    plan = out.select("id", "tags", "missing")._jdf.queryExecution().optimizedPlan().toString()
+    assert "map_zip_with" not in plan and "regexp_extract_all" not in plan
+
+
 # ---- keyword walks -----------------------------------------------------------------------
 def test_keyword_walk_against_loop(spark):
     rng = random.Random(3)
