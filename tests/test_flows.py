@@ -13,6 +13,7 @@ from quillspark.plans import augment, extractor
 from quillspark.plans.join_queries import tag_rule, word_vector
 from quillspark.plans.variant_queries import substitutes
 from quillspark.sources import readers as rd
+from quillspark.sources import texts
 from quillspark.sources import writers as wr
 
 SMALL = "/root/testdata/sf0.001"
@@ -208,3 +209,51 @@ def test_conll_sentences_over_splits(spark, tmp_path):
         assert sorted(tuple(r["tokens"]) for r in got) == sorted(want)
         assert len({r["row_id"] for r in got}) == len(got)
         assert "Exchange rangepartitioning" not in plan
+
+
+def test_texts_by_reference(spark):
+    """Short and long texts come back, in the order of the entries; without a folder that Python can open likewise."""
+    said = {i: "é" * i + f"{i}" for i in (0, 1, 5, 3000)} | {7: "".join(chr(33 + (i * i * 31 + i // 7) % 900) for i in range(9000)), 8: None}
+    df = spark.createDataFrame([(i, t) for i, t in said.items()], "id int, text string").repartition(3)
+    got = []
+    for local in (True, False):
+        store = texts.Texts(spark, "texts")
+        if not local:
+            store.folder = None
+        held = {r["id"]: r["ref"] for r in store.put(df, "text", "ref").collect()}
+        assert held[8] is None and (not local or all(isinstance(x, int) for i, x in held.items() if i != 8))
+        rows = [
+            (0, [(2, held[7]), (0, held[3000]), (1, held[0])], [[(0, held[1])], [], None]), (1, [], []), (2, None, None),
+            (3, [(0, held[5]), (0, held[1])], [[(1, held[1]), (0, held[7])]]),
+        ]
+        entry_type = f"array<struct<_pos: int, _text: {'bigint' if local else 'string'}>>"
+        shown = store.joined(spark.createDataFrame(rows * 70, f"id int, one {entry_type}, more array<{entry_type}>"), "one", "more")
+        got.append({r["id"]: (r["one"], r["more"]) for r in shown.collect()})
+        q = lambda *ids: ",".join(f'"{said[i]}"' for i in ids)
+        assert got[-1] == {0: (q(3000, 0, 7), [q(1), "", None]), 1: ("", []), 2: (None, None), 3: (q(1, 5), [q(7, 1)])}
+
+
+@pytest.mark.parametrize("name", ["exemplars_plain", "cross", "ner"])
+def test_shown_texts_are_not_dealt(spark, name):
+    """Exchanges of a variant that shows exemplars carry at most one text: the row's own."""
+    out = entry.queries()[f"v_{name}"](spark, SMALL)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("MapInArrow")[1]
+    assert "Exchange" in below and "Exchange" not in plan.split("MapInArrow")[0]
+    assert sum(x.count("text#") for x in below.splitlines() if "FileScan" in x) <= 2  # its output and its location's one scan
+    first = out.filter("length(exemplars) > 0").first()
+    assert first["exemplars"] in first["final_const" if name != "cross" else "final_topic_const"]
+
+
+def test_a_repeated_id_lends_its_greatest_prompt(spark):
+    """As when whole prompts were lent: two rows of one id, of which the greater prompt counts."""
+    df = table(spark)
+    df = df.unionByName(df.filter("row_id = 1").withColumn("text", F.lit("Zebras win the cup, zebras lose the cup.")))
+    vectors = df.groupBy("row_id").agg(F.max("text").alias("t")).select("row_id", word_vector(F.col("t"), "s").alias("v"))
+    out = extractor.extract(df, "ner", "conll2003", sentence_vectors=vectors).collect()
+    prompts = {}
+    for r in out:
+        prompts[r["row_id"]] = max(prompts.get(r["row_id"], ""), r["final_const"])
+    assert len(out) > len(prompts) == 4
+    for r in out:
+        assert [r["mix_const_1"], r["mix_const_2"]] == [prompts[r["mix_const_idx_1"]], prompts[r["mix_const_idx_2"]]]
